@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm import mixing, quality, sharding, simhash
+from pitchflow.llm import licenses, lines, mixing, near_vectors, packing, quality, sharding, simhash, substrings, token_counts
 from pitchflow.llm.tables import documents, shared_path, word_count
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -18,6 +24,22 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), "doc_id", "text", tokenizer_path())
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir), "doc_id", "text")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), "text", tokenizer_path())
+
+
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -27,13 +49,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir), "doc_id", "text")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.repetitions(sized, "doc_id", "source", "size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op6_quality_rules, op7_simhash, op9_mixing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(documents(spark, sf_dir), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_packing, op3_license_scan, op4_token_counts, op5_near_vectors, op6_quality_rules, op7_simhash, op8_line_dedup, op9_mixing, op10_substring_dedup)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _W = "[^\\x20\\x09-\\x0D]+"
@@ -58,6 +89,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND word_chars / n_words >= 3 AND word_chars / n_words <= 10 AND n_symbols / word_chars <= 0.1
     AND n_stop / n_words >= 0.05 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept
 FROM b""",
+    "op8_line_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT r, doc_id, i, unnest(list_distinct(regexp_extract_all(ls[i], '{_W}'))) AS token FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT token, row_number() OVER (ORDER BY count(*), token) AS k FROM u GROUP BY token),
+l0 AS (SELECT r, i, list(k ORDER BY k) AS w FROM u JOIN f USING (token) GROUP BY r, i),
+l AS (SELECT d.r, d.doc_id, d.i, coalesce(w, []) AS w FROM (SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i FROM d) d LEFT JOIN l0 USING (r, i)),
+s AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first FROM l WHERE len(w) > 0 GROUP BY w),
+x AS (SELECT w, n, first, unnest(w[1:n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1]) AS token FROM s),
+near AS (SELECT DISTINCT a.w FROM x a JOIN x b ON a.token = b.token AND b.first < a.first AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  WHERE 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+k AS (SELECT l.r, l.i, s.w IS NOT NULL AND ((l.doc_id, l.i) > s.first OR near.w IS NOT NULL) AS gone FROM l LEFT JOIN s USING (w) LEFT JOIN near USING (w)),
+g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed FROM k GROUP BY r),
+t AS (SELECT k.r, string_agg(d.ls[k.i], chr(10) ORDER BY k.i) AS kept FROM k JOIN d USING (r) WHERE NOT gone GROUP BY k.r)
+SELECT d.doc_id, CAST(coalesce(g.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(t.kept, '')) END AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN t USING (r)""",
     "op9_mixing": f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
