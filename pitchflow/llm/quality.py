@@ -79,7 +79,8 @@ def measured(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -
         "n_repeat_words": covered,
         "n_stop_words": n_stop,
     }
-    out = out.withColumn(m, F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))
+    # an explode of one row: a later filter on the counts stays above it, and so does not work them out again
+    out = out.select("*", F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))).alias(m))
     got = {k: c(m)[k] for k in counts}
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     measures = got | {
