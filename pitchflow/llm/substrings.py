@@ -227,14 +227,14 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarr
 
 # ---------------------------------------------------------------- 2. spans of marked anchors
 
-_SPAN = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("span", pa.binary())])
+_SPAN = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("span", pa.binary())])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """doc, text, marks -> spans, each distinct one once a task, at its earliest place there.
 
-    The later places of a span within the task are windows to remove already (shard is the number
-    of windows negated, span is null). Spans of hot anchors are cut into their single windows,
+    The later places of a span within the task are windows to remove already (span is null, and
+    shard only spreads them). Spans of hot anchors are cut into their single windows,
     which go by their own hash.
     """
     first: dict[bytes, tuple[int, int, int, int]] = {}
@@ -244,11 +244,11 @@ def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[p
     def out() -> Iterator[pa.RecordBatch]:
         nonlocal size
         if first:
-            shard, doc, low, _ = zip(*first.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(list(first), pa.binary())], schema=_SPAN)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*first.values(), strict=True)), pa.array(list(first), pa.binary())], schema=_SPAN)
         if later:
-            n, doc, low = zip(*later, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.nulls(len(n), pa.binary())], schema=_SPAN)
+            n, doc, low = (np.asarray(x, np.int64) for x in zip(*later, strict=True))
+            spread = -1 - ((doc * np.int64(0x2545F491) + low * np.int64(0x9E3779B1)) & np.int64(LAST >> 1))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, doc, low, n)), pa.nulls(len(n), pa.binary())], schema=_SPAN)
         first.clear()
         later.clear()
         size = 0
@@ -261,9 +261,9 @@ def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[p
             size += len(span)
         elif (doc, low) < found[1:3]:
             first[span] = (shard, doc, low, n)
-            later.append((-n, found[1], found[2]))
+            later.append((n, found[1], found[2]))
         elif (doc, low) > found[1:3]:
-            later.append((-n, doc, low))
+            later.append((n, doc, low))
 
     for batch in batches:
         docs, marks = batch.column(0).to_numpy(), batch.column(2)
@@ -341,15 +341,15 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        found = locate(table.column(3).to_pylist(), *(table.column(i).to_numpy() for i in range(3)))
+        found = locate(table.column(4).to_pylist(), *(table.column(i).to_numpy() for i in range(3)))
         doc, low, n = zip(*found, strict=True) if found else ((), (), ())
         return _windows(np.asarray(doc, np.int64), np.asarray(low, np.int64), np.asarray(n, np.int64))
 
     for batch in batches:
-        known = batch.filter(batch.column(3).is_null())
+        known = batch.filter(batch.column(4).is_null())
         if known.num_rows:
-            yield _windows(known.column(1).to_numpy(), known.column(2).to_numpy(), -known.column(0).to_numpy())
-        batch = batch.filter(batch.column(3).is_valid())
+            yield _windows(*(known.column(i).to_numpy() for i in (1, 2, 3)))
+        batch = batch.filter(batch.column(4).is_valid())
         step = max(1, SHARD_WORDS // (WINDOW + GRAM))
         for at in range(0, batch.num_rows, step):
             held.append(batch.slice(at, step))
@@ -423,7 +423,7 @@ def substring_dedup(df: DataFrame, key: str, text: str, *, with_text: bool = Fal
 
     marks = found.where("doc is not null").groupBy("doc").agg(F.collect_list("at").alias("marks"))
     marked = base.join(marks, "doc", "left").select("doc", "text", "marks")
-    spans = marked.mapInArrow(lambda it: _spans(it, hot), "shard long, doc long, low long, span binary")
+    spans = marked.mapInArrow(lambda it: _spans(it, hot), "shard long, doc long, low long, n long, span binary")
     windows = spans.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate, "doc long, low long, n long")
     removed = windows.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("windows"))
     fields = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
