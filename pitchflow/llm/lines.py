@@ -3,8 +3,9 @@
 A line is the set of its words. The words of each line are ordered by rarity in the corpus; two
 sets with Jaccard similarity t share one of their first n - ceil(t n) + 1 words, so only these
 prefixes are joined, under the length, positional and parity filters. What passes is verified on
-whole sets. Both joins ask whether there is a partner and never list pairs, so a group of many
-similar lines makes as many rows as it has lines.
+whole sets. The join asks whether there is a partner and does not list pairs; lines are then
+verified against the earliest line of each of their words, so a group of many similar lines makes
+as many pairs as it has lines.
 """
 
 from __future__ import annotations
@@ -104,15 +105,25 @@ def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = M
     light = f"""a.token = b.token and (a.doc <> b.doc or a.line <> b.line) and {sizes}
         and {p} * (least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) >= {q} * (a.n + b.n)
         and {t.denominator + t.numerator} * bit_count(a.parity ^ b.parity) <= {t.denominator - t.numerator} * (a.n + b.n)"""
-    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("doc", "line").distinct(), "close-lines")
-
-    # whole sets of what is left; the filter keeps the left join's exchange equal to that of line_dedup
-    wanted = close.groupBy("doc").agg(F.collect_list("line").alias("wanted"))
-    whole = base.join(wanted, "doc", "left").where("wanted is not null").select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get(F.split("text", "\n", -1), i), codes).alias("tokens")))).alias("x"))
-    whole = whole.select("doc", "x.line", "x.tokens", F.size("x.tokens").alias("n")).withColumn("token", F.explode(_prefix(F.col("tokens"), F.col("n"), t)))
-    exact = f"""a.token = b.token and (b.doc < a.doc or b.doc = a.doc and b.line < a.line) and {sizes}
-        and {p} * size(array_intersect(a.tokens, b.tokens)) >= {q} * (a.n + b.n)"""
-    near = whole.alias("a").join(whole.alias("b"), F.expr(exact), "left_semi").select("doc", "line").distinct()
+    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("token", "doc", "line"), "close-lines")
+
+    # Whole sets of what is left, read from the texts once for all uses (equal exchanges, also in line_dedup).
+    wanted = close.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
+    whole = base.join(wanted, "doc", "left").where("wanted is not null").select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get(F.split("text", "\n", -1), i), codes).alias("tokens")))).alias("x")).select("doc", "x.line", "x.tokens")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The lines of pairs (doc, line, other) whose sets are similar to those of their others."""
+        sides = pairs.join(whole, ["doc", "line"]).join(whole.select(F.struct("doc", "line").alias("other"), F.col("tokens").alias("others")), "other")
+        return sides.where(f"{p} * size(array_intersect(tokens, others)) >= {q} * (size(tokens) + size(others))").select("doc", "line").distinct()
+
+    # A token's earliest line is tried first: as many pairs as tokens, and in a group of similar lines one
+    # does for each. Only what these leave open is tried against every earlier line that passed with it.
+    earliest = materialize(close.groupBy("token").agg(F.min(F.struct("doc", "line")).alias("other")), "earliest-lines")
+    tried = materialize(close.join(earliest, "token").where(F.struct("doc", "line") > F.col("other")).select("doc", "line", "other").distinct(), "line-pairs")
+    found = similar(tried)
+    open_lines = tried.select("doc", "line").distinct().join(found, ["doc", "line"], "left_anti")
+    more = close.join(open_lines, ["doc", "line"]).join(close.select("token", F.struct("doc", "line").alias("other")), "token").where(F.struct("doc", "line") > F.col("other"))
+    near = found.unionByName(similar(more.select("doc", "line", "other").distinct()))
     return copies.unionByName(near)
 
 
