@@ -107,9 +107,10 @@ def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = M
         and {t.denominator + t.numerator} * bit_count(a.parity ^ b.parity) <= {t.denominator - t.numerator} * (a.n + b.n)"""
     close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("token", "doc", "line"), "close-lines")
 
-    # Whole sets of what is left, read from the texts once for all uses (equal exchanges, also in line_dedup).
+    # whole sets of what is left, read from the texts once
     wanted = close.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    whole = base.join(wanted, "doc", "left").where("wanted is not null").select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get(F.split("text", "\n", -1), i), codes).alias("tokens")))).alias("x")).select("doc", "x.line", "x.tokens")
+    whole = base.join(wanted, "doc").select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get(F.split("text", "\n", -1), i), codes).alias("tokens")))).alias("x")).select("doc", "x.line", "x.tokens")
+    whole = materialize(whole, "whole-lines")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The lines of pairs (doc, line, other) whose sets are similar to those of their others."""
@@ -120,7 +121,7 @@ def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = M
     # does for each. Only what these leave open is tried against every earlier line that passed with it.
     earliest = materialize(close.groupBy("token").agg(F.min(F.struct("doc", "line")).alias("other")), "earliest-lines")
     tried = materialize(close.join(earliest, "token").where(F.struct("doc", "line") > F.col("other")).select("doc", "line", "other").distinct(), "line-pairs")
-    found = similar(tried)
+    found = materialize(similar(tried), "verified-lines")
     open_lines = tried.select("doc", "line").distinct().join(found, ["doc", "line"], "left_anti")
     more = close.join(open_lines, ["doc", "line"]).join(close.select("token", F.struct("doc", "line").alias("other")), "token").where(F.struct("doc", "line") > F.col("other"))
     near = found.unionByName(similar(more.select("doc", "line", "other").distinct()))
