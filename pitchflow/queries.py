@@ -64,7 +64,7 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = match_table(spark, sf_dir).select(*cleaning.BASE, *cleaning.EXTENDED)
     twice = raw.unionByName(raw.withColumn("match_date", F.when(F.col("hg") > 0, F.col("match_date"))))
-    return _days(cleaning.clean(twice, 1900, extended=True).drop("match_id"), "match_date")
+    return _days(cleaning.clean(twice, 1900, extended=True).drop("match_id", "week"), "match_date")
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +213,7 @@ ORACLE_SQL: dict[str, str] = {
     "season_summary": f"WITH {_M} SELECT season, count(*) AS n, CAST(min(match_date) AS VARCHAR) AS first_day, CAST(max(match_date) AS VARCHAR) AS last_day, count(DISTINCT result) AS n_results, bool_or(odd_1 IS NULL) AS has_gap FROM m GROUP BY season",
     "teams": f"WITH {_M} SELECT home AS team FROM m UNION SELECT away FROM m",
     "clean_matches": f"""WITH {_M}, d AS (SELECT DISTINCT {', '.join((*cleaning.BASE, *cleaning.EXTENDED))} FROM m)
-SELECT CAST(match_date AS VARCHAR) AS match_date, season, home, away, hg, ag, result, CASE WHEN hg + ag >= 2.5 THEN 'O' ELSE 'U' END AS result_uo, odd_1, odd_x, odd_2, hst, ast, hc, ac,
-  CAST(row_number() OVER (PARTITION BY season, home ORDER BY d.match_date, home) AS INT) AS week FROM d""",
+SELECT CAST(match_date AS VARCHAR) AS match_date, season, home, away, hg, ag, result, CASE WHEN hg + ag >= 2.5 THEN 'O' ELSE 'U' END AS result_uo, odd_1, odd_x, odd_2, hst, ast, hc, ac FROM d""",
     "feature_rows": f"WITH {_FORM} SELECT match_id, odd_1, odd_x, odd_2, hw, aw, hgd, agd, hw_pct FROM form WHERE odd_1 IS NOT NULL AND hst IS NOT NULL AND ast IS NOT NULL AND hw IS NOT NULL AND aw IS NOT NULL AND hw_pct IS NOT NULL",
     "latest_form": f"""WITH {_FORM}, c AS (SELECT * FROM form WHERE odd_1 IS NOT NULL AND hst IS NOT NULL AND ast IS NOT NULL AND hw IS NOT NULL AND aw IS NOT NULL),
 h AS (SELECT home, arg_max(hw, {_NEWEST}) AS hw, arg_max(hgf, {_NEWEST}) AS hgf, arg_max(hagf, {_NEWEST}) AS hagf FROM c GROUP BY home),
