@@ -20,6 +20,8 @@ from pitchflow.llm.tables import free_name, fresh, materialize
 MIN_SIMILARITY = Fraction(4, 5)
 #: Words are counted in so many buckets by hash, whatever the size of the corpus; rarity is the bucket's count.
 N_BUCKETS = 1 << 16
+#: Numbers of 64 bits in the second, wider parity; a power of two.
+N_WIDE = 4
 _HASH_BITS = 48
 _HASH_MASK = (1 << _HASH_BITS) - 1
 #: Stands for a null key, after all others.
@@ -44,26 +46,38 @@ def rarity(df: DataFrame, text: str) -> list[int]:
 
 
 def code_table(codes: list[int]) -> Column:
-    """The codes as one constant array."""
-    return F.split(F.lit(",".join(map(str, codes))), ",").cast("array<int>")
+    """The codes as one constant array, each shifted to the bits above the hash."""
+    return F.split(F.lit(",".join(str(c << _HASH_BITS) for c in codes)), ",").cast("array<bigint>")
 
 
 def token_set(line: Column, codes: Column) -> Column:
     """The distinct words of a line as numbers in order of rarity: the bucket's code, then 48 bits of the hash."""
 
-    def number(word: Column) -> Column:
-        h = F.xxhash64(word)
-        code = F.get(codes, F.pmod(h, F.lit(N_BUCKETS)).cast("int")).cast("long")
-        return F.shiftleft(code, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(_HASH_MASK)))
+    def number(h: Column) -> Column:
+        code = F.get(codes, h.bitwiseAND(F.lit(N_BUCKETS - 1)).cast("int"))
+        return code.bitwiseOR(h.bitwiseAND(F.lit(_HASH_MASK)))
 
-    words = F.array_remove(F.array_distinct(_words(line)), "")
-    return F.sort_array(F.transform(words, number))
+    hashes = F.array_distinct(F.transform(_words(line), lambda word: F.xxhash64(word)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), number))
+
+
+def _bit(token: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _parity(tokens: Column) -> Column:
     """64 bits, each flipped by every word that falls on it: sets differ in at least as many words as bits."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+
+
+def _wide_parity(tokens: Column) -> list[Column]:
+    """The same with ``64 * N_WIDE`` bits, in as many numbers, for long lines."""
+
+    def one(w: int) -> Column:
+        mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(N_WIDE - 1)) == w
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: F.when(mine(x), a.bitwiseXOR(_bit(x))).otherwise(a))
+
+    return [one(w).alias(f"p{w}") for w in range(N_WIDE)]
 
 
 def _prefix(tokens: Column, n: Column, t: Fraction) -> Column:
@@ -102,30 +116,42 @@ def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = M
     least = -(-t.numerator // (t.denominator - t.numerator))
     rows = sets.where(F.col("n") >= least).select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
     sizes = f"{t.denominator} * least(a.n, b.n) >= {t.numerator} * greatest(a.n, b.n)"
-    light = f"""a.token = b.token and (a.doc <> b.doc or a.line <> b.line) and {sizes}
+    near = f"""a.token = b.token and (a.doc <> b.doc or a.line <> b.line) and {sizes}
         and {p} * (least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) >= {q} * (a.n + b.n)
-        and {t.denominator + t.numerator} * bit_count(a.parity ^ b.parity) <= {t.denominator - t.numerator} * (a.n + b.n)"""
-    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("token", "doc", "line"), "close-lines")
+        and {t.denominator + t.numerator} * bits <= {t.denominator - t.numerator} * (a.n + b.n)"""
+    light = near.replace("bits", "bit_count(a.parity ^ b.parity)")
+    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("token", "at", "doc", "line"), "close-lines")
 
-    # whole sets of what is left, read from the texts once
+    # whole sets of what is left, read from the texts once, with parities wide enough for long lines
     wanted = close.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    whole = base.join(wanted, "doc").select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get(F.split("text", "\n", -1), i), codes).alias("tokens")))).alias("x")).select("doc", "x.line", "x.tokens")
-    whole = materialize(whole, "whole-lines")
+    split = base.join(wanted, "doc").select("doc", "wanted", F.split("text", "\n", -1).alias("all"))
+    whole = split.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get("all", i), codes).alias("tokens")))).alias("x"))
+    whole = materialize(whole.select("doc", "x.line", "x.tokens"), "whole-lines")
+    sketches = whole.select("doc", "line", F.size("tokens").alias("n"), *_wide_parity(F.col("tokens")))
+    wide = " + ".join(f"bit_count(a.p{w} ^ b.p{w})" for w in range(N_WIDE))
+    closer = near.replace("bits", f"({wide})")
+    rows = materialize(close.join(sketches, ["doc", "line"]), "close-sketches")
+    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(closer), "left_semi"), "closer-lines")
+    whole = materialize(whole.join(close.select("doc", "line").distinct(), ["doc", "line"], "left_semi"), "closer-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The lines of pairs (doc, line, other) whose sets are similar to those of their others."""
         sides = pairs.join(whole, ["doc", "line"]).join(whole.select(F.struct("doc", "line").alias("other"), F.col("tokens").alias("others")), "other")
         return sides.where(f"{p} * size(array_intersect(tokens, others)) >= {q} * (size(tokens) + size(others))").select("doc", "line").distinct()
 
+    def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """Pairs (doc, line, other) that pass the filters and share a token; the other is the earlier line."""
+        met = later.alias("a").join(earlier.alias("b"), F.expr(f"{closer} and struct(a.doc, a.line) > struct(b.doc, b.line)"))
+        return met.select("a.doc", "a.line", F.struct("b.doc", "b.line").alias("other")).distinct()
+
     # A token's earliest line is tried first: as many pairs as tokens, and in a group of similar lines one
     # does for each. Only what these leave open is tried against every earlier line that passed with it.
-    earliest = materialize(close.groupBy("token").agg(F.min(F.struct("doc", "line")).alias("other")), "earliest-lines")
-    tried = materialize(close.join(earliest, "token").where(F.struct("doc", "line") > F.col("other")).select("doc", "line", "other").distinct(), "line-pairs")
-    found = materialize(similar(tried), "verified-lines")
-    open_lines = tried.select("doc", "line").distinct().join(found, ["doc", "line"], "left_anti")
-    more = close.join(open_lines, ["doc", "line"]).join(close.select("token", F.struct("doc", "line").alias("other")), "token").where(F.struct("doc", "line") > F.col("other"))
-    near = found.unionByName(similar(more.select("doc", "line", "other").distinct()))
-    return copies.unionByName(near)
+    columns = ["doc", "line", "at", "n", *(f"p{w}" for w in range(N_WIDE))]
+    earliest = close.groupBy("token").agg(F.min(F.struct(*columns)).alias("x")).select("token", "x.*")
+    found = materialize(similar(pairs(close, earliest)), "verified-lines")
+    open_rows = close.join(found, ["doc", "line"], "left_anti")
+    rest = materialize(similar(pairs(open_rows, close)), "verified-rest")
+    return copies.unionByName(found).unionByName(rest)
 
 
 def _base(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,16 +170,14 @@ def line_dedup(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SI
     table gives no rows; columns of ``df`` named like the new ones are replaced. ``key`` must be a
     whole number.
     """
-    found = duplicate_lines(df, key, text, similarity).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    found = materialize(duplicate_lines(df, key, text, similarity).groupBy("doc").agg(F.collect_set("line").alias("gone")), "gone-lines")
     rows = fresh(df, "n_lines", "n_removed")
-    doc, gone, kept = (free_name(rows, x) for x in ("doc", "gone", "kept"))
+    doc, gone, kept, split = (free_name(rows, x) for x in ("doc", "gone", "kept", "split"))
     keyed = rows.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
-    joined = keyed.join(found.select(F.col("doc").alias(doc), F.col("gone").alias(gone)), doc, "left")
-    lines = F.split(F.col(text), "\n", -1)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    joined = keyed.join(found.select(F.col("doc").alias(doc), F.col("gone").alias(gone)), doc, "left").withColumn(split, F.split(F.col(text), "\n", -1))
+    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     out = joined.withColumn(kept, F.when(F.col(gone).isNotNull() & F.col(text).isNotNull(), left))
     out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(F.col(kept).isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long"))
-    new = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.col(kept), lambda i: F.get(F.split(F.col(text), "\n", -1), i)), "\n"))
-    return out.withColumn(text, new).drop(doc, gone, kept)
+    new = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.col(kept), lambda i: F.get(F.col(split), i)), "\n"))
+    return out.withColumn(text, new).drop(doc, gone, kept, split)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: The characters that separate words, in Java regex and as a plain string.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Session setting: a query's shuffle files go when the query has ended, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folder by application, for sessions without ``spark.checkpoint.dir``.
 _own: dict[str, str] = {}
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,10 +34,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     The result no longer depends on shuffle files or executors; a lost executor costs one task's reread.
+    Shuffle files of the write are removed when it has ended.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
