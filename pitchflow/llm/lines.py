@@ -15,7 +15,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchflow.llm.tables import free_name, fresh, materialize
+from pitchflow.llm.tables import free_name, fresh, materialize, order_of, row_id
 
 MIN_SIMILARITY = Fraction(4, 5)
 #: Words are counted in so many buckets by hash, whatever the size of the corpus; rarity is the bucket's count.
@@ -24,8 +24,8 @@ N_BUCKETS = 1 << 16
 N_WIDE = 4
 _HASH_BITS = 48
 _HASH_MASK = (1 << _HASH_BITS) - 1
-#: Stands for a null key, after all others.
-LAST = (1 << 63) - 1
+#: A line's place in the order of the corpus; rows of one key share places, and null keys come last.
+PLACE = "struct({0}doc, {0}uid >= 0 as none, {0}line)"
 
 
 def _words(text: Column) -> Column:
@@ -90,72 +90,77 @@ def _similar(t: Fraction) -> tuple[int, int]:
 
 
 def _lines(base: DataFrame, codes: Column) -> DataFrame:
-    """doc, line, n, tokens of every line with a word. The sets are made before the explode, so once."""
+    """uid, doc, line, n, tokens of every line with a word. The sets are made before the explode, so once."""
     sets = F.transform(F.split("text", "\n", -1), lambda x: token_set(x, codes))
-    return base.select("doc", F.posexplode(sets).alias("line", "tokens")).withColumn("n", F.size("tokens")).where("n > 0")
+    return base.select("uid", "doc", F.posexplode(sets).alias("line", "tokens")).withColumn("n", F.size("tokens")).where("n > 0")
 
 
 def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SIMILARITY) -> DataFrame:
-    """``doc``, ``line``: the lines (from 0) whose word set is similar to that of an earlier line.
+    """``uid`` (``row_id``), ``line``: the lines (from 0) whose word set is similar to that of an earlier line.
 
-    Earlier is a smaller key, or the same document and a smaller line. See ``line_dedup``.
+    Earlier is a smaller key, or the same key and a smaller line. See ``line_dedup``.
     """
     t, (p, q) = similarity, _similar(similarity)
     base = _base(df, key, text)
     codes = code_table(rarity(base, "text"))
     tokens = _lines(base, codes)
-    sketch = tokens.select("doc", "line", "n", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), _parity(F.col("tokens")).alias("parity"), _prefix(F.col("tokens"), F.col("n"), t).alias("prefix"))
+    sketch = tokens.select("uid", "doc", "line", "n", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), _parity(F.col("tokens")).alias("parity"), _prefix(F.col("tokens"), F.col("n"), t).alias("prefix"))
     lines = materialize(sketch, "lines")
 
-    # equal sets: all but the first place are later matches
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
-    sets = materialize(firsts, "line-sets")
-    copies = lines.select("h1", "h2", "doc", "line").join(sets.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("doc", "line") > F.col("first")).select("doc", "line")
+    # equal sets: all but the first place are later matches; other rows' lines at that place go if the set goes
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(F.expr(PLACE.format("")).alias("place"), "uid")).alias("first"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
+    sets = materialize(firsts.select("h1", "h2", "first.uid", "first.place.doc", "first.place.line", "n", "parity", "prefix"), "line-sets")
+    met = lines.select("h1", "h2", "uid", "doc", "line").alias("a").join(sets.select("h1", "h2", "uid", "doc", "line").alias("b"), ["h1", "h2"])
+    met = met.withColumn("later", F.expr(f"{PLACE.format('a.')} > {PLACE.format('b.')}")).where("later or a.uid <> b.uid")
+    copies = materialize(met.select("a.uid", "a.line", F.expr("if(later, null, b.uid)").alias("tied")), "later-lines")
 
     # different sets: the smaller of two similar ones has at least t / (1 - t) words
     least = -(-t.numerator // (t.denominator - t.numerator))
-    rows = sets.where(F.col("n") >= least).select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
+    rows = sets.where(F.col("n") >= least).select("uid", "line", "n", "parity", F.posexplode("prefix").alias("at", "token"))
     sizes = f"{t.denominator} * least(a.n, b.n) >= {t.numerator} * greatest(a.n, b.n)"
-    near = f"""a.token = b.token and (a.doc <> b.doc or a.line <> b.line) and {sizes}
+    near = f"""a.token = b.token and (a.uid <> b.uid or a.line <> b.line) and {sizes}
         and {p} * (least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) >= {q} * (a.n + b.n)
         and {t.denominator + t.numerator} * bits <= {t.denominator - t.numerator} * (a.n + b.n)"""
     light = near.replace("bits", "bit_count(a.parity ^ b.parity)")
-    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("token", "at", "doc", "line"), "close-lines")
-
-    # whole sets of what is left, read from the texts once, with parities wide enough for long lines
-    wanted = close.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    split = base.join(wanted, "doc").select("doc", "wanted", F.split("text", "\n", -1).alias("all"))
-    whole = split.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get("all", i), codes).alias("tokens")))).alias("x"))
-    whole = materialize(whole.select("doc", "x.line", "x.tokens"), "whole-lines")
-    sketches = whole.select("doc", "line", F.size("tokens").alias("n"), *_wide_parity(F.col("tokens")))
+    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("token", "at", "uid", "line"), "close-lines")
+
+    # whole sets of what is left, read from the texts once, with parities wide enough for long lines;
+    # rows that repeat key and text have the same sets, of which one is enough
+    wanted = close.groupBy("uid").agg(F.collect_set("line").alias("wanted"))
+    split = base.join(wanted, "uid").select("uid", "doc", "wanted", F.split("text", "\n", -1).alias("all"))
+    whole = split.select("uid", "doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get("all", i), codes).alias("tokens")))).alias("x"))
+    whole = materialize(whole.select("uid", "doc", "x.line", "x.tokens"), "whole-lines")
+    sketches = whole.select("uid", "doc", "line", F.size("tokens").alias("n"), *_wide_parity(F.col("tokens"))).dropDuplicates(["uid", "line"])
     wide = " + ".join(f"bit_count(a.p{w} ^ b.p{w})" for w in range(N_WIDE))
     closer = near.replace("bits", f"({wide})")
-    rows = materialize(close.join(sketches, ["doc", "line"]), "close-sketches")
+    rows = materialize(close.join(sketches, ["uid", "line"]), "close-sketches")
     close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(closer), "left_semi"), "closer-lines")
-    whole = materialize(whole.join(close.select("doc", "line").distinct(), ["doc", "line"], "left_semi"), "closer-sets")
+    whole = materialize(whole.drop("doc").join(close.select("uid", "line").distinct(), ["uid", "line"], "left_semi").dropDuplicates(["uid", "line"]), "closer-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The lines of pairs (doc, line, other) whose sets are similar to those of their others."""
-        sides = pairs.join(whole, ["doc", "line"]).join(whole.select(F.struct("doc", "line").alias("other"), F.col("tokens").alias("others")), "other")
-        return sides.where(f"{p} * size(array_intersect(tokens, others)) >= {q} * (size(tokens) + size(others))").select("doc", "line").distinct()
+        """The lines of pairs (uid, line, other) whose sets are similar to those of their others."""
+        sides = pairs.join(whole, ["uid", "line"]).join(whole.select(F.struct("uid", "line").alias("other"), F.col("tokens").alias("others")), "other")
+        return sides.where(f"{p} * size(array_intersect(tokens, others)) >= {q} * (size(tokens) + size(others))").select("uid", "line").distinct()
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        """Pairs (doc, line, other) that pass the filters and share a token; the other is the earlier line."""
-        met = later.alias("a").join(earlier.alias("b"), F.expr(f"{closer} and struct(a.doc, a.line) > struct(b.doc, b.line)"))
-        return met.select("a.doc", "a.line", F.struct("b.doc", "b.line").alias("other")).distinct()
+        """Pairs (uid, line, other) that pass the filters and share a token; the other is the earlier line."""
+        met = later.alias("a").join(earlier.alias("b"), F.expr(f"{closer} and {PLACE.format('a.')} > {PLACE.format('b.')}"))
+        return met.select("a.uid", "a.line", F.struct("b.uid", "b.line").alias("other")).distinct()
 
     # A token's earliest line is tried first: as many pairs as tokens, and in a group of similar lines one
     # does for each. Only what these leave open is tried against every earlier line that passed with it.
-    columns = ["doc", "line", "at", "n", *(f"p{w}" for w in range(N_WIDE))]
-    earliest = close.groupBy("token").agg(F.min(F.struct(*columns)).alias("x")).select("token", "x.*")
+    columns = ["uid", "doc", "line", "at", "n", *(f"p{w}" for w in range(N_WIDE))]
+    earliest = close.groupBy("token").agg(F.min(F.struct(F.expr(PLACE.format("")).alias("place"), *columns)).alias("x")).select("token", *[f"x.{c}" for c in columns])
     found = materialize(similar(pairs(close, earliest)), "verified-lines")
-    open_rows = close.join(found, ["doc", "line"], "left_anti")
+    open_rows = close.join(found, ["uid", "line"], "left_anti")
     rest = materialize(similar(pairs(open_rows, close)), "verified-rest")
-    return copies.unionByName(found).unionByName(rest)
+    near_sets = found.unionByName(rest)
+    tied = copies.where("tied is not null").join(near_sets.withColumnRenamed("uid", "tied"), ["tied", "line"]).select("uid", "line")
+    return copies.where("tied is null").select("uid", "line").unionByName(near_sets).unionByName(tied)
 
 
 def _base(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    return df.select(row_id(key, text).alias("uid"), order_of(key).alias("doc"), F.col(text).alias("text"))
 
 
 def line_dedup(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SIMILARITY) -> DataFrame:
@@ -165,19 +170,19 @@ def line_dedup(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SI
     with that of an earlier line of the corpus, removed or not; lines without words stay. Counts
     and candidates cover the whole corpus.
 
-    A null text stays null, with no lines. A null key counts as larger than all others. Rows that
-    repeat a key are taken as repeats of one document: their equal lines are one line. An empty
-    table gives no rows; columns of ``df`` named like the new ones are replaced. ``key`` must be a
-    whole number.
+    A null text stays null, with no lines. A null key counts as larger than all others. Among rows
+    of one key, or of null keys, the smaller line is the earlier one, and lines with one number do
+    not count as each other's earlier line; each row loses its own lines only. An empty table gives
+    no rows; columns of ``df`` named like the new ones are replaced. ``key`` must be a whole number.
     """
-    found = materialize(duplicate_lines(df, key, text, similarity).groupBy("doc").agg(F.collect_set("line").alias("gone")), "gone-lines")
+    found = materialize(duplicate_lines(df, key, text, similarity).groupBy("uid").agg(F.collect_set("line").alias("gone")), "gone-lines")
     rows = fresh(df, "n_lines", "n_removed")
-    doc, gone, kept, split = (free_name(rows, x) for x in ("doc", "gone", "kept", "split"))
-    keyed = rows.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
-    joined = keyed.join(found.select(F.col("doc").alias(doc), F.col("gone").alias(gone)), doc, "left").withColumn(split, F.split(F.col(text), "\n", -1))
+    uid, gone, kept, split = (free_name(rows, x) for x in ("uid", "gone", "kept", "split"))
+    keyed = rows.withColumn(uid, row_id(key, text))
+    joined = keyed.join(found.select(F.col("uid").alias(uid), F.col("gone").alias(gone)), uid, "left").withColumn(split, F.split(F.col(text), "\n", -1))
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split))
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     out = joined.withColumn(kept, F.when(F.col(gone).isNotNull() & F.col(text).isNotNull(), left))
     out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(F.col(kept).isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long"))
     new = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.col(kept), lambda i: F.get(F.col(split), i)), "\n"))
-    return out.withColumn(text, new).drop(doc, gone, kept, split)
+    return out.withColumn(text, new).drop(uid, gone, kept, split)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchflow.llm.tables import materialize
+from pitchflow.llm.tables import LAST, materialize, order_of, row_id
 
 WINDOW = 20
 GRAM = 8
@@ -40,8 +40,6 @@ HOT_PART = 2_000
 HOT_LEAST = 256
 #: Words hashed at once.
 CHUNK = 200_000
-#: Stands for a null id, after all others.
-LAST = (1 << 63) - 1
 
 # ---------------------------------------------------------------- hashes of word sequences
 
@@ -147,33 +145,33 @@ def chunked(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[Words, np.nda
 
 
 def _scout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text -> anchors. Those that a task meets more than once are known to recur: each becomes a
+    """uid, text -> anchors. Those that a task meets more than once are known to recur: each becomes a
     mark at once, and one row with the count stands for all of them."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def summed() -> pa.RecordBatch:
-        value, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, uid, at = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.argsort(value, kind="stable")
-        value, doc, at = value[order], doc[order], at[order]
+        value, uid, at = value[order], uid[order], at[order]
         starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         count = np.diff(np.concatenate((starts, [len(value)])))
         many = np.repeat(count > 1, count)
         lone, group = ~many, starts[count > 1]
-        spread = value ^ (doc * np.int64(0x2545F491) + at * np.int64(0x9E3779B1))
+        spread = value ^ (uid * np.int64(0x2545F491) + at * np.int64(0x9E3779B1))
         columns = [
             np.concatenate((value[lone], value[group], spread[many])),
             np.concatenate((value[lone], value[group], value[many])),
-            np.concatenate((doc[lone], doc[group], doc[many])),
+            np.concatenate((uid[lone], uid[group], uid[many])),
             np.concatenate((at[lone], at[group], at[many])),
             np.concatenate((np.ones(lone.sum(), np.int64), count[count > 1], np.zeros(many.sum(), np.int64))),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["spread", "value", "doc", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["spread", "value", "uid", "at", "n"])
 
     for batch in batches:
-        docs = batch.column(0).to_numpy()
+        uids = batch.column(0).to_numpy()
         for words, rows, begins in chunked(batch.column(1), np.arange(batch.num_rows)):
-            held.append((words.value, docs[rows[words.part]], words.anchor - words.first[words.part] + begins[words.part]))
+            held.append((words.value, uids[rows[words.part]], words.anchor - words.first[words.part] + begins[words.part]))
         if sum(len(x[0]) for x in held) >= HELD_ROWS:
             yield summed()
     if held:
@@ -181,7 +179,7 @@ def _scout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors ordered by value -> marks (n null), frequent anchors (doc null), the number of anchors (both)."""
+    """Anchors ordered by value -> marks (n null), frequent anchors (uid null), the number of anchors (both)."""
     held: list[np.ndarray] = []
     total = 0
     for columns, last in _then_end(batches):
@@ -195,7 +193,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not columns or not len(columns[0]):
             held = []
             continue
-        value, doc, at, n = columns
+        value, uid, at, n = columns
         starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         end = len(value) if last else int(starts[-1])
         held = [c[end:] for c in columns]
@@ -205,7 +203,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.add.reduceat(n[:end], starts)
         total += int(sums.sum())
         again = (np.repeat(sums, np.diff(np.concatenate((starts, [end])))) > 1) & (n[:end] == 1)
-        yield _mark_batch(doc[:end][again], at[:end][again])
+        yield _mark_batch(uid[:end][again], at[:end][again])
         often = sums >= HOT_LEAST
         if often.any():
             yield _mark_batch(None, value[starts[often]], sums[often])
@@ -213,9 +211,9 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _mark_batch(None, None, np.asarray([total]))
 
 
-def _mark_batch(doc: np.ndarray | None, at: np.ndarray | None, n: np.ndarray | None = None) -> pa.RecordBatch:
-    size = len(next(x for x in (doc, at, n) if x is not None))
-    return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if x is None else pa.array(x) for x in (doc, at, n)], names=["doc", "at", "n"])
+def _mark_batch(uid: np.ndarray | None, at: np.ndarray | None, n: np.ndarray | None = None) -> pa.RecordBatch:
+    size = len(next(x for x in (uid, at, n) if x is not None))
+    return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if x is None else pa.array(x) for x in (uid, at, n)], names=["uid", "at", "n"])
 
 
 def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -227,18 +225,18 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarr
 
 # ---------------------------------------------------------------- 2. spans of marked anchors
 
-_SPAN = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("span", pa.binary())])
+_SPAN = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("span", pa.binary())])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """doc, text, marks -> spans, each distinct one once a task, at its earliest place there.
+    """uid, doc, text, marks -> spans, each distinct one once a task, at its earliest place there.
 
     The later places of a span within the task are windows to remove already (span is null, and
     shard only spreads them). Spans of hot anchors are cut into their single windows,
     which go by their own hash.
     """
-    first: dict[bytes, tuple[int, int, int, int]] = {}
-    later: list[tuple[int, int, int]] = []
+    first: dict[bytes, tuple[int, int, int, int, int]] = {}
+    later: list[tuple[int, int, int, int]] = []
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -246,41 +244,42 @@ def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[p
         if first:
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*first.values(), strict=True)), pa.array(list(first), pa.binary())], schema=_SPAN)
         if later:
-            n, doc, low = (np.asarray(x, np.int64) for x in zip(*later, strict=True))
-            spread = -1 - ((doc * np.int64(0x2545F491) + low * np.int64(0x9E3779B1)) & np.int64(LAST >> 1))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, doc, low, n)), pa.nulls(len(n), pa.binary())], schema=_SPAN)
+            doc, uid, low, n = (np.asarray(x, np.int64) for x in zip(*later, strict=True))
+            spread = -1 - ((uid * np.int64(0x2545F491) + low * np.int64(0x9E3779B1)) & np.int64(LAST >> 1))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, doc, uid, low, n)), pa.nulls(len(n), pa.binary())], schema=_SPAN)
         first.clear()
         later.clear()
         size = 0
 
-    def add(span: bytes, shard: int, doc: int, low: int, n: int) -> None:
+    def add(span: bytes, shard: int, doc: int, uid: int, low: int, n: int) -> None:
         nonlocal size
         found = first.get(span)
         if found is None:
-            first[span] = (shard, doc, low, n)
+            first[span] = (shard, doc, uid, low, n)
             size += len(span)
-        elif (doc, low) < found[1:3]:
-            first[span] = (shard, doc, low, n)
-            later.append((n, found[1], found[2]))
-        elif (doc, low) > found[1:3]:
-            later.append((n, doc, low))
+        elif (doc, uid, low) < found[1:4]:
+            first[span] = (shard, doc, uid, low, n)
+            later.append((*found[1:4], n))
+        elif (doc, uid, low) > found[1:4]:
+            later.append((doc, uid, low, n))
 
     for batch in batches:
-        docs, marks = batch.column(0).to_numpy(), batch.column(2)
-        for words, rows, begins in chunked(batch.column(1), np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))):
+        uids, docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+        for words, rows, begins in chunked(batch.column(2), np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))):
             place = words.anchor - words.first[words.part] + begins[words.part]
             for part, row in enumerate(rows.tolist()):
                 a, b = np.searchsorted(words.part, [part, part + 1])
                 mine = np.asarray(marks[row].values.to_numpy(zero_copy_only=False))
                 shift = int(begins[part] - words.first[part])
+                doc, uid = int(docs[row]), int(uids[row])
                 for i in (np.flatnonzero(np.isin(place[a:b], mine)) + a).tolist():
                     low, high, value = int(words.low[i]), int(words.high[i]), int(words.value[i])
                     if value in hot:
                         for s in range(low, high + 1):
                             window = words.span(s, s)
-                            add(window, xxhash.xxh64_intdigest(window) >> 1, int(docs[row]), s + shift, 1)
+                            add(window, xxhash.xxh64_intdigest(window) >> 1, doc, uid, s + shift, 1)
                     else:
-                        add(words.span(low, high), value & LAST, int(docs[row]), low + shift, high - low + 1)
+                        add(words.span(low, high), value & LAST, doc, uid, low + shift, high - low + 1)
             if size >= HELD_BYTES or len(later) >= HELD_ROWS:
                 yield from out()
     yield from out()
@@ -294,17 +293,18 @@ def _numbered(spans: list[bytes]) -> list[tuple[int, ...]]:
     return [tuple(numbers.setdefault(w, len(numbers)) for w in s.split(b" ")) for s in spans]
 
 
-def locate(spans: list[bytes], shard: np.ndarray, doc: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int]]:
-    """doc, first window, number of windows that start earlier elsewhere, for all places of whole anchors."""
+def locate(spans: list[bytes], shard: np.ndarray, doc: np.ndarray, uid: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int]]:
+    """uid, first window, number of windows that start earlier elsewhere, for all places of whole anchors."""
     out: list[tuple[int, int, int]] = []
-    first: dict[bytes, tuple[int, int]] = {}
-    for span, d, s in zip(spans, doc.tolist(), low.tolist(), strict=True):
-        if span not in first or (d, s) < first[span]:
-            first[span] = (d, s)
+    first: dict[bytes, tuple[int, int, int]] = {}
+    places = list(zip(doc.tolist(), uid.tolist(), low.tolist(), strict=True))
+    for span, place in zip(spans, places, strict=True):
+        if span not in first or place < first[span]:
+            first[span] = place
     size = {span: span.count(b" ") + 2 - WINDOW for span in first}
-    for span, d, s in zip(spans, doc.tolist(), low.tolist(), strict=True):
-        if (d, s) > first[span]:
-            out.append((d, s, size[span]))
+    for span, place in zip(spans, places, strict=True):
+        if place > first[span]:
+            out.append((*place[1:], size[span]))
     # anchors with one span have nothing else to find; passages come from those with several
     kinds: dict[int, set[bytes]] = {}
     for span, k in zip(spans, shard.tolist(), strict=True):
@@ -325,15 +325,15 @@ def locate(spans: list[bytes], shard: np.ndarray, doc: np.ndarray, low: np.ndarr
     for number, window in enumerate(passages):
         automaton.add_word(window, number)
     automaton.make_automaton()
-    hits: list[tuple[int, int, int]] = []  # passage, doc, window
+    hits: list[tuple[int, tuple[int, int, int]]] = []  # passage; doc, row, window
     for span, words in zip(several, numbered, strict=True):
-        d, s = first[span]
-        hits += [(passage, d, s + end + 1 - WINDOW) for end, passage in automaton.iter(words)]
-    earliest: dict[int, tuple[int, int]] = {}
-    for passage, d, s in hits:
-        if passage not in earliest or (d, s) < earliest[passage]:
-            earliest[passage] = (d, s)
-    return out + [(d, s, 1) for passage, d, s in hits if (d, s) > earliest[passage]]
+        d, u, s = first[span]
+        hits += [(passage, (d, u, s + end + 1 - WINDOW)) for end, passage in automaton.iter(words)]
+    earliest: dict[int, tuple[int, int, int]] = {}
+    for passage, place in hits:
+        if passage not in earliest or place < earliest[passage]:
+            earliest[passage] = place
+    return out + [(*place[1:], 1) for passage, place in hits if place > earliest[passage]]
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,15 +341,15 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        found = locate(table.column(4).to_pylist(), *(table.column(i).to_numpy() for i in range(3)))
-        doc, low, n = zip(*found, strict=True) if found else ((), (), ())
-        return _windows(np.asarray(doc, np.int64), np.asarray(low, np.int64), np.asarray(n, np.int64))
+        found = locate(table.column(5).to_pylist(), *(table.column(i).to_numpy() for i in range(4)))
+        uid, low, n = zip(*found, strict=True) if found else ((), (), ())
+        return _windows(np.asarray(uid, np.int64), np.asarray(low, np.int64), np.asarray(n, np.int64))
 
     for batch in batches:
-        known = batch.filter(batch.column(4).is_null())
+        known = batch.filter(batch.column(5).is_null())
         if known.num_rows:
-            yield _windows(*(known.column(i).to_numpy() for i in (1, 2, 3)))
-        batch = batch.filter(batch.column(4).is_valid())
+            yield _windows(*(known.column(i).to_numpy() for i in (2, 3, 4)))
+        batch = batch.filter(batch.column(5).is_valid())
         step = max(1, SHARD_WORDS // (WINDOW + GRAM))
         for at in range(0, batch.num_rows, step):
             held.append(batch.slice(at, step))
@@ -365,8 +365,8 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(pa.Table.from_batches(held))
 
 
-def _windows(doc: np.ndarray, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low), pa.array(n)], names=["doc", "low", "n"])
+def _windows(uid: np.ndarray, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(low), pa.array(n)], names=["uid", "low", "n"])
 
 
 # ---------------------------------------------------------------- 4. remove
@@ -407,26 +407,27 @@ def substring_dedup(df: DataFrame, key: str, text: str, *, with_text: bool = Fal
     Removes each word that is covered by 20 consecutive words which also start earlier: in a
     document with a smaller key, or earlier in the same one. Kept words are joined by one space.
 
-    A null text has no words. A null key counts as larger than all others. Rows that repeat a key
-    are taken as repeats of one document, so that they do not count as each other's earlier copy.
+    A null text has no words. A null key counts as larger than all others. Rows with one key, or
+    none, and different texts are documents of their own, in an order that their texts decide. Rows
+    that repeat key and text do not count as each other's earlier copy.
     An empty table gives no rows. ``key`` must be a whole number; other columns are not read.
     """
-    base = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).cast("binary").alias("text"))
-    anchors = base.mapInArrow(_scout, "spread long, value long, doc long, at long, n long")
-    met = anchors.repartition("spread").sortWithinPartitions("value").select("value", "doc", "at", "n")
-    found = materialize(met.mapInArrow(_marks, "doc long, at long, n long"), "anchors")
+    base = df.select(row_id(key, text).alias("uid"), order_of(key).alias("doc"), F.col(text).cast("binary").alias("text"))
+    anchors = base.select("uid", "text").mapInArrow(_scout, "spread long, value long, uid long, at long, n long")
+    met = anchors.repartition("spread").sortWithinPartitions("value").select("value", "uid", "at", "n")
+    found = materialize(met.mapInArrow(_marks, "uid long, at long, n long"), "anchors")
 
     # at most HOT_PART anchors can have more than one in HOT_PART of all occurrences
-    total = found.where("doc is null and at is null").agg(F.sum("n")).first()[0] or 0
-    often = found.where("doc is null and at is not null").where(F.col("n") > max(HOT_LEAST, total // HOT_PART))
+    total = found.where("uid is null and at is null").agg(F.sum("n")).first()[0] or 0
+    often = found.where("uid is null and at is not null").where(F.col("n") > max(HOT_LEAST, total // HOT_PART))
     hot = frozenset(r["at"] for r in often.collect())
 
-    marks = found.where("doc is not null").groupBy("doc").agg(F.collect_list("at").alias("marks"))
-    marked = base.join(marks, "doc", "left").select("doc", "text", "marks")
-    spans = marked.mapInArrow(lambda it: _spans(it, hot), "shard long, doc long, low long, n long, span binary")
-    windows = spans.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate, "doc long, low long, n long")
-    removed = windows.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("windows"))
+    marks = found.where("uid is not null").groupBy("uid").agg(F.collect_set("at").alias("marks"))
+    marked = base.join(marks, "uid", "left").select("uid", "doc", "text", "marks")
+    spans = marked.mapInArrow(lambda it: _spans(it, hot), "shard long, doc long, uid long, low long, n long, span binary")
+    windows = spans.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate, "uid long, low long, n long")
+    removed = windows.groupBy("uid").agg(F.collect_set(F.struct("low", "n")).alias("windows"))
     fields = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = base.join(removed, "doc", "left").select("doc", "text", "windows").mapInArrow(lambda it: _remove(it, with_text), fields)
+    out = base.join(removed, "uid", "left").select(F.when(F.col("uid") < 0, F.col("doc")).alias("doc"), "text", "windows").mapInArrow(lambda it: _remove(it, with_text), fields)
     kind = df.schema[key].dataType.simpleString()
-    return out.withColumn("doc", F.nullif(F.col("doc"), F.lit(LAST)).cast(kind)).withColumnRenamed("doc", key)
+    return out.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", key)

@@ -16,6 +16,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folder by application, for sessions without ``spark.checkpoint.dir``.
 _own: dict[str, str] = {}
 SPACES = " \t\n\x0b\x0c\r"
+#: Stands for a null key, after all others.
+LAST = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,3 +69,19 @@ def fresh(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` without columns that an operator is about to add."""
     wanted = {c.lower() for c in columns}
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
+
+
+def order_of(key: str) -> Column:
+    """A whole-number key as the place of its rows in the order of the corpus; see ``row_id`` for null keys."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST))
+
+
+def row_id(key: str, text: str) -> Column:
+    """A row's identity, which reruns reproduce: a hash of key and text. Only rows that repeat both share it.
+
+    It is negative if there is a key and not if the key is null, so ``order_of`` and the identity together
+    put null keys after the largest key.
+    """
+    found = F.col(key).cast("long")
+    h = F.xxhash64(found, F.col(text))
+    return F.when(found.isNull(), h.bitwiseAND(F.lit(LAST))).otherwise(h.bitwiseOR(F.lit(-LAST - 1)))
