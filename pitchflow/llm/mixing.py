@@ -40,7 +40,9 @@ def source_targets(sized: DataFrame, source: str, size: str, weights: Sequence[i
         # this source is not full if its share of what the sources before it leave is below its limit
         .withColumn("open", F.col("left") * F.col("weight") < full * F.col("left_weight"))
     )
-    first = F.min_by(F.when(F.col("open"), F.struct("left", "left_weight")), F.when(F.col("open"), full / F.col("weight"))).over(everything)
+    # of sources that tie in size per weight the first has the most weight left; those after it had it taken off as if full
+    place = F.struct((full / F.col("weight")).alias("ratio"), (-F.col("left_weight")).alias("place"))
+    first = F.min_by(F.when(F.col("open"), F.struct("left", "left_weight")), F.when(F.col("open"), place)).over(everything)
     target = F.when(F.col("open"), F.col("first.left").cast("double") * F.col("weight") / F.col("first.left_weight")).otherwise(full.cast("double"))
     return levelled.withColumn("first", first).select("source", "source_size", "weight", target.alias("target"))
 
