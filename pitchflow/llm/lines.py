@@ -2,10 +2,10 @@
 
 A line is the set of its words. The words of each line are ordered by rarity in the corpus; two
 sets with Jaccard similarity t share one of their first n - ceil(t n) + 1 words, so only these
-prefixes are joined, under the length, positional and parity filters. What passes is verified on
-whole sets. The join asks whether there is a partner and does not list pairs; lines are then
-verified against the earliest line of each of their words, so a group of many similar lines makes
-as many pairs as it has lines.
+prefixes are joined, under the length, positional and parity filters. The join asks whether there
+is a partner and does not list pairs. What passes is verified on the words themselves, against
+the earliest line of each of its rare words first, so a group of many similar lines makes as many
+pairs as it has lines.
 """
 
 from __future__ import annotations
@@ -15,69 +15,73 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchflow.llm.tables import free_name, fresh, materialize, order_of, row_id
+from pitchflow.llm.tables import Scratch, free_name, fresh, materialize, order_of, row_id
 
 MIN_SIMILARITY = Fraction(4, 5)
 #: Words are counted in so many buckets by hash, whatever the size of the corpus; rarity is the bucket's count.
 N_BUCKETS = 1 << 16
-#: Numbers of 64 bits in the second, wider parity; a power of two.
-N_WIDE = 4
 _HASH_BITS = 48
 _HASH_MASK = (1 << _HASH_BITS) - 1
 #: A line's place in the order of the corpus; rows of one key share places, and null keys come last.
 PLACE = "struct({0}doc, {0}uid >= 0 as none, {0}line)"
 
 
-def _words(text: Column) -> Column:
-    """Words of a text; a leading or trailing empty string is left in."""
-    return F.split(text, r"[\x20\x09-\x0D]+")
+def _spaced(text: Column) -> Column:
+    """The text with each space character but the line feed as a plain space."""
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(N_BUCKETS))
+def _words(line: Column) -> Column:
+    """Words of a spaced line, with empty strings between them where several spaces meet."""
+    return F.split(line, " ")
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(N_BUCKETS - 1)).cast("int")
 
 
 def rarity(df: DataFrame, text: str) -> list[int]:
-    """For each bucket of words the logarithm of its count, as a whole number; always ``N_BUCKETS`` of them."""
-    words = df.select(F.explode(_words(F.col(text))).alias("word")).where("word <> ''")
-    counts = words.groupBy(_bucket(F.col("word")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    codes = df.sparkSession.range(N_BUCKETS).join(counts, "id", "left").select("id", F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 512).cast("int").alias("code"))
-    return [r["code"] for r in codes.orderBy("id").collect()]
+    """For each bucket of words the logarithm of its count, as a small whole number; always ``N_BUCKETS`` of them."""
+    words = df.select(F.explode(_words(F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" ")))).alias("word")).where("word <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("id")).agg(F.floor(F.log2(F.count(F.lit(1)) + 1) * 4).cast("int").alias("code"))
+    found = dict(counts.collect())
+    return [found.get(i, 0) for i in range(N_BUCKETS)]
 
 
 def code_table(codes: list[int]) -> Column:
-    """The codes as one constant array, each shifted to the bits above the hash."""
-    return F.split(F.lit(",".join(str(c << _HASH_BITS) for c in codes)), ",").cast("array<bigint>")
+    """The codes as one constant array."""
+    return F.split(F.lit(",".join(map(str, codes))), ",").cast("array<int>")
 
 
-def token_set(line: Column, codes: Column) -> Column:
-    """The distinct words of a line as numbers in order of rarity: the bucket's code, then 48 bits of the hash."""
+def word_hashes(line: Column) -> Column:
+    """64-bit hashes of the distinct words of a spaced line, in order."""
+    hashes = F.array_distinct(F.transform(_words(line), lambda word: F.xxhash64(word)))
+    return F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
-    def number(h: Column) -> Column:
-        code = F.get(codes, h.bitwiseAND(F.lit(N_BUCKETS - 1)).cast("int"))
-        return code.bitwiseOR(h.bitwiseAND(F.lit(_HASH_MASK)))
 
-    hashes = F.array_distinct(F.transform(_words(line), lambda word: F.xxhash64(word)))
-    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), number))
+def by_rarity(hashes: Column, codes: Column) -> Column:
+    """Words as numbers in order of rarity: the bucket's code, then 48 bits of the hash."""
 
+    def number(h: Column) -> Column:
+        return F.call_function("shiftleft", F.get(codes, _bucket(h)).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit(_HASH_MASK)))
 
-def _bit(token: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+    return F.sort_array(F.transform(hashes, number))
 
 
-def _parity(tokens: Column) -> Column:
-    """64 bits, each flipped by every word that falls on it: sets differ in at least as many words as bits."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _wide_parity(tokens: Column) -> list[Column]:
-    """The same with ``64 * N_WIDE`` bits, in as many numbers, for long lines."""
+def _parity(hashes: Column) -> Column:
+    """64 bits, each flipped by every word that falls on it: sets differ in at least as many words as bits."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(_bit(h)))
 
-    def one(w: int) -> Column:
-        mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(N_WIDE - 1)) == w
-        return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: F.when(mine(x), a.bitwiseXOR(_bit(x))).otherwise(a))
 
-    return [one(w).alias(f"p{w}") for w in range(N_WIDE)]
+def _half_parity(hashes: Column) -> Column:
+    """The parity of one half of the words, by another bit of the hash; the whole gives that of the other half."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 0, a).otherwise(a.bitwiseXOR(_bit(h))))
 
 
 def _prefix(tokens: Column, n: Column, t: Fraction) -> Column:
@@ -89,74 +93,73 @@ def _similar(t: Fraction) -> tuple[int, int]:
     return t.numerator + t.denominator, t.numerator
 
 
-def _lines(base: DataFrame, codes: Column) -> DataFrame:
-    """uid, doc, line, n, tokens of every line with a word. The sets are made before the explode, so once."""
-    sets = F.transform(F.split("text", "\n", -1), lambda x: token_set(x, codes))
-    return base.select("uid", "doc", F.posexplode(sets).alias("line", "tokens")).withColumn("n", F.size("tokens")).where("n > 0")
+def _sketches(base: DataFrame, codes: Column, t: Fraction) -> DataFrame:
+    """A row for every line with a word: place, number of words, two hashes of the set, parities, prefix."""
+    sets = F.transform(F.split(_spaced(F.col("text")), "\n", -1), word_hashes)
+    lines = base.select("uid", "doc", F.posexplode(sets).alias("line", "hashes")).where(F.size("hashes") > 0)
+    h, n = F.col("hashes"), F.size("hashes")
+    made = lines.select("uid", "doc", "line", n.alias("n"), F.xxhash64(h).alias("h1"), F.xxhash64(F.lit(1), h).alias("h2"), _parity(h).alias("whole"), _half_parity(h).alias("half"), _prefix(by_rarity(h, codes), n, t).alias("prefix"))
+    return made.withColumn("whole", F.expr("whole ^ half"))
 
 
 def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SIMILARITY) -> DataFrame:
     """``uid`` (``row_id``), ``line``: the lines (from 0) whose word set is similar to that of an earlier line.
 
-    Earlier is a smaller key, or the same key and a smaller line. See ``line_dedup``.
+    Earlier is a smaller key, or the same key and a smaller line. See ``line_dedup``. A written table.
     """
     t, (p, q) = similarity, _similar(similarity)
-    base = _base(df, key, text)
-    codes = code_table(rarity(base, "text"))
-    tokens = _lines(base, codes)
-    sketch = tokens.select("uid", "doc", "line", "n", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), _parity(F.col("tokens")).alias("parity"), _prefix(F.col("tokens"), F.col("n"), t).alias("prefix"))
-    lines = materialize(sketch, "lines")
+    base, scratch = _base(df, key, text), Scratch(df.sparkSession)
+    lines = scratch.write(_sketches(base, code_table(rarity(base, "text")), t), "lines")
 
     # equal sets: all but the first place are later matches; other rows' lines at that place go if the set goes
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(F.expr(PLACE.format("")).alias("place"), "uid")).alias("first"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")])
-    sets = materialize(firsts.select("h1", "h2", "first.uid", "first.place.doc", "first.place.line", "n", "parity", "prefix"), "line-sets")
+    sketch = ("n", "whole", "half", "prefix")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(F.expr(PLACE.format("")).alias("place"), "uid")).alias("first"), *[F.first(c).alias(c) for c in sketch])
+    sets = scratch.write(firsts.select("h1", "h2", "first.uid", "first.place.doc", "first.place.line", *sketch), "line-sets")
     met = lines.select("h1", "h2", "uid", "doc", "line").alias("a").join(sets.select("h1", "h2", "uid", "doc", "line").alias("b"), ["h1", "h2"])
     met = met.withColumn("later", F.expr(f"{PLACE.format('a.')} > {PLACE.format('b.')}")).where("later or a.uid <> b.uid")
-    copies = materialize(met.select("a.uid", "a.line", F.expr("if(later, null, b.uid)").alias("tied")), "later-lines")
+    copies = scratch.write(met.select("a.uid", "a.line", F.expr("if(later, null, b.uid)").alias("tied")), "later-lines")
+    scratch.drop("lines")
 
     # different sets: the smaller of two similar ones has at least t / (1 - t) words
     least = -(-t.numerator // (t.denominator - t.numerator))
-    rows = sets.where(F.col("n") >= least).select("uid", "line", "n", "parity", F.posexplode("prefix").alias("at", "token"))
-    sizes = f"{t.denominator} * least(a.n, b.n) >= {t.numerator} * greatest(a.n, b.n)"
-    near = f"""a.token = b.token and (a.uid <> b.uid or a.line <> b.line) and {sizes}
+    rows = sets.where(F.col("n") >= least).select("uid", "line", "n", "whole", "half", F.posexplode("prefix").alias("at", "token"))
+    near = f"""a.token = b.token and (a.uid <> b.uid or a.line <> b.line) and {t.denominator} * least(a.n, b.n) >= {t.numerator} * greatest(a.n, b.n)
         and {p} * (least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) >= {q} * (a.n + b.n)
-        and {t.denominator + t.numerator} * bits <= {t.denominator - t.numerator} * (a.n + b.n)"""
-    light = near.replace("bits", "bit_count(a.parity ^ b.parity)")
-    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(light), "left_semi").select("token", "at", "uid", "line"), "close-lines")
+        and {t.denominator + t.numerator} * (bit_count(a.whole ^ b.whole) + bit_count(a.half ^ b.half)) <= {t.denominator - t.numerator} * (a.n + b.n)"""
+    close = scratch.write(rows.alias("a").join(rows.alias("b"), F.expr(near), "left_semi").select("token", "at", "uid", "line"), "close-lines")
+    close = scratch.write(close.join(sets.select("uid", "doc", "line", "n", "whole", "half"), ["uid", "line"]), "close-sketches")
+    scratch.drop("line-sets", "close-lines")
 
-    # whole sets of what is left, read from the texts once, with parities wide enough for long lines;
-    # rows that repeat key and text have the same sets, of which one is enough
+    # the words of what is left, from the texts; rows that repeat key and text have the same, of which one is enough
     wanted = close.groupBy("uid").agg(F.collect_set("line").alias("wanted"))
-    split = base.join(wanted, "uid").select("uid", "doc", "wanted", F.split("text", "\n", -1).alias("all"))
-    whole = split.select("uid", "doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), token_set(F.get("all", i), codes).alias("tokens")))).alias("x"))
-    whole = materialize(whole.select("uid", "doc", "x.line", "x.tokens"), "whole-lines")
-    sketches = whole.select("uid", "doc", "line", F.size("tokens").alias("n"), *_wide_parity(F.col("tokens"))).dropDuplicates(["uid", "line"])
-    wide = " + ".join(f"bit_count(a.p{w} ^ b.p{w})" for w in range(N_WIDE))
-    closer = near.replace("bits", f"({wide})")
-    rows = materialize(close.join(sketches, ["uid", "line"]), "close-sketches")
-    close = materialize(rows.alias("a").join(rows.alias("b"), F.expr(closer), "left_semi"), "closer-lines")
-    whole = materialize(whole.drop("doc").join(close.select("uid", "line").distinct(), ["uid", "line"], "left_semi").dropDuplicates(["uid", "line"]), "closer-sets")
+    split = base.select("uid", "text").join(wanted, "uid").select("uid", "wanted", F.split(_spaced(F.col("text")), "\n", -1).alias("all"))
+    whole = split.select("uid", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.array_distinct(F.array_remove(_words(F.get("all", i)), "")).alias("words")))).alias("x"))
+    whole = scratch.write(whole.select("uid", "x.line", "x.words").dropDuplicates(["uid", "line"]), "close-words")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The lines of pairs (uid, line, other) whose sets are similar to those of their others."""
-        sides = pairs.join(whole, ["uid", "line"]).join(whole.select(F.struct("uid", "line").alias("other"), F.col("tokens").alias("others")), "other")
-        return sides.where(f"{p} * size(array_intersect(tokens, others)) >= {q} * (size(tokens) + size(others))").select("uid", "line").distinct()
+        sides = pairs.join(whole, ["uid", "line"]).join(whole.select(F.struct("uid", "line").alias("other"), F.col("words").alias("others")), "other")
+        return sides.where(f"{p} * size(array_intersect(words, others)) >= {q} * (size(words) + size(others))").select("uid", "line").distinct()
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
         """Pairs (uid, line, other) that pass the filters and share a token; the other is the earlier line."""
-        met = later.alias("a").join(earlier.alias("b"), F.expr(f"{closer} and {PLACE.format('a.')} > {PLACE.format('b.')}"))
+        met = later.alias("a").join(earlier.alias("b"), F.expr(f"{near} and {PLACE.format('a.')} > {PLACE.format('b.')}"))
         return met.select("a.uid", "a.line", F.struct("b.uid", "b.line").alias("other")).distinct()
 
     # A token's earliest line is tried first: as many pairs as tokens, and in a group of similar lines one
     # does for each. Only what these leave open is tried against every earlier line that passed with it.
-    columns = ["uid", "doc", "line", "at", "n", *(f"p{w}" for w in range(N_WIDE))]
+    columns = ["uid", "doc", "line", "at", "n", "whole", "half"]
     earliest = close.groupBy("token").agg(F.min(F.struct(F.expr(PLACE.format("")).alias("place"), *columns)).alias("x")).select("token", *[f"x.{c}" for c in columns])
-    found = materialize(similar(pairs(close, earliest)), "verified-lines")
+    found = scratch.write(similar(pairs(close, earliest)), "verified-lines")
     open_rows = close.join(found, ["uid", "line"], "left_anti")
-    rest = materialize(similar(pairs(open_rows, close)), "verified-rest")
+    rest = scratch.write(similar(pairs(open_rows, close)), "verified-rest")
+    scratch.drop("close-sketches", "close-words")
     near_sets = found.unionByName(rest)
     tied = copies.where("tied is not null").join(near_sets.withColumnRenamed("uid", "tied"), ["tied", "line"]).select("uid", "line")
-    return copies.where("tied is null").select("uid", "line").unionByName(near_sets).unionByName(tied)
+    gone = copies.where("tied is null").select("uid", "line").unionByName(near_sets).unionByName(tied)
+    out = materialize(gone, "duplicate-lines")
+    scratch.drop("later-lines", "verified-lines", "verified-rest")
+    return out
 
 
 def _base(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -168,7 +171,8 @@ def line_dedup(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SI
 
     Lines end at \\n. A line is removed if its set of words has at least ``similarity`` (Jaccard)
     with that of an earlier line of the corpus, removed or not; lines without words stay. Counts
-    and candidates cover the whole corpus.
+    and candidates cover the whole corpus. Similar lines are verified on their words; lines count
+    as equal where the 64-bit hashes of their words are the same set (held by two 64-bit hashes).
 
     A null text stays null, with no lines. A null key counts as larger than all others. Among rows
     of one key, or of null keys, the smaller line is the earlier one, and lines with one number do

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchflow.llm.components import components
-from pitchflow.llm.tables import free_name, materialize
+from pitchflow.llm.tables import free_name, materialize, order_of, row_id
 
 SEED = 42
 N_WINDOW = 3
@@ -205,6 +205,19 @@ def near_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS, block: int
     return ordered.mapInArrow(lambda it: _compare(it, max_bits), "a long, b long")
 
 
+def _grouped(df: DataFrame, key: str, text: str, n: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, fp) of ``df``, and of each fingerprint: its component and the smallest key and first row there.
+
+    What joins on a component or fingerprint is a written table, so AQE can split hot ones.
+    """
+    rows = df.select(F.col(key).alias("key"), order_of(key).alias("doc"), row_id(key, text).alias("uid"), F.col(text).alias("text"))
+    fps = materialize(fingerprints(rows, "text", "key", "doc", "uid", n=n), "fps")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("key").alias("first"), F.min(F.struct("doc", "uid")).alias("head")), "distinct-fps")
+    links = near_fingerprints(distinct, max_bits).distinct()
+    by_fp = components(links, "a", "b").withColumnRenamed("node", "fp")
+    return fps.select("key", "fp"), materialize(distinct.join(by_fp, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+
+
 def simhash_components(df: DataFrame, key: str, text: str, *, n: int = N_WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``df``: ``key``, ``fingerprint`` (16 hexadecimal digits), ``component_id``.
 
@@ -212,31 +225,27 @@ def simhash_components(df: DataFrame, key: str, text: str, *, n: int = N_WINDOW,
     Texts of under ``n`` words hash as a whole; null and empty texts have fingerprint zero and are
     linked like others. Equal fingerprints are merged before anything is compared. Null keys are
     never the smallest unless the whole component has none; repeated rows give repeated rows; an
-    empty table gives none. ``key`` must be a whole number.
+    empty table gives none; other columns of ``df`` are not read. ``key`` must be a whole number.
     """
-    fps = materialize(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "key", n=n), "fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("key").alias("first")), "distinct-fps")
-    links = near_fingerprints(distinct, max_bits).distinct()
-    by_fp = components(links, "a", "b").withColumnRenamed("node", "fp")
-    # components of fingerprints are named by a fingerprint; name them by their smallest key instead.
-    # Everything that joins on a component or fingerprint is a written table, so AQE can split hot ones.
-    named = materialize(distinct.join(by_fp, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    fps, named = _grouped(df, key, text, n, max_bits)
+    # components of fingerprints are named by a fingerprint; name them by their smallest key instead
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest-keys")
     ids = materialize(named.join(smallest, "component").select("fp", "component_id"), "fp-ids")
     out = fps.join(ids, "fp")
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(df: DataFrame, key: str, text: str, **settings: int) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of their component; of repeated rows with it, one stays.
+def simhash_dedup(df: DataFrame, key: str, text: str, *, n: int = N_WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
+    """Of each component one row of ``df``, with all columns: that with the smallest key.
 
-    All columns are kept. Rows with a null key stay, as nothing tells them apart from others.
+    Rows with one key, or none, and different texts are rows of their own; null keys come after all
+    others, and among equal keys the texts decide. Of rows that repeat key and text one stays. An
+    empty table gives no rows; ``key`` must be a whole number.
     """
-    found = simhash_components(df, key, text, **settings)
-    first = free_name(df, "first_key")
-    firsts = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(first)).distinct()
-    kept = df.join(firsts, F.col(key) == F.col(first), "left_semi")
-    return kept.dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    _, named = _grouped(df, key, text, n, max_bits)
+    uid = free_name(df, "uid")
+    heads = named.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.uid").alias(uid))
+    return df.withColumn(uid, row_id(key, text)).join(heads, uid, "left_semi").dropDuplicates([uid]).drop(uid)
 
 
 __all__ = ["anchors", "fingerprint", "fingerprints", "near_fingerprints", "simhash_components", "simhash_dedup"]

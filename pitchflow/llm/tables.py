@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 #: The characters that separate words, in Java regex and as a plain string.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Session setting: a query's shuffle files go when the query has ended, not when the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folder by application, for sessions without ``spark.checkpoint.dir``.
+#: Session settings, put in where unset: a query's shuffle files go when the query has ended, not when the
+#: driver collects its garbage, and what the driver keeps of a plan's text is bounded.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "65536"}
+#: Folder by application, for local sessions without ``spark.checkpoint.dir``.
 _own: dict[str, str] = {}
 SPACES = " \t\n\x0b\x0c\r"
 #: Stands for a null key, after all others.
@@ -21,9 +22,12 @@ LAST = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); set to a new one only where unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``). Only a local session may go without: it gets a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not found:  # the setting cannot be changed in a running session, so the choice is kept here
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # the setting cannot be changed in a running session, so the choice is kept here
         found = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
     return found.rstrip("/")
 
@@ -32,20 +36,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pitchflow-{name}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     The result no longer depends on shuffle files or executors; a lost executor costs one task's reread.
-    Shuffle files of the write are removed when it has ended.
     """
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, shared_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Written tables of one run of an operator, which go one by one when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = shared_path(self.spark, name)
+        return _write(df, self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables; whatever was derived from them must have been written before."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for name in names:
+            path = hadoop.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,13 +18,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchflow.llm.chunks import Remembered, chunks
+from pitchflow.llm.pieces import Parts
 from pitchflow.llm.tables import fresh
 
-# The byte-level pre-tokenizer's pattern.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def byte_letters() -> list[str]:
     """The letter that the vocabulary file writes for each byte: printable ones stand for themselves."""
     plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -52,9 +48,7 @@ class Counter:
         self.merge = {(number[a], number[b]): (rank, number[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pieces = regex.compile(PATTERN).findall
-        self.piece = Remembered(lambda p: self.count_piece(p.encode("utf-8", "surrogatepass")))
-        self.spaced = Remembered(lambda chunk: self.count_plain(" " + chunk))
+        self.parts = Parts(lambda some: [self.count_piece(p.encode("utf-8", "surrogatepass")) for p in some], sum)
 
     def count_piece(self, piece: bytes) -> int:
         """Initial symbols minus merges of one piece."""
@@ -84,17 +78,11 @@ class Counter:
                 heapq.heappush(heap, (rank[0], h, symbol[h], symbol[i]))
         return left
 
-    def count_plain(self, text: str) -> int:
-        return sum(map(self.piece, self.pieces(text)))
-
     def count_run(self, text: str) -> int:
         """Tokens of a text in which special strings are not looked for."""
-        if not text:
-            return 0
-        if self.prefix and not text[0].isspace():
+        if self.prefix and text and not text[0].isspace():
             text = " " + text
-        first, *rest = chunks(text)
-        return self.count_plain(first) + sum(map(self.spaced, rest))
+        return self.parts(text)
 
     def count(self, text: str | None) -> int:
         """Tokens of a text; each special string in it is one."""
