@@ -94,12 +94,12 @@ def _similar(t: Fraction) -> tuple[int, int]:
 
 
 def _sketches(base: DataFrame, codes: Column, t: Fraction) -> DataFrame:
-    """A row for every line with a word: place, number of words, two hashes of the set, parities, prefix."""
+    """A row for every line with a word: place, number of words, two hashes of the set, parities, prefix, a number of its own."""
     sets = F.transform(F.split(_spaced(F.col("text")), "\n", -1), word_hashes)
     lines = base.select("uid", "doc", F.posexplode(sets).alias("line", "hashes")).where(F.size("hashes") > 0)
     h, n = F.col("hashes"), F.size("hashes")
     made = lines.select("uid", "doc", "line", n.alias("n"), F.xxhash64(h).alias("h1"), F.xxhash64(F.lit(1), h).alias("h2"), _parity(h).alias("whole"), _half_parity(h).alias("half"), _prefix(by_rarity(h, codes), n, t).alias("prefix"))
-    return made.withColumn("whole", F.expr("whole ^ half"))
+    return made.withColumn("whole", F.expr("whole ^ half")).withColumn("number", F.monotonically_increasing_id())
 
 
 def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SIMILARITY) -> DataFrame:
@@ -112,23 +112,21 @@ def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = M
     lines = scratch.write(_sketches(base, code_table(rarity(base, "text")), t), "lines")
 
     # equal sets: all but the first place are later matches; other rows' lines at that place go if the set goes
-    sketch = ("n", "whole", "half", "prefix")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(F.expr(PLACE.format("")).alias("place"), "uid")).alias("first"), *[F.first(c).alias(c) for c in sketch])
-    sets = scratch.write(firsts.select("h1", "h2", "first.uid", "first.place.doc", "first.place.line", *sketch), "line-sets")
-    met = lines.select("h1", "h2", "uid", "doc", "line").alias("a").join(sets.select("h1", "h2", "uid", "doc", "line").alias("b"), ["h1", "h2"])
-    met = met.withColumn("later", F.expr(f"{PLACE.format('a.')} > {PLACE.format('b.')}")).where("later or a.uid <> b.uid")
-    copies = scratch.write(met.select("a.uid", "a.line", F.expr("if(later, null, b.uid)").alias("tied")), "later-lines")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(F.expr(PLACE.format("")).alias("place"), "uid", "number")).alias("first"))
+    met = lines.join(firsts, ["h1", "h2"]).withColumn("is_first", F.expr("number = first.number")).withColumn("later", F.expr(f"{PLACE.format('')} > first.place"))
+    met = met.where("is_first or later or uid <> first.uid").select("uid", "doc", "line", "n", "whole", "half", "is_first", F.expr("if(is_first or later, null, first.uid)").alias("tied"), F.expr("if(is_first, prefix, null)").alias("prefix"))
+    placed = scratch.write(met, "placed-lines")
     scratch.drop("lines")
 
-    # different sets: the smaller of two similar ones has at least t / (1 - t) words
+    # different sets (both sides of the join have the same columns, so one exchange): the smaller of two similar ones has at least t / (1 - t) words
     least = -(-t.numerator // (t.denominator - t.numerator))
-    rows = sets.where(F.col("n") >= least).select("uid", "line", "n", "whole", "half", F.posexplode("prefix").alias("at", "token"))
-    near = f"""a.token = b.token and (a.uid <> b.uid or a.line <> b.line) and {t.denominator} * least(a.n, b.n) >= {t.numerator} * greatest(a.n, b.n)
+    rows = placed.where(F.col("is_first") & (F.col("n") >= least)).select("uid", "doc", "line", "n", "whole", "half", F.posexplode("prefix").alias("at", "token"))
+    near = f"""a.token = b.token and (a.uid <> b.uid or a.line <> b.line or a.doc <> b.doc) and {t.denominator} * least(a.n, b.n) >= {t.numerator} * greatest(a.n, b.n)
         and {p} * (least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) >= {q} * (a.n + b.n)
         and {t.denominator + t.numerator} * (bit_count(a.whole ^ b.whole) + bit_count(a.half ^ b.half)) <= {t.denominator - t.numerator} * (a.n + b.n)"""
-    close = scratch.write(rows.alias("a").join(rows.alias("b"), F.expr(near), "left_semi").select("token", "at", "uid", "line"), "close-lines")
-    close = scratch.write(close.join(sets.select("uid", "doc", "line", "n", "whole", "half"), ["uid", "line"]), "close-sketches")
-    scratch.drop("line-sets", "close-lines")
+    close = scratch.write(rows.alias("a").join(rows.alias("b"), F.expr(near), "left_semi"), "close-lines")
+    copies = scratch.write(placed.where("not is_first").select("uid", "line", "tied"), "later-lines")
+    scratch.drop("placed-lines")
 
     # the words of what is left, from the texts; rows that repeat key and text have the same, of which one is enough
     wanted = close.groupBy("uid").agg(F.collect_set("line").alias("wanted"))
@@ -153,7 +151,7 @@ def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = M
     found = scratch.write(similar(pairs(close, earliest)), "verified-lines")
     open_rows = close.join(found, ["uid", "line"], "left_anti")
     rest = scratch.write(similar(pairs(open_rows, close)), "verified-rest")
-    scratch.drop("close-sketches", "close-words")
+    scratch.drop("close-lines", "close-words")
     near_sets = found.unionByName(rest)
     tied = copies.where("tied is not null").join(near_sets.withColumnRenamed("uid", "tied"), ["tied", "line"]).select("uid", "line")
     gone = copies.where("tied is null").select("uid", "line").unionByName(near_sets).unionByName(tied)
@@ -181,12 +179,11 @@ def line_dedup(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SI
     """
     found = materialize(duplicate_lines(df, key, text, similarity).groupBy("uid").agg(F.collect_set("line").alias("gone")), "gone-lines")
     rows = fresh(df, "n_lines", "n_removed")
-    uid, gone, kept, split = (free_name(rows, x) for x in ("uid", "gone", "kept", "split"))
+    uid, gone = (free_name(rows, x) for x in ("uid", "gone"))
     keyed = rows.withColumn(uid, row_id(key, text))
-    joined = keyed.join(found.select(F.col("uid").alias(uid), F.col("gone").alias(gone)), uid, "left").withColumn(split, F.split(F.col(text), "\n", -1))
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split))
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
-    out = joined.withColumn(kept, F.when(F.col(gone).isNotNull() & F.col(text).isNotNull(), left))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(F.col(kept).isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long"))
-    new = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.col(kept), lambda i: F.get(F.col(split), i)), "\n"))
-    return out.withColumn(text, new).drop(uid, gone, kept, split)
+    joined = keyed.join(found.select(F.col("uid").alias(uid), F.col("gone").alias(gone)), uid, "left")
+    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
+    some = F.col(gone).isNotNull() & F.col(text).isNotNull()
+    left = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i))
+    removed = F.when(some, F.size(F.array_intersect(F.col(gone), F.sequence(F.lit(0), n - 1)))).otherwise(0)
+    return joined.withColumns({"n_lines": n.cast("long"), "n_removed": removed.cast("long"), text: F.when(some, F.array_join(left, "\n")).otherwise(F.col(text))}).drop(uid, gone)
