@@ -65,6 +65,12 @@ def week(partition: Sequence[str] = ("season", "home")) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy("match_date", "home", "match_id"))
 
 
+def row_key(columns: Sequence[str]) -> Column:
+    """A number of 60 bits that the values decide; nulls have a mark of their own. Equal rows have equal keys."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def clean(df: DataFrame, start_year: int, *, extended: bool = False, validate: bool = True) -> DataFrame:
     """Raw match columns -> match table: null rows out, dates parsed, repeated rows merged, derived columns added."""
     columns = [*BASE, *(EXTENDED if extended else ())]
@@ -75,7 +81,7 @@ def clean(df: DataFrame, start_year: int, *, extended: bool = False, validate: b
     if df.schema["match_date"].dataType.typeName() == "string":
         found = found.withColumn("match_date", parse_match_date(F.col("match_date")))
     found = found.dropDuplicates(columns)
-    keyed = found.withColumn("match_id", F.xxhash64(*columns))
+    keyed = found.withColumn("match_id", row_key(columns))
     uo = over_under(F.col("hg"), F.col("ag")).alias("result_uo")
     at = columns.index("result") + 1
     return keyed.withColumn("week", week()).select("match_id", *columns[:at], uo, *columns[at:], "week")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def statistics_map(statistics: Column) -> Column:
 
 
 def pair_siblings(flat: Column) -> Column:
-    """[category, value, category, value, ...] -> structs; a category without a value goes."""
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(flat) - 2, F.lit(0)), F.lit(2)), lambda i: F.struct(F.get(flat, i).alias("category"), F.get(flat, i + 1).alias("value")))
-    return F.when(F.size(flat) >= 2, pairs).otherwise(F.slice(pairs, 1, 0))
+    """[category, value, category, value, ...] -> structs; a last category without a value has a null one."""
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(flat) - 1, F.lit(0)), F.lit(2)), lambda i: F.struct(F.get(flat, i).alias("category"), F.get(flat, i + 1).alias("value")))
+    return F.when(F.size(flat) > 0, pairs).otherwise(F.slice(pairs, 1, 0))
 
 
 def flat_rows(df: DataFrame) -> DataFrame:
@@ -57,28 +59,73 @@ def flat_rows(df: DataFrame) -> DataFrame:
     return df.select("match_id", F.explode(leaves).alias("leaf")).select("match_id", "leaf.field", "leaf.value").where("value is not null")
 
 
+#: The order of a flat table's columns; information and statistics follow by name.
+FLAT_ORDER = ("stage", "status", "date", "home.name", "home.image", "away.name", "away.image", "result.home", "result.away", "result.regulationTime", "result.penalties")
+
+
 def flat_table(df: DataFrame, max_fields: int = 10_000) -> DataFrame:
-    """One row per document, a column for each field that any document has. Field names are read first."""
+    """One row per document, a column for each field that any document has. Field names are read first.
+
+    Columns come as documents nest them. If a document comes several times its largest values count.
+    """
     rows = flat_rows(df)
-    fields = sorted(r["field"] for r in rows.select("field").distinct().limit(max_fields + 1).collect())
-    if len(fields) > max_fields:
+    found = {r["field"] for r in rows.select("field").distinct().limit(max_fields + 1).collect()}
+    if len(found) > max_fields:
         raise ValueError(f"more than {max_fields} fields")
+    fields = [f for f in FLAT_ORDER if f in found] + sorted(found.difference(FLAT_ORDER))
     ids = df.select("match_id").distinct()
-    return ids.join(rows.groupBy("match_id").pivot("field", fields).agg(F.first("value")), "match_id", "left") if fields else ids
+    return ids.join(rows.groupBy("match_id").pivot("field", fields).agg(F.max("value")), "match_id", "left") if fields else ids
 
 
-def json_lines(df: DataFrame) -> DataFrame:
+def json_text(df: DataFrame) -> DataFrame:
+    """match_id and the document as JSON text; nulls are left out."""
     return df.select("match_id", F.to_json(F.struct(*[c for c in df.columns if c != "match_id"])).alias("document"))
 
 
-def write_documents(df: DataFrame, path: str, kind: str) -> None:
-    """'json' (one document a line, keyed by match_id), 'json-array' (the same rows with the id inside) or 'csv' (flat)."""
-    if kind == "json":
-        json_lines(df).write.mode("overwrite").json(path)
-    elif kind == "json-array":
-        df.write.mode("overwrite").json(path)
-    elif kind == "csv":
-        flat = flat_table(df)
-        flat.toDF(*flat.columns).write.mode("overwrite").option("header", True).csv(path)
-    else:
+def _framed(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Lines of one file: an object keyed by id, or an array of documents that hold their ids; two spaces a level."""
+    begin, end = ("{", "}") if kind == "json" else ("[", "]")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = begin
+        for frame in frames:
+            out = []
+            for key, text in zip(frame["match_id"], frame["document"], strict=True):
+                document = json.loads(text)
+                made = json.dumps(document if kind == "json" else {"matchId": key, **document}, indent=2, ensure_ascii=False).replace("\n", "\n  ")
+                out.append(f"{before}\n  {json.dumps(key, ensure_ascii=False)}: {made}" if kind == "json" else f"{before}\n  {made}")
+                before = ","
+            if out:
+                yield pd.DataFrame({"value": out})
+        if before == ",":
+            yield pd.DataFrame({"value": ["\n" + end]})
+
+    return run
+
+
+#: File types and the ends of their names.
+EXTENSIONS = {"json": ".json", "json-array": ".array.json", "csv": ".csv"}
+
+
+def file_name(name: str, kind: str) -> str:
+    """``name`` with the extension of its file type; another type is an error."""
+    if kind not in EXTENSIONS:
         raise ValueError(f"no file type {kind}")
+    return name + EXTENSIONS[kind]
+
+
+def write_documents(df: DataFrame, path: str, kind: str, *, files: int = 1) -> str:
+    """Writes documents below ``path`` plus the type's extension, which is returned.
+
+    'json': each file is one object keyed by match id; 'json-array': each is one array of documents
+    with ``matchId`` inside; 'csv': flat, with a header. Documents are dealt to ``files`` files by
+    id and stream through their writers, so a file is never held whole; of a document that comes
+    several times the last in order of its text stays. No documents give no file.
+    """
+    target = file_name(path, kind)
+    if kind == "csv":
+        flat_table(df).withColumnRenamed("match_id", "matchId").coalesce(files).write.mode("overwrite").option("header", True).csv(target)
+        return target
+    rows = last_per_key(json_text(df), "match_id", ("document",)).repartition(files, "match_id").sortWithinPartitions("match_id")
+    rows.mapInPandas(_framed(kind), "value string").write.mode("overwrite").option("lineSep", "").text(target)
+    return target

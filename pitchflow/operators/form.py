@@ -40,8 +40,8 @@ class Form:
         ratio = F.try_divide(F.sum(flag).over(frame).cast("double"), F.count(F.lit(1)).over(frame).cast("double"))
         return round_even(ratio * 100, 1)
 
-    def base(self) -> dict[str, Column]:
-        """Statistics that come from one role's matches."""
+    def base(self, needed: set[str]) -> dict[str, Column]:
+        """The needed ones of the statistics that come from one role's matches."""
         hg, ag, result, m = F.col("hg"), F.col("ag"), F.col("result"), self.margin
         home_won, away_won = _flag(result == "H"), _flag(result == "A")
         ahead, behind = _flag(hg - ag >= m), _flag(ag - hg >= m)
@@ -53,7 +53,7 @@ class Form:
             "hstf": (F.col("hst"), "home"), "astf": (F.col("ast"), "away"), "hcf": (F.col("hc"), "home"), "acf": (F.col("ac"), "away"),
         }
         shares = {"hw_pct": (home_won, "home"), "hl_pct": (away_won, "home"), "aw_pct": (away_won, "away"), "al_pct": (home_won, "away")}
-        return {k: self.rolled(*v) for k, v in rolled.items()} | {k: self.share(*v) for k, v in shares.items()}
+        return {k: self.rolled(*v) for k, v in rolled.items() if k in needed} | {k: self.share(*v) for k, v in shares.items() if k in needed}
 
 
 #: Home minus away of two other statistics.
@@ -72,7 +72,7 @@ def team_form(df: DataFrame, wanted: Sequence[str] = BASIC, *, n: int = 10, marg
         raise ValueError(f"no columns for {missing}, no such statistics {unknown}")
     needed = {x for s in wanted for x in DIFFERENCES.get(s, (s,))}
     form = Form(n, margin, league)
-    base = {k: v for k, v in form.base().items() if k in needed} if any(s in df.columns for s in ("hst",)) or not needed & set(EXTRA) else {}
+    base = form.base(needed)
     named = {k: f"__{k}" for k in base}
     out = df.select("*", *[v.alias(named[k]) for k, v in base.items()])
     value = lambda s: F.col(named[DIFFERENCES[s][0]]) - F.col(named[DIFFERENCES[s][1]]) if s in DIFFERENCES else F.col(named[s])

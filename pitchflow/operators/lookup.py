@@ -6,8 +6,12 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
+
+from pitchflow.functions.columns import country_key
 
 _NEWEST = ("match_date", "home", "match_id")
 
@@ -19,8 +23,8 @@ def latest_form(history: DataFrame, fixtures: DataFrame, *, recompute_difference
     Statistics named h... come from the home team's row and a... from the away team's. ``season``
     and ``week`` follow the newest row of all. ``fixtures``: fixture_id, match_date, home, away and
     odds. A team without a row gives nulls. With ``as_of`` only rows before the fixture's date
-    count. The latest rows are one per team (or per fixture and team), found by an aggregate that
-    combines before it shuffles.
+    count, found by one window over history and fixtures of a team. Otherwise the latest rows are one
+    per team, found by an aggregate that combines before it shuffles.
     """
     done = history.na.drop("any")
     copied = {r: [c for c in history.columns if c.startswith(r[0]) and c not in ("home", "away", "hg", "ag", "hst", "ast", "hc", "ac")] for r in ("home", "away")}
@@ -29,9 +33,12 @@ def latest_form(history: DataFrame, fixtures: DataFrame, *, recompute_difference
         columns = copied[role]
         newest = F.max_by(F.struct(*columns), F.struct(*_NEWEST)).alias("row")
         if as_of:
-            past = done.select(F.col(role).alias("team"), *dict.fromkeys([*_NEWEST, *columns]))
-            pairs = fixtures.select("fixture_id", F.col(role).alias("team"), F.col("match_date").alias("day")).join(past, "team").where(F.col("match_date") < F.col("day"))
-            rows = pairs.groupBy("fixture_id").agg(newest)
+            # each team's history and fixtures in one line by date; fixtures take the last row before theirs
+            row = F.struct(*[F.col(c) for c in columns])
+            past = done.select(F.col(role).alias("team"), F.col("match_date").alias("day"), F.lit(1).alias("turn"), "home", F.col("match_id").alias("tie"), row.alias("row"), F.lit(None).cast(fixtures.schema["fixture_id"].dataType).alias("fixture_id"))
+            asked = fixtures.select(F.col(role).alias("team"), F.col("match_date").alias("day"), F.lit(0).alias("turn"), "home", F.lit(None).cast(history.schema["match_id"].dataType).alias("tie"), F.lit(None).cast(past.schema["row"].dataType).alias("row"), "fixture_id")
+            line = Window.partitionBy("team").orderBy("day", "turn", "home", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            rows = past.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(line)).where("fixture_id is not null").select("fixture_id", "row")
             out = out.join(rows, "fixture_id", "left").select(*out.columns, *[F.col(f"row.{c}").alias(c) for c in columns])
         else:
             rows = done.groupBy(F.col(role).alias("team")).agg(newest)
@@ -46,28 +53,72 @@ def latest_form(history: DataFrame, fixtures: DataFrame, *, recompute_difference
     return out
 
 
-def similar_names(names: DataFrame, known: DataFrame, *, warn_below: float = 0.6, limit: int = 100_000) -> DataFrame:
+def similar_names(names: DataFrame, known: DataFrame, *, warn_below: float = 0.6, keep: float = 0.6) -> DataFrame:
     """``name``, ``best``, ``ratio``, ``doubtful``: the known name most like each name (ties: the largest).
 
-    Choice is case-sensitive; the reported ratio ignores case. Known names are a stated list, at
-    most ``limit`` of them (more is an error), which every task gets; names stay distributed.
+    Likeness is the Ratcliff-Obershelp ratio; choice is case-sensitive, and the reported ratio ignores
+    case. Names that share a character bigram with a known name are joined on the bigrams; each pair's
+    bound (twice the characters in common over both lengths) drops pairs that cannot reach ``keep``,
+    the others get their ratio. A name for which no pair reaches it is compared with all
+    known names, in blocks: they are a stated list. Null names give nulls, and so does an empty list.
     """
-    got = [r[0] for r in known.select(known.columns[0]).distinct().limit(limit + 1).collect() if r[0] is not None]
+    name, other = names.columns[0], known.columns[0]
+    asked = names.select(F.col(name).alias("name"))
+    distinct, stated = asked.where("name is not null").distinct(), known.select(F.col(other).alias("known")).where("known is not null").distinct()
+
+    def grams(c: str) -> Column:
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))))
+
+    joined = distinct.select("name", grams("name").alias("g")).join(stated.select("known", grams("known").alias("g")), "g").select("name", "known").distinct()
+    near = _rated(joined.where(_bound("name", "known") >= keep)).where(F.col("ratio") >= keep)
+    best = near.groupBy("name").agg(F.max_by("known", F.struct("ratio", "known")).alias("best"))
+    rest = distinct.join(best.select("name"), "name", "left_anti")
+    far = _rated_in_blocks(rest, stated)
+    chosen = best.unionByName(far.select("name", "best"))
+    told = _ratio(F.lower("best"), F.lower("name"))
+    return asked.join(chosen, "name", "left").withColumn("ratio", told).withColumn("doubtful", F.col("ratio") < warn_below)
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _rated(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("ratio", _ratio(F.col("name"), F.col("known")))
+
+
+def _bound(a: str, b: str) -> Column:
+    """At least the ratio: twice the characters in common, with their numbers, over both lengths."""
+    letters = F.array_distinct(F.split(F.col(a), ""))
+    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
+    common = F.aggregate(letters, F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    return F.lit(2.0) * common / (F.length(a) + F.length(b))
+
+
+def _rated_in_blocks(names: DataFrame, stated: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``name``, ``best``: names unlike all others against a stated list of at most ``limit`` (more is an error)."""
+    got = sorted(r[0] for r in stated.limit(limit + 1).collect())
     if len(got) > limit:
         raise ValueError(f"more than {limit} known names")
-    stated = names.sparkSession.sparkContext.broadcast(got)
+    given = names.sparkSession.sparkContext.broadcast(got)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for name in frame["name"]:
-                best = difflib.get_close_matches(name, stated.value, n=1, cutoff=0.0) if name is not None else []
-                top = max(best, default=None)
-                ratio = difflib.SequenceMatcher(None, name.lower(), top.lower()).ratio() if top is not None else None
-                rows.append((name, top, ratio, None if ratio is None else ratio < warn_below))
-            yield pd.DataFrame(rows, columns=["name", "best", "ratio", "doubtful"])
-
-    return names.select(F.col(names.columns[0]).alias("name")).mapInPandas(run, "name string, best string, ratio double, doubtful boolean")
+            best = [max(((difflib.SequenceMatcher(None, k, name).ratio(), k) for k in given.value), default=(0.0, None))[1] for name in frame["name"]]
+            yield pd.DataFrame({"name": frame["name"], "best": pd.Series(best, dtype=object)})
+
+    return names.mapInPandas(run, "name string, best string")
+
+
+def country(rows: DataFrame, name: str, column: str = "name") -> DataFrame:
+    """The rows whose country, in its plain form, is that of ``name``."""
+    return rows.where(country_key(F.col(column)) == country_key(F.lit(name)))
+
+
+def choice(rows: DataFrame, name: str, column: str = "name", order: str = "position") -> Row | None:
+    """The first row of that very name, or None."""
+    return rows.where(F.col(column) == name).orderBy(order).first()
 
 
 def by_lower_name(catalog: DataFrame, country: str, name: str) -> DataFrame:

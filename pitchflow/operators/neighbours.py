@@ -6,42 +6,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str, vector: str, label: str, max_queries: int = 200_000) -> DataFrame:
+#: Queries, rows and numbers compared at once; so many doubles at most.
+QUERIES, ROWS, NUMBERS = 256, 1_024, 1 << 22
+
+
+def _usable(vector: str) -> Column:
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())
+
+
+def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Minkowski distances of all rows of ``a`` to all of ``b``, a block of the numbers at a time."""
+    out = np.zeros((len(a), len(b)))
+    step = max(1, NUMBERS // (len(a) * len(b)))
+    for at in range(0, a.shape[1], step):
+        gap = np.abs(a[:, None, at : at + step] - b[None, :, at : at + step])
+        out += (gap**p).sum(axis=2)
+    return out ** (1 / p)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str, vector: str, label: str, p: int = 2, max_queries: int = 200_000) -> DataFrame:
     """``query``, ``rank``, ``neighbour``, ``label``, ``distance``: the k nearest rows of each query but itself.
 
     Queries are a stated set of at most ``max_queries`` (more is an error) that every task gets.
     Each task keeps its own k best per query, and only those are shuffled. Ties go to the smaller key.
+    Only vectors of one length meet; rows and queries whose key, label or vector is null, or whose
+    vector is empty or holds nulls, have no neighbours.
     """
-    stated = queries.select(key, vector).limit(max_queries + 1).collect()
+    known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull() & _usable(vector)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("long").alias("label"))
+    stated = queries.where(F.col(key).isNotNull() & _usable(vector)).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).limit(max_queries + 1).collect()
     if len(stated) > max_queries:
         raise ValueError(f"more than {max_queries} queries")
-    if not stated:
-        return rows.sparkSession.createDataFrame([], "query long, rank int, neighbour long, label long, distance double")
-    given = rows.sparkSession.sparkContext.broadcast((np.asarray([r[0] for r in stated]), np.asarray([r[1] for r in stated], np.float64)))
+    schema = "query long, neighbour long, label long, distance double"
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in {len(v) for _, v in stated}:
+        some = [(q, v) for q, v in stated if len(v) == n]
+        by_length[n] = np.asarray([q for q, _ in some]), np.asarray([v for _, v in some], np.float64)
+    given = rows.sparkSession.sparkContext.broadcast(by_length)
+
+    def best(keys: np.ndarray, labels: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, points = given.value[x.shape[1]]
+        for at in range(0, len(ids), QUERIES):
+            q = ids[at : at + QUERIES]
+            d = np.concatenate([_distances(points[at : at + QUERIES], x[r : r + ROWS], p) for r in range(0, len(x), ROWS)], axis=1)
+            d[q[:, None] == keys[None, :]] = np.inf
+            # all that may be among the k best, ties included, are put in order
+            limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
+            row, column = np.nonzero((d <= limit) & np.isfinite(d))
+            order = np.lexsort((keys[column], d[row, column], row))
+            row, column = row[order], column[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, column = row[place < k], column[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(keys[column]), pa.array(labels[column]), pa.array(d[row, column])], names=["query", "neighbour", "label", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, points = given.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            for at in range(0, len(ids), 256):
-                d = np.sqrt(((points[at : at + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-                d[ids[at : at + 256, None] == keys[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :k]
-                q = np.repeat(ids[at : at + 256], order.shape[1])
-                best = np.take_along_axis(d, order, axis=1).ravel()
-                fine = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(q[fine]), pa.array(keys[order.ravel()][fine]), pa.array(labels[order.ravel()][fine].astype(np.int64)), pa.array(best[fine])], names=["query", "neighbour", "label", "distance"])
-
-    best = rows.select(F.col(key).cast("long"), vector, F.col(label).cast("long")).mapInArrow(run, "query long, neighbour long, label long, distance double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour")))
+            lists = batch.column(1)
+            lengths = np.diff(lists.offsets.to_numpy())
+            for n in np.unique(lengths).tolist():
+                if n in given.value:
+                    some = batch.take(pa.array(np.flatnonzero(lengths == n)))
+                    yield from best(some.column(0).to_numpy(), some.column(2).to_numpy(), some.column(1).flatten().to_numpy().reshape(-1, n))
+
+    found = known.mapInArrow(run, schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour")))
     return ranked.where(F.col("rank") <= k).select("query", "rank", "neighbour", "label", "distance")
 
 

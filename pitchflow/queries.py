@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchflow import cli
 from pitchflow.functions import columns as X
-from pitchflow.operators import cleaning, documents, form, lookup, metrics, neighbours, scaling, splits
+from pitchflow.operators import cleaning, discriminant, documents, form, lookup, metrics, models, neighbours, sampling, scaling, splits, training
 from pitchflow.plans.matches import MATCHES_SQL
 from pitchflow.plans.matches import matches as match_table
-from pitchflow.sources import pages
+from pitchflow.sources import pages, seasons, stores
 from pitchflow.streaming import refresh
 
 N = 5
@@ -64,7 +65,7 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = match_table(spark, sf_dir).select(*cleaning.BASE, *cleaning.EXTENDED)
     twice = raw.unionByName(raw.withColumn("match_date", F.when(F.col("hg") > 0, F.col("match_date"))))
-    return _days(cleaning.clean(twice, 1900, extended=True).drop("match_id", "week"), "match_date")
+    return _days(cleaning.clean(twice, 1900, extended=True), "match_date")
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,9 @@ def min_max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = match_table(spark, sf_dir)
-    return df.select("match_id", X.result_code(F.col("result")).alias("y_result"), F.coalesce(F.col("hg") + F.col("ag") >= 2.5, F.lit(False)).cast("int").alias("y_over"))
+    over = models.targets(df, "over-under").select("match_id", F.col("label").cast("int").alias("y_over"))
+    hot = models.one_hot(models.targets(df)).select("match_id", F.col("label").cast("int").alias("y_result"), F.array_join("one_hot", "").alias("one_hot"))
+    return hot.join(over, "match_id")
 
 
 def season_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +154,9 @@ def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "conversations")
-    return df.groupBy("conv_id").pivot("role", ["user", "assistant", "system"]).agg(F.count(F.lit(1))).na.fill(0)
+    roles = ("user", "assistant", "system")
+    role = F.when(F.col("role").isin(*roles), F.col("role")).otherwise("other")
+    return df.withColumn("role", role).groupBy("conv_id").pivot("role", [*roles, "other"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,18 +164,102 @@ def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.max(k).alias("k_max"), F.count(k).alias("n"))
 
 
-def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = _table(spark, sf_dir, "events")
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    place = f"{root.rstrip('/')}/pitchflow-stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    refresh.upsert_stream(stream, f"{place}/table", "user_id", ("ts", "event_id"), f"{place}/checkpoint").awaitTermination()
+    return f"{root.rstrip('/')}/pitchflow-{name}-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _scratch(spark, "stream")
+    refresh.upsert_stream(_event_stream(spark, sf_dir), f"{place}/table", "user_id", ("ts", "event_id"), f"{place}/checkpoint").awaitTermination()
     return refresh.latest(spark, f"{place}/table", "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type", "value")
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _scratch(spark, "windows")
+    stream = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    refresh.windowed_table(stream, "ts", "event_type", f"{place}/table", f"{place}/checkpoint").awaitTermination()
+    newest = spark.read.parquet(f"{place}/table").groupBy("start", "event_type").agg(F.max_by("n", "seen").alias("n"))
+    return newest.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
 def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("nation "), F.col("s_suppkey") % 30).alias("name"))
-    return lookup.similar_names(names.distinct(), _table(spark, sf_dir, "nation").select("n_name"))
+    return lookup.similar_names(_table(spark, sf_dir, "supplier").select("s_name").distinct(), _table(spark, sf_dir, "nation").select("n_name"))
+
+
+def as_of_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = form.team_form(match_table(spark, sf_dir), ("hgf", "agf"), n=N).withColumn("week", cleaning.week())
+    fixtures = df.select(F.col("match_id").alias("fixture_id"), "match_date", "home", "away")
+    return lookup.latest_form(df, fixtures, as_of=True).select("fixture_id", "hgf", "agf")
+
+
+def _raw_main(df: DataFrame) -> DataFrame:
+    """Matches under the names of the raw main layout, with spare odds of their own."""
+    named = df.select(*[F.col(new).alias(old) for old, new in cleaning.MAIN_COLUMNS.items()])
+    return named.withColumn("Date", F.date_format("Date", "dd/MM/yyyy")).withColumns({"B365H": F.lit(1.5), "B365D": F.lit(2.5), "B365A": F.lit(3.5)})
+
+
+def season_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _scratch(spark, "seasons")
+    raw = _raw_main(match_table(spark, sf_dir))
+    raw.withColumn("year", F.col("Season")).drop("Season").write.option("header", True).partitionBy("year").csv(place)
+    read = seasons.read_seasons(spark, {y: f"{place}/year={y}" for y in range(1990, 2003)}, cli.MAIN_RAW)
+    return _days(cleaning.clean(cleaning.from_main(read), 1990, extended=True).drop("week"), "match_date")
+
+
+def stored_league(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw_main(match_table(spark, sf_dir))
+    league = stores.League("X", "Y", 1990, "main", "", league_id="x", statistics=("hw", "aw"))
+    store = stores.LeagueStore(spark, _scratch(spark, "leagues"))
+    store.create(league, lambda one, year: raw.where(F.col("Season").between(year, 1998)))
+    table = store.update("x", lambda one, year: raw.where(F.col("Season") >= year))
+    return table.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("hg").alias("goals"), F.count("hw").alias("n_hw"), F.max("week").alias("weeks"))
+
+
+def _page(df: DataFrame) -> DataFrame:
+    """A summary and a statistics page of each match, as a browser would save them."""
+    div = lambda attributes, body: F.concat(F.lit(f"<div {attributes}>"), body, F.lit("</div>"))
+    text = lambda c: F.col(c).cast("string")
+    side = lambda name: div(f"class='duelParticipant__{name} x'", F.concat(F.lit("<img class=\"participant__image\" src='/"), text(name), F.lit(".png'><div class='participant__participantName participant__overflow'> <a href='#'>"), text(name), F.lit("</a>\n</div>")))
+    score = div("class='detailScore__wrapper'", F.concat(F.lit("<span>"), text("hg"), F.lit("</span><span class='detailScore__divider'>-</span><span>"), text("ag"), F.lit("</span>")))
+    headers = F.concat(*[F.concat(F.lit('<span data-testid="wcl-scores-overline-03">'), part, F.lit("</span>")) for part in (F.lit("Football"), F.lit("X"), F.concat(F.lit("League &amp; Cup - Round "), text("season")))])
+    info = div("data-testid='wcl-summaryMatchInformation'", F.concat(*[div("", x) for x in (F.lit("<b>Refe ree:</b>"), F.concat(F.lit(" Mr "), text("away")), F.lit("Attendance"), F.concat(F.lit("44 "), text("hc")))]))
+    state = F.when(F.col("match_id") % 3 == 0, F.lit("")).otherwise(F.lit("<span class='fixedHeaderDuel__detailStatus'>Finished</span>"))
+    summary = F.concat(F.lit("<html><body><script>var x = '<div>';</script>"), headers, div("class='duelParticipant__startTime'", text("match_date")), state, side("home"), side("away"), score, info, F.lit("</body></html>"))
+    block = lambda name, a, b: div("data-testid='wcl-statistics'", F.concat(div("data-testid='wcl-statistics-category'", F.lit(name)), *[div("data-testid='wcl-statistics-value'", F.concat(F.lit("<strong>"), text(x), F.lit("</strong>"))) for x in (a, b)]))
+    return df.select("match_id", summary.alias("summary"), F.concat(block("Corner Kicks", "hc", "ac"), block("Goals", "hg", "ag")).alias("statistics"))
+
+
+def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.match_documents(_page(match_table(spark, sf_dir)))
+    join = lambda c, *fields: F.array_join(F.transform(c, lambda e: F.concat_ws("=", *[e[f] for f in fields])), ";")
+    return found.select("match_id", "stage", "date", "status", F.col("home.name").alias("home"), F.col("away.image").alias("away_image"), F.col("result.home").alias("hg"), F.col("result.away").alias("ag"), "result.penalties", join("information", "category", "value").alias("information"), join("statistics", "category", "homeValue", "awayValue").alias("statistics"))
+
+
+def flat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = documents.flat_table(pages.match_documents(_page(match_table(spark, sf_dir))))
+    return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
+
+
+def discriminant_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = training.cross_validate_sliding(match_table(spark, sf_dir), k=3, algorithm="discriminant", normalizer=None, calibrate=False, features=("odd_x", "odd_2"))
+    return _days(out, "start_date", "end_date")
+
+
+def quadratic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = models.targets(match_table(spark, sf_dir), "over-under")
+    found = discriminant.Discriminant.fit(df, ("odd_x", "odd_2"), quadratic=True)
+    return df.select("match_id", *[F.round(found.score(c), 6).alias(f"score_{c}") for c in range(2)])
+
+
+def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("label"))
+    return sampling.near_miss(df, ("c_acctbal", "c_nationkey"), key="c_custkey").select("c_custkey", F.col("label").cast("int").alias("label"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -178,7 +267,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         matches, team_form, match_week, odds_range, odds_fallback, season_summary, teams, clean_matches, feature_rows, latest_form, holdout, sliding_folds,
         stratified_folds, confusion_metrics, scaler_statistics, min_max_scaled, targets, season_update, date_texts, knn_vote, page_links, page_headings,
-        page_slugs, last_turns, turn_pivot, event_json, stream_upsert, similar_suppliers,
+        page_slugs, last_turns, turn_pivot, event_json, stream_upsert, stream_windows, similar_suppliers, as_of_form, season_files, stored_league,
+        match_documents, flat_documents, discriminant_validation, quadratic_scores, near_miss,
     )
 }
 
@@ -203,6 +293,8 @@ _FORM = (
     + "), form AS (SELECT *, " + ", ".join(f"{a} - {b} AS {k}" for k, (a, b) in form.DIFFERENCES.items()) + " FROM f)"
 )
 _NEWEST = "(match_date, home, match_id)"
+_UO = "CASE WHEN hg + ag >= 2.5 THEN 'O' ELSE 'U' END"
+_KEY = "CAST('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in (*cleaning.BASE, *cleaning.EXTENDED)) + ")), 1, 15) AS BIGINT)"
 
 ORACLE_SQL: dict[str, str] = {
     "matches": f"WITH {_M} SELECT * REPLACE (CAST(match_date AS VARCHAR) AS match_date) FROM m",
@@ -212,8 +304,45 @@ ORACLE_SQL: dict[str, str] = {
     "odds_fallback": f"WITH {_M} SELECT match_id, CASE WHEN odd_1 IS NULL THEN odd_2 ELSE odd_1 END AS odd_1, CASE WHEN odd_1 IS NULL THEN odd_2 ELSE odd_x END AS odd_x, CASE WHEN odd_1 IS NULL THEN odd_x ELSE odd_2 END AS odd_2 FROM m",
     "season_summary": f"WITH {_M} SELECT season, count(*) AS n, CAST(min(match_date) AS VARCHAR) AS first_day, CAST(max(match_date) AS VARCHAR) AS last_day, count(DISTINCT result) AS n_results, bool_or(odd_1 IS NULL) AS has_gap FROM m GROUP BY season",
     "teams": f"WITH {_M} SELECT home AS team FROM m UNION SELECT away FROM m",
-    "clean_matches": f"""WITH {_M}, d AS (SELECT DISTINCT {', '.join((*cleaning.BASE, *cleaning.EXTENDED))} FROM m)
-SELECT CAST(match_date AS VARCHAR) AS match_date, season, home, away, hg, ag, result, CASE WHEN hg + ag >= 2.5 THEN 'O' ELSE 'U' END AS result_uo, odd_1, odd_x, odd_2, hst, ast, hc, ac FROM d""",
+    "clean_matches": f"""WITH {_M}, d AS (SELECT DISTINCT {', '.join((*cleaning.BASE, *cleaning.EXTENDED))} FROM m), k AS (SELECT *, {_KEY} AS match_id FROM d)
+SELECT match_id, CAST(match_date AS VARCHAR) AS match_date, season, home, away, hg, ag, result, {_UO} AS result_uo, odd_1, odd_x, odd_2, hst, ast, hc, ac,
+  CAST(row_number() OVER (PARTITION BY season, home {_O}) AS INT) AS week FROM k""",
+    "season_files": f"""WITH {_M}, r AS (SELECT * REPLACE (CASE WHEN odd_1 IS NULL THEN 1.5 ELSE odd_1 END AS odd_1, CASE WHEN odd_1 IS NULL THEN 2.5 ELSE odd_x END AS odd_x, CASE WHEN odd_1 IS NULL THEN 3.5 ELSE odd_2 END AS odd_2) FROM m),
+d AS (SELECT DISTINCT {', '.join((*cleaning.BASE, *cleaning.EXTENDED))} FROM r)
+SELECT {_KEY} AS match_id, CAST(match_date AS VARCHAR) AS match_date, season, home, away, hg, ag, result, {_UO} AS result_uo, odd_1, odd_x, odd_2, hst, ast, hc, ac FROM d""",
+    "stored_league": f"""WITH {_M}, d AS (SELECT DISTINCT {', '.join(c if not c.startswith('odd') else f'CASE WHEN odd_1 IS NULL THEN {v} ELSE {c} END AS {c}' for c, v in zip(cleaning.BASE, (0,) * 7 + (1.5, 2.5, 3.5)))} FROM m),
+w AS (SELECT *, row_number() OVER (PARTITION BY season, home ORDER BY match_date) AS week FROM d)
+SELECT season, count(*) AS n, CAST(sum(hg) AS BIGINT) AS goals, count(*) FILTER (WHERE week > 10) AS n_hw, CAST(max(week) AS INT) AS weeks FROM w GROUP BY season""",
+    "stream_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "as_of_form": f"""WITH {_FORM}, c AS (SELECT * FROM form WHERE odd_1 IS NOT NULL AND hst IS NOT NULL AND ast IS NOT NULL AND hgf IS NOT NULL AND agf IS NOT NULL),
+h AS (SELECT home, match_date, arg_max(hgf, {_NEWEST}) AS hgf FROM c GROUP BY ALL), a AS (SELECT away, match_date, arg_max(agf, {_NEWEST}) AS agf FROM c GROUP BY ALL)
+SELECT m.match_id AS fixture_id, h.hgf, a.agf FROM m ASOF LEFT JOIN h ON m.home = h.home AND m.match_date > h.match_date ASOF LEFT JOIN a ON m.away = a.away AND m.match_date > a.match_date""",
+    "match_documents": f"""WITH {_M} SELECT CAST(match_id AS VARCHAR) AS match_id, 'Round ' || season AS stage, CAST(match_date AS VARCHAR) AS date, CASE WHEN match_id % 3 = 0 THEN 'NOT STARTED' ELSE 'Finished' END AS status,
+  home, '/' || away || '.png' AS away_image, CAST(hg AS VARCHAR) AS hg, CAST(ag AS VARCHAR) AS ag, CAST(NULL AS VARCHAR) AS penalties,
+  'Refe ree=Mr ' || away || ';Attendance=44 ' || hc AS information, 'Corner Kicks=' || hc || '=' || ac || ';Goals=' || hg || '=' || ag AS statistics FROM m""",
+    "flat_documents": f"""WITH {_M} SELECT CAST(match_id AS VARCHAR) AS match_id, 'Round ' || season AS stage, CASE WHEN match_id % 3 = 0 THEN 'NOT STARTED' ELSE 'Finished' END AS status, CAST(match_date AS VARCHAR) AS date,
+  home AS home_name, '/' || home || '.png' AS home_image, away AS away_name, '/' || away || '.png' AS away_image, CAST(hg AS VARCHAR) AS result_home, CAST(ag AS VARCHAR) AS result_away,
+  '44 ' || hc AS information_attendance, 'Mr ' || away AS information_refe_ree, CAST(hc AS VARCHAR) AS statistics_corner_kicks_home, CAST(ac AS VARCHAR) AS statistics_corner_kicks_away, CAST(hg AS VARCHAR) AS statistics_goals_home, CAST(ag AS VARCHAR) AS statistics_goals_away FROM m""",
+    "discriminant_validation": f"""WITH {_M}, c AS (SELECT *, CAST(CAST(odd_x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(odd_2 AS FLOAT) AS DOUBLE) AS z, CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS y FROM m WHERE odd_1 IS NOT NULL AND hst IS NOT NULL AND ast IS NOT NULL),
+p AS (SELECT *, row_number() OVER ({_O}) AS k, count(*) OVER () // 3 AS s FROM c),
+d AS (SELECT *, CASE WHEN k > (fold + 1) * s - floor((fold + 1) * s * 20.0 / 100) THEN 'Evaluation' ELSE 'Train' END AS data FROM p, (SELECT CAST(unnest(range(3)) AS INT) AS fold) WHERE k <= (fold + 1) * s),
+g AS (SELECT fold, y AS c, count(*) AS n, avg(x) AS mx, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz FROM d WHERE data = 'Train' GROUP BY ALL),
+t AS (SELECT fold, sum(n) AS total, sum(n * xx) / (sum(n) - count(*)) AS xx, sum(n * xz) / (sum(n) - count(*)) AS xz, sum(n * zz) / (sum(n) - count(*)) AS zz FROM g GROUP BY fold),
+i AS (SELECT fold, total, zz / (xx * zz - xz * xz) AS a, -xz / (xx * zz - xz * xz) AS b, xx / (xx * zz - xz * xz) AS e FROM t),
+q AS (SELECT d.fold, data, match_date, y, arg_max(g.c, (a * mx + b * mz) * x + (b * mx + e * mz) * z - (a * mx * mx + 2 * b * mx * mz + e * mz * mz) / 2 + ln(n / total)) AS said FROM d JOIN g USING (fold) JOIN i USING (fold) GROUP BY d.fold, data, match_date, match_id, y),
+k AS (SELECT fold, data, c, CAST(count(*) FILTER (WHERE y = c) AS DOUBLE) AS t, CAST(count(*) FILTER (WHERE said = c) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE y = c AND said = c) AS DOUBLE) AS h FROM q, (SELECT unnest([0, 1, 2]) AS c) GROUP BY ALL HAVING count(*) FILTER (WHERE y = c OR said = c) > 0),
+r AS (SELECT fold, data, CAST(min(match_date) AS VARCHAR) AS start_date, CAST(max(match_date) AS VARCHAR) AS end_date, count(*) AS samples FROM q GROUP BY ALL)
+SELECT fold, data, round_even(sum(h) / sum(t), 3) AS accuracy, round_even(avg(2 * h / (s + t)), 3) AS f1, round_even(avg(coalesce(h / nullif(s, 0), 0)), 3) AS precision, round_even(avg(coalesce(h / nullif(t, 0), 0)), 3) AS recall, start_date, end_date, samples FROM k JOIN r USING (fold, data) GROUP BY ALL""",
+    "quadratic_scores": f"""WITH {_M}, d AS (SELECT match_id, odd_x AS x, odd_2 AS z, CASE WHEN hg + ag >= 2.5 THEN 1 ELSE 0 END AS y FROM m),
+g AS (SELECT y AS c, count(*) AS n, avg(x) AS mx, avg(z) AS mz, covar_samp(x, x) AS xx, covar_samp(x, z) AS xz, covar_samp(z, z) AS zz FROM d GROUP BY y),
+s AS (SELECT match_id, c, -(zz * (x - mx) * (x - mx) - 2 * xz * (x - mx) * (z - mz) + xx * (z - mz) * (z - mz)) / (xx * zz - xz * xz) / 2 + ln(n / (SELECT count(*) FROM d)) - ln(xx * zz - xz * xz) / 2 AS score FROM d, g)
+SELECT match_id, round(max(score) FILTER (WHERE c = 0), 6) AS score_0, round(max(score) FILTER (WHERE c = 1), 6) AS score_1 FROM s GROUP BY match_id""",
+    "near_miss": """WITH d AS (SELECT c_custkey AS k, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS z, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS y FROM customer),
+n AS (SELECT y, count(*) AS n FROM d GROUP BY y), s AS (SELECT arg_min(y, (n, y)) AS y, min(n) AS n FROM n),
+p AS (SELECT a.k AS small, b.k AS large, sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) AS d FROM d a JOIN d b ON a.y = (SELECT y FROM s) AND b.y <> (SELECT y FROM s)),
+c AS (SELECT DISTINCT large FROM (SELECT *, row_number() OVER (PARTITION BY small ORDER BY d, large) AS r FROM p) WHERE r <= 5),
+f AS (SELECT large, avg(d) AS far FROM (SELECT *, row_number() OVER (PARTITION BY large ORDER BY d, small) AS r FROM p WHERE large IN (SELECT large FROM c)) WHERE r <= 5 GROUP BY large)
+SELECT k AS c_custkey, y AS label FROM d WHERE y = (SELECT y FROM s) OR k IN (SELECT large FROM f ORDER BY far DESC, large LIMIT (SELECT n FROM s))""",
     "feature_rows": f"WITH {_FORM} SELECT match_id, odd_1, odd_x, odd_2, hw, aw, hgd, agd, hw_pct FROM form WHERE odd_1 IS NOT NULL AND hst IS NOT NULL AND ast IS NOT NULL AND hw IS NOT NULL AND aw IS NOT NULL AND hw_pct IS NOT NULL",
     "latest_form": f"""WITH {_FORM}, c AS (SELECT * FROM form WHERE odd_1 IS NOT NULL AND hst IS NOT NULL AND ast IS NOT NULL AND hw IS NOT NULL AND aw IS NOT NULL),
 h AS (SELECT home, arg_max(hw, {_NEWEST}) AS hw, arg_max(hgf, {_NEWEST}) AS hgf, arg_max(hagf, {_NEWEST}) AS hagf FROM c GROUP BY home),
@@ -232,21 +361,22 @@ t AS (SELECT c, CAST((SELECT count(*) FROM p WHERE y = c) AS DOUBLE) AS t, CAST(
 SELECT round_even(sum(h) / sum(t), 3) AS accuracy, round_even(avg(2 * h / (s + t)), 3) AS f1, round_even(avg(coalesce(h / nullif(s, 0), 0)), 3) AS precision, round_even(avg(coalesce(h / nullif(t, 0), 0)), 3) AS recall FROM t""",
     "scaler_statistics": f"WITH {_M} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, CAST(max(abs({c})) AS DOUBLE) AS largest, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS deviation FROM m" for c in SCALED),
     "min_max_scaled": f"WITH {_M} SELECT match_id, round((hc - min(hc) OVER ()) / CAST(max(hc) OVER () - min(hc) OVER () AS DOUBLE), 9) AS hc, round((ac - min(ac) OVER ()) / CAST(max(ac) OVER () - min(ac) OVER () AS DOUBLE), 9) AS ac FROM m",
-    "targets": f"WITH {_M} SELECT match_id, CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS y_result, CASE WHEN hg + ag >= 2.5 THEN 1 ELSE 0 END AS y_over FROM m",
+    "targets": f"WITH {_M} SELECT match_id, CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS y_result, CASE result WHEN 'H' THEN '100' WHEN 'D' THEN '010' ELSE '001' END AS one_hot, CASE WHEN hg + ag >= 2.5 THEN 1 ELSE 0 END AS y_over FROM m",
     "season_update": f"WITH {_M} SELECT season, 'stored' AS origin, count(*) AS n, count(ac) AS n_ac FROM m WHERE season < 1998 GROUP BY season UNION ALL SELECT season, 'fresh', count(*), 0 FROM m WHERE season >= 1998 GROUP BY season",
     "date_texts": f"WITH {_M} SELECT match_id, CASE WHEN match_id % 3 < 2 THEN CAST(match_date AS VARCHAR) END AS day, season, lpad(CAST(season % 100 AS VARCHAR), 2, '0') || lpad(CAST((season + 1) % 100 AS VARCHAR), 2, '0') AS code FROM m",
     "knn_vote": """WITH d AS (SELECT q.vec_id AS query, r.vec_id, r.label, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS d FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0),
 b AS (SELECT query, label FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS k FROM d) WHERE k <= 5),
 v AS (SELECT query, label, count(*) AS votes FROM b GROUP BY query, label)
 SELECT query, CAST(label AS INT) AS prediction, CAST(votes AS INT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) AS k FROM v) WHERE k = 1""",
-    "page_links": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"[^>]*>([^<]*)</a>', 1) AS u, regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"[^>]*>([^<]*)</a>', 2) AS n FROM pages)
-SELECT page_id, CAST(i - 1 AS INT) AS position, u[i] AS url, n[i] AS name FROM (SELECT *, unnest(range(1, len(u) + 1)) AS i FROM a)""",
+    "page_links": f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '{pages.ANCHOR}', 1) AS a, regexp_extract_all(html, '{pages.ANCHOR}', 2) AS b FROM pages),
+u AS (SELECT page_id, i, regexp_extract(a[i], '{pages.HREF.replace("'", "''")}', 1) AS u, trim(regexp_replace(b[i], '<[^>]*>', '', 'g')) AS name FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM a))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS position, u[2:-2] AS url, name FROM u WHERE u <> ''""",
     "page_headings": """SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, nullif(regexp_extract(html, '<html\\b[^>]*\\blang="([^"]*)"', 1), '') AS lang, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs FROM pages""",
     "page_slugs": """SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
   regexp_replace(trim(regexp_replace(replace(lower(url), '-', ' '), '[^a-z0-9\\s]', '', 'g')), '\\s+', '-', 'g') AS country,
   regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || '/summary/stats/0/?mid=' || regexp_extract(url, '[?&]mid=([^&#]*)', 1) AS stats_url, replace(lower(url), ' ', '_') AS category FROM pages""",
     "last_turns": "SELECT conv_id, max(turn) AS turn, arg_max(role, (turn, role, text)) AS role, CAST(length(arg_max(text, (turn, role, text))) AS INT) AS n_chars FROM conversations GROUP BY conv_id",
-    "turn_pivot": "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS user, count(*) FILTER (WHERE role = 'assistant') AS assistant, count(*) FILTER (WHERE role = 'system') AS system FROM conversations GROUP BY conv_id",
+    "turn_pivot": "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS user, count(*) FILTER (WHERE role = 'assistant') AS assistant, count(*) FILTER (WHERE role = 'system') AS system, count(*) FILTER (WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'system')) AS other FROM conversations GROUP BY conv_id",
     "event_json": "SELECT event_type, CAST(sum(CAST(props ->> '$.k' AS INT)) AS BIGINT) AS k_sum, max(CAST(props ->> '$.k' AS INT)) AS k_max, count(props ->> '$.k') AS n FROM events GROUP BY event_type",
     "stream_upsert": "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
 }

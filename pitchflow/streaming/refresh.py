@@ -30,3 +30,13 @@ def latest(spark: SparkSession, table: str, key: str, order: Sequence[str]) -> D
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     return stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), F.col(kind)).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def windowed_table(stream: DataFrame, time: str, kind: str, table: str, checkpoint: str, **settings: str) -> StreamingQuery:
+    """Counts per window and kind, as of each micro-batch, into ``table``/batch=N; ``latest`` by batch gives the newest."""
+
+    def fold(batch: DataFrame, number: int) -> None:
+        batch.withColumn("seen", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    counts = windowed_counts(stream, time, kind, **settings)
+    return counts.writeStream.foreachBatch(fold).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

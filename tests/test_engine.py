@@ -65,7 +65,7 @@ def test_documents_flatten_with_last_category(spark):
     df = spark.createDataFrame([row], documents.SCHEMA)
     got = documents.flat_table(df).first().asDict()
     assert got["information.refe_ree"] == "y" and got["statistics.shots.away"] == "2" and got["home.name"] == "A" and "status" not in got
-    assert value(spark, F.to_json(documents.pair_siblings(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))) == '[{"category":"a","value":"b"}]'
+    assert value(spark, F.to_json(documents.pair_siblings(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))) == '[{"category":"a","value":"b"},{"category":"c"}]'
 
 
 def test_metrics_of_nothing_and_names(spark):

@@ -8,7 +8,7 @@ import pytest
 
 from pitchflow.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PITCHFLOW_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
