@@ -3,14 +3,14 @@
 1. Scout. Of each window's 8-word grams the one with the least hash is its anchor, so equal
    windows have equal anchors. Anchors that occur once in the corpus belong to windows that occur
    once; the others are marked in their documents.
-2. Confirm. Around each mark the words of the windows that it anchors (a span) are cut out and
-   dealt to shards by anchor. A shard holds every window of its anchors from the whole corpus;
-   its passages are the word sequences that stand in more than one of its spans.
-3. Locate. The shard's passages become an automaton over word numbers, its spans are streamed
-   through it, and each hit that starts later than the passage's first start is a window to remove.
+2. Deal. Around each mark the words of the windows that it anchors (a span) are cut out and dealt
+   to shards by anchor, so a shard gets every window of its anchors from all documents. A task
+   sends the words of equal spans once; its other places go by the span's 128-bit hash.
+3. Confirm and locate. The windows that stand at several places are the shard's passages. They
+   become an automaton over word numbers, all spans are streamed through it, and each hit
+   is an occurrence. A place of a span has the occurrences of its words; all but a passage's
+   first are windows to remove.
 4. Remove. The found windows go back to their documents.
-
-Texts travel once: both joins with the documents use the same exchange.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ GRAM = 8
 HELD_ROWS = 4_000_000
 #: Bytes of distinct spans kept per task before they are handed on.
 HELD_BYTES = 64 << 20
-#: Words that one automaton is made from; whole anchors only.
+#: Words that are dealt with at once, whole anchors only, and windows that one automaton may hold:
+#: of anchors with more the windows are taken by hash in several passes.
 SHARD_WORDS = 200_000
+PASS_WINDOWS = 60_000
 #: Anchors with more than one in so many of all occurrences, at most this many, are split by window.
 HOT_PART = 2_000
 HOT_LEAST = 256
@@ -225,43 +227,52 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarr
 
 # ---------------------------------------------------------------- 2. spans of marked anchors
 
-_SPAN = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("span", pa.binary())])
+_SPAN = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("low", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("many", pa.bool_()), ("span", pa.binary())])
+
+
+def _halves(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit hash of each span as two signed numbers."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh128_digest, spans)), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """uid, doc, text, marks -> spans, each distinct one once a task, at its earliest place there.
+    """uid, doc, text, marks -> spans, the words of each distinct one once a task, at its earliest place there.
 
-    The later places of a span within the task are windows to remove already (span is null, and
-    shard only spreads them). Spans of hot anchors are cut into their single windows,
+    The later places of a span within the task have its hash in place of the words (and a shard
+    that only spreads them). Spans of hot anchors are cut into their single windows,
     which go by their own hash.
     """
-    first: dict[bytes, tuple[int, int, int, int, int]] = {}
-    later: list[tuple[int, int, int, int]] = []
+    first: dict[bytes, tuple[int, int, int, int]] = {}
+    later: list[tuple[bytes, int, int, int]] = []
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         nonlocal size
         if first:
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*first.values(), strict=True)), pa.array(list(first), pa.binary())], schema=_SPAN)
+            spans, many = list(first), {x[0] for x in later}
+            columns = [pa.array(x, pa.int64()) for x in zip(*first.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, _halves(spans)), pa.array([x in many for x in spans]), pa.array(spans, pa.binary())], schema=_SPAN)
         if later:
-            doc, uid, low, n = (np.asarray(x, np.int64) for x in zip(*later, strict=True))
+            doc, uid, low = (np.asarray(x, np.int64) for x in zip(*(x[1:] for x in later), strict=True))
             spread = -1 - ((uid * np.int64(0x2545F491) + low * np.int64(0x9E3779B1)) & np.int64(LAST >> 1))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, doc, uid, low, n)), pa.nulls(len(n), pa.binary())], schema=_SPAN)
+            h1, h2 = _halves([x[0] for x in later])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, doc, uid, low, h1, h2)), pa.nulls(len(low), pa.bool_()), pa.nulls(len(low), pa.binary())], schema=_SPAN)
         first.clear()
         later.clear()
         size = 0
 
-    def add(span: bytes, shard: int, doc: int, uid: int, low: int, n: int) -> None:
+    def add(span: bytes, shard: int, doc: int, uid: int, low: int) -> None:
         nonlocal size
         found = first.get(span)
         if found is None:
-            first[span] = (shard, doc, uid, low, n)
+            first[span] = (shard, doc, uid, low)
             size += len(span)
-        elif (doc, uid, low) < found[1:4]:
-            first[span] = (shard, doc, uid, low, n)
-            later.append((*found[1:4], n))
-        elif (doc, uid, low) > found[1:4]:
-            later.append((doc, uid, low, n))
+        elif (doc, uid, low) < found[1:]:
+            first[span] = (shard, doc, uid, low)
+            later.append((span, *found[1:]))
+        elif (doc, uid, low) > found[1:]:
+            later.append((span, doc, uid, low))
 
     for batch in batches:
         uids, docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
@@ -277,15 +288,15 @@ def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[p
                     if value in hot:
                         for s in range(low, high + 1):
                             window = words.span(s, s)
-                            add(window, xxhash.xxh64_intdigest(window) >> 1, doc, uid, s + shift, 1)
+                            add(window, xxhash.xxh64_intdigest(window) >> 1, doc, uid, s + shift)
                     else:
-                        add(words.span(low, high), value & LAST, doc, uid, low + shift, high - low + 1)
+                        add(words.span(low, high), value & LAST, doc, uid, low + shift)
             if size >= HELD_BYTES or len(later) >= HELD_ROWS:
                 yield from out()
     yield from out()
 
 
-# ---------------------------------------------------------------- 3. locate
+# ---------------------------------------------------------------- 3. confirm and locate
 
 
 def _numbered(spans: list[bytes]) -> list[tuple[int, ...]]:
@@ -293,63 +304,90 @@ def _numbered(spans: list[bytes]) -> list[tuple[int, ...]]:
     return [tuple(numbers.setdefault(w, len(numbers)) for w in s.split(b" ")) for s in spans]
 
 
-def locate(spans: list[bytes], shard: np.ndarray, doc: np.ndarray, uid: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int]]:
-    """uid, first window, number of windows that start earlier elsewhere, for all places of whole anchors."""
-    out: list[tuple[int, int, int]] = []
-    first: dict[bytes, tuple[int, int, int]] = {}
-    places = list(zip(doc.tolist(), uid.tolist(), low.tolist(), strict=True))
-    for span, place in zip(spans, places, strict=True):
-        if span not in first or place < first[span]:
-            first[span] = place
-    size = {span: span.count(b" ") + 2 - WINDOW for span in first}
-    for span, place in zip(spans, places, strict=True):
-        if place > first[span]:
-            out.append((*place[1:], size[span]))
-    # anchors with one span have nothing else to find; passages come from those with several
-    kinds: dict[int, set[bytes]] = {}
-    for span, k in zip(spans, shard.tolist(), strict=True):
-        kinds.setdefault(k, set()).add(span)
-    several = [span for group in kinds.values() if len(group) > 1 for span in group]
-    if not several:
-        return out
-    numbered = _numbered(several)
-    confirmed: dict[tuple[int, ...], bool] = {}
-    for words in numbered:
-        for window in {words[i : i + WINDOW] for i in range(len(words) - WINDOW + 1)}:
-            confirmed[window] = window in confirmed
-    passages = [window for window, again in confirmed.items() if again]
-    del confirmed
-    if not passages:
-        return out
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for number, window in enumerate(passages):
-        automaton.add_word(window, number)
-    automaton.make_automaton()
-    hits: list[tuple[int, tuple[int, int, int]]] = []  # passage; doc, row, window
-    for span, words in zip(several, numbered, strict=True):
-        d, u, s = first[span]
-        hits += [(passage, (d, u, s + end + 1 - WINDOW)) for end, passage in automaton.iter(words)]
-    earliest: dict[int, tuple[int, int, int]] = {}
-    for passage, place in hits:
-        if passage not in earliest or place < earliest[passage]:
-            earliest[passage] = place
-    return out + [(*place[1:], 1) for passage, place in hits if place > earliest[passage]]
+def occurrences(texts: list[tuple[int, ...]], repeated: list[bool], limit: int = PASS_WINDOWS) -> Iterator[list[tuple[int, int, int]]]:
+    """text, offset, passage of every occurrence of a passage, one list for each pass.
+
+    Passages are the windows that stand in several texts or in one that is ``repeated``.
+    """
+    passes = max(1, -(-sum(len(t) - WINDOW + 1 for t in texts) // limit))
+    for number in range(passes):
+        confirmed: dict[tuple[int, ...], bool] = {}
+        for words, again in zip(texts, repeated, strict=True):
+            for i in range(len(words) - WINDOW + 1):
+                window = words[i : i + WINDOW]
+                if passes == 1 or hash(window) % passes == number:
+                    confirmed[window] = again or window in confirmed
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        passage = 0
+        for window, again in confirmed.items():
+            if again:
+                automaton.add_word(window, passage)
+                passage += 1
+        del confirmed
+        if passage:
+            automaton.make_automaton()
+            yield [(t, end + 1 - WINDOW, found) for t, words in enumerate(texts) for end, found in automaton.iter(words)]
+
+
+def _runs(offsets: list[int]) -> list[tuple[int, int]]:
+    """Offsets as runs: first, number."""
+    out: list[tuple[int, int]] = []
+    for o in sorted(offsets):
+        if out and o == out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((o, 1))
+    return out
+
+
+_FOUND = pa.schema([("uid", pa.int64()), ("low", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("runs", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])))])
+
+
+def locate(spans: list[bytes], places: list[tuple[int, int, int]], many: list[bool], h1: list[int], h2: list[int]) -> list[tuple]:
+    """Rows of ``_FOUND`` for whole anchors: the windows to remove at each given place (doc, uid, low), and, without
+    a place, all occurrences in each span that has more places than those given."""
+    groups: dict[bytes, list[int]] = {}
+    for i, span in enumerate(spans):
+        groups.setdefault(span, []).append(i)
+    texts, members = _numbered(list(groups)), list(groups.values())
+    more = [any(many[i] for i in group) for group in members]
+    first = [min(places[i] for i in group) for group in members]
+    everywhere: dict[int, list[int]] = {}
+    gone: dict[int, list[int]] = {}
+    for hits in occurrences(texts, [len(g) > 1 or m for g, m in zip(members, more, strict=True)]):
+        earliest: dict[int, tuple[int, int, int]] = {}
+        for t, offset, passage in hits:
+            doc, uid, low = first[t]
+            place = (doc, uid, low + offset)
+            if passage not in earliest or place < earliest[passage]:
+                earliest[passage] = place
+        for t, offset, passage in hits:
+            if more[t]:
+                everywhere.setdefault(t, []).append(offset)
+            for i in members[t]:
+                doc, uid, low = places[i]
+                if (doc, uid, low + offset) > earliest[passage]:
+                    gone.setdefault(i, []).append(offset)
+    out = [(places[i][1], places[i][2], None, None, _runs(offsets)) for i, offsets in gone.items()]
+    return out + [(None, None, h1[members[t][0]], h2[members[t][0]], _runs(offsets)) for t, offsets in everywhere.items()]
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by shard; each automaton is made from whole anchors."""
+    """Rows come ordered by shard; each automaton is made from whole anchors. Rows without words pass through."""
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        found = locate(table.column(5).to_pylist(), *(table.column(i).to_numpy() for i in range(4)))
-        uid, low, n = zip(*found, strict=True) if found else ((), (), ())
-        return _windows(np.asarray(uid, np.int64), np.asarray(low, np.int64), np.asarray(n, np.int64))
+        places = list(zip(*(table.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
+        found = locate(table.column(7).to_pylist(), places, table.column(6).to_pylist(), table.column(4).to_pylist(), table.column(5).to_pylist())
+        uid, low, h1, h2, runs = zip(*found, strict=True) if found else ((),) * 5
+        runs = [[{"at": a, "n": n} for a, n in r] for r in runs]
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((uid, low, h1, h2, runs), _FOUND, strict=True)], schema=_FOUND)
 
     for batch in batches:
-        known = batch.filter(batch.column(5).is_null())
-        if known.num_rows:
-            yield _windows(*(known.column(i).to_numpy() for i in (2, 3, 4)))
-        batch = batch.filter(batch.column(5).is_valid())
+        later = batch.filter(batch.column(7).is_null())
+        if later.num_rows:
+            yield pa.RecordBatch.from_arrays([*(later.column(i) for i in (2, 3, 4, 5)), pa.nulls(later.num_rows, _FOUND.field("runs").type)], schema=_FOUND)
+        batch = batch.filter(batch.column(7).is_valid())
         step = max(1, SHARD_WORDS // (WINDOW + GRAM))
         for at in range(0, batch.num_rows, step):
             held.append(batch.slice(at, step))
@@ -365,10 +403,6 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(pa.Table.from_batches(held))
 
 
-def _windows(uid: np.ndarray, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(low), pa.array(n)], names=["uid", "low", "n"])
-
-
 # ---------------------------------------------------------------- 4. remove
 
 
@@ -424,9 +458,14 @@ def substring_dedup(df: DataFrame, key: str, text: str, *, with_text: bool = Fal
 
     marks = found.where("uid is not null").groupBy("uid").agg(F.collect_set("at").alias("marks"))
     marked = base.join(marks, "uid", "left").select("uid", "doc", "text", "marks")
-    spans = marked.mapInArrow(lambda it: _spans(it, hot), "shard long, doc long, uid long, low long, n long, span binary")
-    windows = spans.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate, "uid long, low long, n long")
-    removed = windows.groupBy("uid").agg(F.collect_set(F.struct("low", "n")).alias("windows"))
+    spans = marked.mapInArrow(lambda it: _spans(it, hot), "shard long, doc long, uid long, low long, h1 long, h2 long, many boolean, span binary")
+    located = spans.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate, "uid long, low long, h1 long, h2 long, runs array<struct<at:long,n:long>>")
+    located = materialize(located, "located")
+    # a place that went by its span's hash has the occurrences of the span; both sides are read from a table, so AQE can split a hot span
+    at_hash = located.where("runs is null").select("uid", "low", "h1", "h2").join(located.where("uid is null").select("h1", "h2", "runs"), ["h1", "h2"])
+    runs = located.where("uid is not null and runs is not null").select("uid", "low", "runs").unionByName(at_hash.select("uid", "low", "runs"))
+    windows = runs.select("uid", F.explode(F.transform("runs", lambda r: F.struct((F.col("low") + r["at"]).alias("low"), r["n"].alias("n")))).alias("w"))
+    removed = windows.groupBy("uid").agg(F.collect_set("w").alias("windows"))
     fields = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     out = base.join(removed, "uid", "left").select(F.when(F.col("uid") < 0, F.col("doc")).alias("doc"), "text", "windows").mapInArrow(lambda it: _remove(it, with_text), fields)
     kind = df.schema[key].dataType.simpleString()
