@@ -2,8 +2,10 @@
 
 A code is a random rotation and, for each of two halves of the rotated vector, a list of random
 directions; its filters are all combinations of one direction from each list. A vector is
-list-decoded to every filter whose direction it exceeds a threshold on. Vectors meet where they
-share a filter and are verified there in double precision.
+list-decoded, half by half, to every filter on whose direction it comes within a margin of its
+best one, so the threshold adapts to vector and code. Vectors meet where they share a filter and are
+verified there in double precision. There are about as many filters as vectors of the largest
+label, so what meets in a filter by chance does not grow with the table.
 """
 
 from __future__ import annotations
@@ -21,19 +23,20 @@ from pitchflow.llm.tables import materialize
 
 MIN_COSINE = 0.98
 N_CODES = 2
-#: Directions for each half; a code has the square of this many filters.
-N_DIRECTIONS = 64
-#: A filter is exceeded at this cosine, or within MARGIN of the vector's best filter.
-THRESHOLD = 0.36
-MARGIN = 0.08
+#: Directions for each half, at least; a code has the square of this many filters.
+LEAST_DIRECTIONS = 64
+#: Vectors of a label for each filter of a code.
+PER_FILTER = 4
+#: A filter is exceeded within this cosine of the vector's best filter.
+MARGIN = 0.06
 #: Members of a filter beyond which they are cut into parts that meet pairwise.
-BLOCK = 1_024
+BLOCK = 2_048
 
 # ---------------------------------------------------------------- filters
 
 
 @lru_cache(maxsize=16)
-def product_codes(dim: int, n_codes: int = N_CODES, n_directions: int = N_DIRECTIONS, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+def product_codes(dim: int, n_directions: int = LEAST_DIRECTIONS, n_codes: int = N_CODES, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each code the directions of both halves, turned back: two arrays [directions, dim]."""
     even, out = dim + dim % 2, []
     for code in range(n_codes):
@@ -54,22 +57,37 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def exceeded(vectors: np.ndarray, threshold: float = THRESHOLD, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
-    """row, filter of all filters that each unit vector exceeds, in order of row and filter."""
+def directions_for(n: int) -> int:
+    """Directions, a power of two, with at least one filter for each PER_FILTER of n vectors."""
+    out = LEAST_DIRECTIONS
+    while out * out * PER_FILTER < n:
+        out *= 2
+    return out
+
+
+def exceeded(vectors: np.ndarray, n_directions: int = LEAST_DIRECTIONS, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    """row, filter of all filters that each unit vector exceeds, in order of row and filter.
+
+    A pair of directions can only be within the margin if each is within it of the best of its half.
+    """
     rows, found = [], []
-    for code, (left, right) in enumerate(product_codes(vectors.shape[1])):
+    for code, (left, right) in enumerate(product_codes(vectors.shape[1], n_directions)):
         for at in range(0, len(vectors), 512):
             part = vectors[at : at + 512]
-            score = ((part @ left.T)[:, :, None] + (part @ right.T)[:, None, :]).reshape(len(part), -1)
-            row, which = np.nonzero(score >= np.minimum(threshold, score.max(axis=1) - margin)[:, None])
-            rows.append(row + at)
-            found.append(which + code * score.shape[1])
+            a, b = part @ left.T, part @ right.T
+            a -= a.max(axis=1, keepdims=True)
+            b -= b.max(axis=1, keepdims=True)
+            for row in range(len(part)):
+                i, j = np.flatnonzero(a[row] >= -margin), np.flatnonzero(b[row] >= -margin)
+                p, q = np.nonzero(a[row, i][:, None] + b[row, j][None, :] >= -margin)
+                rows.append(np.full(len(p), row + at))
+                found.append((code * n_directions + i[p]) * n_directions + j[q])
     row, which = np.concatenate(rows), np.concatenate(found)
     order = np.lexsort((which, row))
     return row[order], which[order]
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], n_directions: int) -> Iterator[pa.RecordBatch]:
     """label, rep, size, vector -> a row for each filter, with all filters of the vector."""
     for batch in batches:
         lists = batch.column(3)
@@ -78,15 +96,15 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         for dim in np.unique(lengths).tolist():
             which = np.flatnonzero(lengths == dim)
-            row, found = exceeded(unit(values[starts[which][:, None] + np.arange(dim)]))
+            row, found = exceeded(unit(values[starts[which][:, None] + np.arange(dim)]), n_directions)
             counts = np.bincount(row, minlength=len(which))
             # the list of all filters of the vector, once for each of its rows
             first, many = (np.cumsum(counts) - counts)[row], counts[row]
             places = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             offsets = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
             taken = batch.take(pa.array(which[row]))
-            filters = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[places].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(np.full(len(row), dim, np.int32)), pa.array(found.astype(np.int32)), taken.column(1), taken.column(2), taken.column(3), filters], names=["label", "dim", "filter", "rep", "size", "vector", "filters"])
+            filters = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[places].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(np.full(len(row), dim, np.int32)), pa.array(found.astype(np.int64)), taken.column(1), taken.column(2), taken.column(3), filters], names=["label", "dim", "filter", "rep", "size", "vector", "filters"])
 
 
 # ---------------------------------------------------------------- comparing
@@ -176,21 +194,24 @@ def near_vectors(df: DataFrame, key: str, vector: str, label: str, *, min_cosine
     Vectors link when their labels are equal and not null, their lengths are equal and their
     cosine is at least ``min_cosine``. Equal vectors are merged first and count as linked; of the
     others no pair below the cosine is linked, and a pair is found if it shares a filter, which
-    the margin makes all but sure. ``n_links`` counts the other rows linked directly.
+    the margin makes all but sure (tests find all of 2,000 pairs at the limit). ``n_links`` counts the other rows linked directly.
 
     Vectors that are null, empty, zero or hold nulls or numbers that are not finite link with
     nothing, nor do rows with a null key. Repeated rows count as vectors of their own. An empty
     table gives no rows. ``key`` and ``label`` must be whole numbers.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    kind = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"), F.col(vector).cast(f"array<{kind}>").alias("vector"))
     rows = rows.withColumn("usable", F.col("key").isNotNull() & F.col("label").isNotNull() & F.coalesce(_usable("vector"), F.lit(False)))
     named = rows.withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector", "label"))
     ids = materialize(named.select("key", "usable", "h1", "h2"), "vectors")
     groups = named.where("usable").groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = materialize(groups, "classes")
 
-    # groups differ in their vectors, so float keeps what comes from floats and doubles stay doubles
-    decoded = classes.select("label", "rep", "size", "vector").mapInArrow(_decode, "label long, dim int, filter int, rep long, size long, vector array<double>, filters array<int>")
+    # what comes as floats travels as floats, and is compared in double precision
+    most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    n_directions = directions_for(most)
+    decoded = classes.select("label", "rep", "size", "vector").mapInArrow(lambda it: _decode(it, n_directions), f"label long, dim int, filter long, rep long, size long, vector array<{kind}>, filters array<long>")
     met = materialize(decoded, "filters")
     bucket = ["label", "dim", "filter"]
     crowds = materialize(met.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n"), "filter-sizes")

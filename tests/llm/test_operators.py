@@ -230,3 +230,33 @@ def test_pipeline_stages(spark, texts):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert 0 < docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+def test_filters_find_pairs_at_the_limit():
+    """Pairs of cosine 0.98 to 0.985, the hardest to find, share a filter, whatever the number of directions."""
+    rng = np.random.default_rng(6)
+    a = near_vectors.unit(rng.standard_normal((2_000, 64)))
+    b = rng.standard_normal((2_000, 64))
+    b = near_vectors.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(0.98, 0.985, (2_000, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * b
+    for n in (64, 256):
+        left, right = (set(zip(*(x.tolist() for x in near_vectors.exceeded(v, n)))) for v in (a, b))
+        found = {row for row, _ in left & right}
+        assert len(found) >= 1_990
+        assert len(left) < 60 * len(a)
+
+
+def test_near_vectors_of_a_larger_table(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((700, 32))
+    rows = np.repeat(base, 4, axis=0) + rng.standard_normal((2_800, 32)) * 0.12
+    label = np.arange(2_800) % 4 // 2
+    df = spark.createDataFrame([(i, r.tolist(), int(label[i])) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(3)
+    v = near_vectors.unit(rows)
+    close = (v @ v.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(close, False)
+    want = close.sum(axis=1)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(df, "vec_id", "embedding", "label").collect()}
+    found = np.array([got[i] for i in range(2_800)])
+    assert want.sum() > 500 and (found <= want).all() and found.sum() >= 0.995 * want.sum()
