@@ -12,13 +12,15 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitchflow.llm.tables import fresh, free_name, materialize
 
 N_SLOTS = 16_384
+#: Parts into which each slot's rows are dealt to be numbered.
+PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -38,8 +40,9 @@ class SlotMap:
         return out
 
 
-def virtual_slot(key: str, n_slots: int = N_SLOTS):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n_slots)).cast("int")
+def virtual_slot(key: str, n_slots: int = N_SLOTS) -> Column:
+    """A row's slot by its key; rows without a key are dealt by their place in the table."""
+    return F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(key))), F.lit(n_slots)).cast("int")
 
 
 def slot_sums(df: DataFrame, slot: str, size: str, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
@@ -134,7 +137,7 @@ def assign_shards(df: DataFrame, key: str, size: str, n_shards: int, *, n_slots:
     map (such as an edited later version) decides. ``df`` is read once and kept in the shared
     folder, so pass the columns that are wanted, not more.
 
-    Null keys share one slot; a null size counts as 0; repeated rows get places of their own in an
+    Null keys are dealt over all slots, and rows of a repeated key share one; a null size counts as 0; repeated rows get places of their own in an
     arbitrary order among themselves; an empty table gives no rows; columns of ``df`` named like
     the four new ones are replaced.
     """
@@ -149,12 +152,16 @@ def assign_shards(df: DataFrame, key: str, size: str, n_shards: int, *, n_slots:
             slot_map = load_map(spark, map_path, 1)
     else:
         slot_map = SlotMap(slot_map.version, slot_map.n_shards, slot_map.shard, sizes, rows)
-    base, place = free_name(kept, "base"), free_name(kept, "place")
+    base, part, place, before = (free_name(kept, x) for x in ("base", "part", "place", "before"))
     mapped = map_frame(spark, slot_map, "virtual_slot", "shard", base)
-    # a virtual slot holds about 1 / n_slots of the rows, so the place in it is a small sort
-    within = Window.partitionBy("virtual_slot").orderBy(F.col(key), F.col(size))
-    placed = kept.withColumn(place, F.row_number().over(within) - 1)
-    return placed.join(F.broadcast(mapped), "virtual_slot").withColumn("slot", (F.col(base) + F.col(place)).cast("long")).withColumn("map_version", F.lit(slot_map.version)).drop(base, place)
+    # a slot holds about 1 / n_slots of the rows, but all rows of a repeated key: its rows are dealt into parts, which are counted first
+    dealt = kept.withColumn(part, F.pmod(F.xxhash64(F.lit(1), *kept.columns), F.lit(PARTS)).cast("int"))
+    counts = dealt.groupBy("virtual_slot", part).agg(F.count(F.lit(1)).alias("n"))
+    lower = Window.partitionBy("virtual_slot").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("virtual_slot", part, F.coalesce(F.sum("n").over(lower), F.lit(0)).alias(before))
+    within = Window.partitionBy("virtual_slot", part).orderBy(F.col(key), F.col(size))
+    placed = dealt.withColumn(place, F.row_number().over(within) - 1).join(starts, ["virtual_slot", part])
+    return placed.join(F.broadcast(mapped), "virtual_slot").withColumn("slot", (F.col(base) + F.col(before) + F.col(place)).cast("long")).withColumn("map_version", F.lit(slot_map.version)).drop(base, part, place, before)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
