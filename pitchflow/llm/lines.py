@@ -130,7 +130,7 @@ def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = M
 
     # the words of what is left, from the texts; rows that repeat key and text have the same, of which one is enough
     wanted = close.groupBy("uid").agg(F.collect_set("line").alias("wanted"))
-    split = base.select("uid", "text").join(wanted, "uid").select("uid", "wanted", F.split(_spaced(F.col("text")), "\n", -1).alias("all"))
+    split = base.select("uid", "text").join(wanted.hint("merge"), "uid").select("uid", "wanted", F.split(_spaced(F.col("text")), "\n", -1).alias("all"))
     whole = split.select("uid", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.array_distinct(F.array_remove(_words(F.get("all", i)), "")).alias("words")))).alias("x"))
     whole = scratch.write(whole.select("uid", "x.line", "x.words").dropDuplicates(["uid", "line"]), "close-words")
 
@@ -181,7 +181,8 @@ def line_dedup(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SI
     rows = fresh(df, "n_lines", "n_removed")
     uid, gone = (free_name(rows, x) for x in ("uid", "gone"))
     keyed = rows.withColumn(uid, row_id(key, text))
-    joined = keyed.join(found.select(F.col("uid").alias(uid), F.col("gone").alias(gone)), uid, "left")
+    # what is removed grows with the corpus, so it is not broadcast at any size
+    joined = keyed.join(found.select(F.col("uid").alias(uid), F.col("gone").alias(gone)).hint("merge"), uid, "left")
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
     some = F.col(gone).isNotNull() & F.col(text).isNotNull()
     left = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i))
