@@ -87,18 +87,17 @@ def _framed(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
     begin, end = ("{", "}") if kind == "json" else ("[", "]")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = begin
+        waiting = None  # the last document, until it is known whether a comma follows
         for frame in frames:
             out = []
             for key, text in zip(frame["match_id"], frame["document"], strict=True):
+                out.append(begin if waiting is None else f"{waiting},")
                 document = json.loads(text)
                 made = json.dumps(document if kind == "json" else {"matchId": key, **document}, indent=2, ensure_ascii=False).replace("\n", "\n  ")
-                out.append(f"{before}\n  {json.dumps(key, ensure_ascii=False)}: {made}" if kind == "json" else f"{before}\n  {made}")
-                before = ","
-            if out:
-                yield pd.DataFrame({"value": out})
-        if before == ",":
-            yield pd.DataFrame({"value": ["\n" + end]})
+                waiting = f"  {json.dumps(key, ensure_ascii=False)}: {made}" if kind == "json" else f"  {made}"
+            yield pd.DataFrame({"value": out})
+        if waiting is not None:
+            yield pd.DataFrame({"value": [waiting, end]})
 
     return run
 
@@ -127,5 +126,5 @@ def write_documents(df: DataFrame, path: str, kind: str, *, files: int = 1) -> s
         flat_table(df).withColumnRenamed("match_id", "matchId").coalesce(files).write.mode("overwrite").option("header", True).csv(target)
         return target
     rows = last_per_key(json_text(df), "match_id", ("document",)).repartition(files, "match_id").sortWithinPartitions("match_id")
-    rows.mapInPandas(_framed(kind), "value string").write.mode("overwrite").option("lineSep", "").text(target)
+    rows.mapInPandas(_framed(kind), "value string").write.mode("overwrite").text(target)
     return target

@@ -11,10 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: What a decoder leaves where bytes are no text in its encoding.
-_BROKEN = "\ufffd"
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
@@ -24,10 +20,10 @@ def read_csv(spark: SparkSession, path: str, columns: str, encoding: str | None
     """Typed columns of a CSV file with a header; quoted fields may hold commas and line breaks.
 
     Rows with more fields than the header go; short rows end in nulls; what does not fit its type is
-    null. Without ``encoding`` the file is read as UTF-8, or, if that leaves broken characters, as
+    null. Without ``encoding`` the file is read as UTF-8, or, if it is not valid UTF-8, as
     Latin-1 (then long rows are kept and cut).
     """
-    latin = encoding is None and not spark.read.text(path).where(F.col("value").contains(_BROKEN)).isEmpty()
+    latin = encoding is None and not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
     chosen = encoding or ("ISO-8859-1" if latin else "UTF-8")
     plain = spark.read.option("encoding", chosen).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
     first = plain.csv(path).limit(1).collect()

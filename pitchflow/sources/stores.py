@@ -66,11 +66,11 @@ class _Folder:
         system.delete(place, True)
 
     def read_json(self, path: str) -> dict[str, Any]:
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/{path}").first()[0]) if self.exists(path) else {}
+        return json.loads(self.spark.read.text(f"{self.root}/{path}").first()[0]) if self.exists(path) else {}
 
     def write_json(self, path: str, value: dict[str, Any]) -> None:
         """One small row: an index or a configuration."""
-        self.spark.createDataFrame([(json.dumps(value, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{path}")
+        self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{path}")
 
 
 class LeagueStore(_Folder):

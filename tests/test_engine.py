@@ -80,8 +80,15 @@ def test_scaler_and_model_round_trip(spark, tmp_path):
     df = models.class_weights(models.targets(spark.createDataFrame(rows, "k int, a double, b double, c double, result string, hg int, ag int")))
     scaled, scaler = scaling.scale(df, ("a", "b", "c"), "standard")
     assert scaling.Scaler.from_json(scaler.to_json()) == scaler and scaled.agg(F.max("c")).first()[0] == 0.0
-    model = models.fit(scaled, ("a", "b", "c"), "randomforest", n_estimators=3)
-    model.write().overwrite().save(str(tmp_path / "model"))
-    again = type(model).load(str(tmp_path / "model"))
-    assert again.transform(scaled).count() == 90 and models.evaluate(again, scaled).first()["accuracy"] > 0.4
-    assert abs(sum(models.probabilities(model, scaled).select("p_0", "p_1", "p_2").first()) - 1) < 1e-9
+    model = models.fit(scaled, ("a", "b", "c"), "randomforest", key="k", n_estimators=3, max_depth=5)
+    model.save(str(tmp_path / "model"))
+    again = models.Classifier.load(spark, str(tmp_path / "model"))
+    told = again.predict_proba(scaled)
+    assert told.count() == 90 and models.evaluate(again, scaled).first()["accuracy"] > 0.4
+    assert abs(sum(told.select("p_0", "p_1", "p_2").first()) - 1) < 1e-9
+
+
+def test_corner_form_without_shots(spark):
+    rows = [(i, dt.date(2020, 1, 1 + i), 2020, "A", "B", 1, 0, "H", i) for i in range(4)]
+    df = spark.createDataFrame(rows, "match_id int, match_date date, season int, home string, away string, hg int, ag int, result string, hc int")
+    assert [r["hcf"] for r in form.team_form(df, ("hcf",), n=2).orderBy("match_id").collect()] == [None, None, 1.0, 3.0]
