@@ -35,7 +35,7 @@ HELD_ROWS = 4_000_000
 HELD_BYTES = 64 << 20
 #: Words that are dealt with at once, whole anchors only, and windows that one automaton may hold:
 #: of anchors with more the windows are taken by hash in several passes.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 150_000
 PASS_WINDOWS = 60_000
 #: Anchors with more than one in so many of all occurrences, at most this many, are split by window.
 HOT_PART = 2_000
