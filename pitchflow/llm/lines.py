@@ -52,7 +52,7 @@ def rarity(df: DataFrame, text: str) -> list[int]:
 
 def code_table(codes: list[int]) -> Column:
     """The codes as one constant array."""
-    return F.split(F.lit(",".join(map(str, codes))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, codes))), ",").cast("array<bigint>")
 
 
 def word_hashes(line: Column) -> Column:
@@ -65,23 +65,19 @@ def by_rarity(hashes: Column, codes: Column) -> Column:
     """Words as numbers in order of rarity: the bucket's code, then 48 bits of the hash."""
 
     def number(h: Column) -> Column:
-        return F.call_function("shiftleft", F.get(codes, _bucket(h)).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit(_HASH_MASK)))
+        return F.call_function("shiftleft", codes[_bucket(h)], F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit(_HASH_MASK)))
 
     return F.sort_array(F.transform(hashes, number))
 
 
-def _bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+def _negative(hashes: Column) -> Column:
+    """How many of the ordered hashes are negative: the place of a zero among them."""
+    return F.array_position(F.sort_array(F.array_append(hashes, F.lit(0).cast("long"))), F.lit(0).cast("long")).cast("int") - 1
 
 
 def _parity(hashes: Column) -> Column:
     """64 bits, each flipped by every word that falls on it: sets differ in at least as many words as bits."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(_bit(h)))
-
-
-def _half_parity(hashes: Column) -> Column:
-    """The parity of one half of the words, by another bit of the hash; the whole gives that of the other half."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 0, a).otherwise(a.bitwiseXOR(_bit(h))))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _prefix(tokens: Column, n: Column, t: Fraction) -> Column:
@@ -94,12 +90,15 @@ def _similar(t: Fraction) -> tuple[int, int]:
 
 
 def _sketches(base: DataFrame, codes: Column, t: Fraction) -> DataFrame:
-    """A row for every line with a word: place, number of words, two hashes of the set, parities, prefix, a number of its own."""
-    sets = F.transform(F.split(_spaced(F.col("text")), "\n", -1), word_hashes)
-    lines = base.select("uid", "doc", F.posexplode(sets).alias("line", "hashes")).where(F.size("hashes") > 0)
-    h, n = F.col("hashes"), F.size("hashes")
-    made = lines.select("uid", "doc", "line", n.alias("n"), F.xxhash64(h).alias("h1"), F.xxhash64(F.lit(1), h).alias("h2"), _parity(h).alias("whole"), _half_parity(h).alias("half"), _prefix(by_rarity(h, codes), n, t).alias("prefix"))
-    return made.withColumn("whole", F.expr("whole ^ half")).withColumn("number", F.monotonically_increasing_id())
+    """A row for every line with a word: place, number of words, two hashes of the set, parities, prefix, a number of its own.
+
+    The words with negative hashes and the others are two halves, each with its own parity, so that each word is visited once.
+    """
+    lines = base.select("uid", "doc", F.posexplode(F.split(_spaced(F.col("text")), "\n", -1)).alias("line", "words")).where("trim(words) <> ''")
+    h, n, k = F.col("hashes"), F.size("hashes"), F.col("k")
+    sets = lines.select("uid", "doc", "line", word_hashes(F.col("words")).alias("hashes")).select("*", _negative(h).alias("k"))
+    parities = [_parity(F.slice(h, 1, k)).alias("half"), _parity(F.slice(h, k + 1, n)).alias("whole")]
+    return sets.select("uid", "doc", "line", n.alias("n"), F.xxhash64(h).alias("h1"), F.xxhash64(F.lit(1), h).alias("h2"), *parities, _prefix(by_rarity(h, codes), n, t).alias("prefix"), F.monotonically_increasing_id().alias("number"))
 
 
 def duplicate_lines(df: DataFrame, key: str, text: str, similarity: Fraction = MIN_SIMILARITY) -> DataFrame:
