@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm import licenses, lines, mixing, near_vectors, packing, quality, sharding, simhash, substrings, token_counts
+from pitchflow.llm import languages, licenses, lines, mixing, near_vectors, packing, quality, sharding, simhash, substrings, token_counts
 from pitchflow.llm.tables import documents, shared_path, word_count
 
 
@@ -64,7 +64,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(documents(spark, sf_dir), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_packing, op3_license_scan, op4_token_counts, op5_near_vectors, op6_quality_rules, op7_simhash, op8_line_dedup, op9_mixing, op10_substring_dedup)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_id(documents(spark, sf_dir), "doc_id", "text", "lang")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_packing, op3_license_scan, op4_token_counts, op5_near_vectors, op6_quality_rules, op7_simhash, op8_line_dedup, op9_mixing, op10_substring_dedup, op11_language_id)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _W = "[^\\x20\\x09-\\x0D]+"
