@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm import languages, licenses, lines, mixing, near_vectors, packing, quality, sharding, simhash, substrings, token_counts
+from pitchflow.llm import languages, licenses, lines, mixing, near_vectors, packing, quality, sharding, simhash, substrings, token_counts, tries
 from pitchflow.llm.tables import documents, shared_path, word_count
 
 
@@ -68,7 +68,12 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.language_id(documents(spark, sf_dir), "doc_id", "text", "lang")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_packing, op3_license_scan, op4_token_counts, op5_near_vectors, op6_quality_rules, op7_simhash, op8_line_dedup, op9_mixing, op10_substring_dedup, op11_language_id)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tries.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
+    return tries.prefix_trie(tries.rebuilt(turns))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_packing, op3_license_scan, op4_token_counts, op5_near_vectors, op6_quality_rules, op7_simhash, op8_line_dedup, op9_mixing, op10_substring_dedup, op11_language_id, op12_prefix_trie)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _W = "[^\\x20\\x09-\\x0D]+"
@@ -126,4 +131,21 @@ r AS (
     CAST(CAST('0x' || substr(md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS coin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
+    "op12_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn ASC NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+z AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda v, w: CASE WHEN v % 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)), CAST(4294967295 AS BIGINT)) % 4 AS h FROM t),
+r AS (
+  SELECT z.conv_id, list_concat(coalesce(b.ts[1:z.h], []), z.ts[z.h + 1:]) AS s FROM z LEFT JOIN t b ON b.conv_id = z.conv_id - z.conv_id % 20),
+m AS (SELECT conv_id, len(s) AS len, d, s[1:d] AS node, s FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends,
+    coalesce(len(regexp_extract_all(node[d][2], '{_W}')), 0) AS words FROM m GROUP BY node, d),
+c AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON n.node = c.node AND c.node IS NOT NULL),
+u AS (SELECT node[1:e] AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM k) GROUP BY ALL)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM k JOIN u ON k.node = u.node LEFT JOIN n p ON k.d > 0 AND p.node = k.node[1:k.d - 1]""",
 }
