@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm import languages, licenses, lines, mixing, near_vectors, packing, quality, sharding, simhash, substrings, token_counts, tries
+from pitchflow.llm import languages, licenses, lines, mixing, near_vectors, packing, phrases, quality, sharding, simhash, substrings, token_counts, tries
 from pitchflow.llm.tables import documents, shared_path, word_count
 
 
@@ -73,7 +73,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(tries.rebuilt(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_packing, op3_license_scan, op4_token_counts, op5_near_vectors, op6_quality_rules, op7_simhash, op8_line_dedup, op9_mixing, op10_substring_dedup, op11_language_id, op12_prefix_trie)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), "text", "lang")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_packing, op3_license_scan, op4_token_counts, op5_near_vectors, op6_quality_rules, op7_simhash, op8_line_dedup, op9_mixing, op10_substring_dedup, op11_language_id, op12_prefix_trie, op13_phrases)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _W = "[^\\x20\\x09-\\x0D]+"
@@ -148,4 +152,20 @@ k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON n.
 u AS (SELECT node[1:e] AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM k) GROUP BY ALL)
 SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
 FROM k JOIN u ON k.node = u.node LEFT JOIN n p ON k.d > 0 AND p.node = k.node[1:k.d - 1]""",
+    "op13_phrases": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]') AS ps FROM documents),
+p AS (SELECT r, i, lang, regexp_extract_all(ps[i], '[^\x20\x09]+') AS ws FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM d)),
+g AS (SELECT lang, ws[i:i + k - 1] AS ids, k FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, ids, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, ids, k, f AS a FROM f WHERE k > 1 AND f >= 100),
+x AS (SELECT DISTINCT s.lang, s.ids[t.i:t.i + t.m - 1] AS ids, s.a FROM c s, (SELECT i, m FROM (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3, 4]) AS m)) t WHERE t.m < s.k AND t.i + t.m - 1 <= s.k),
+k AS (SELECT c.* FROM c LEFT JOIN x ON c.lang = x.lang AND c.ids = x.ids AND c.a = x.a WHERE x.lang IS NULL),
+u AS (SELECT *, unnest(range(1, k)) AS c FROM k),
+s AS (
+  SELECT u.lang, u.ids, u.a, n.n, u.c, l.f AS l, r.f AS r, CAST(1000 * CAST(u.a AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM u JOIN n USING (lang) JOIN f l ON l.lang = u.lang AND l.ids = u.ids[1:u.c] JOIN f r ON r.lang = u.lang AND r.ids = u.ids[u.c + 1:u.k]),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ids ORDER BY score, c) AS o FROM s) WHERE o = 1),
+z AS (SELECT lang, array_to_string(ids, ' ') AS phrase, a, l, r, n, score FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) WHERE rank <= 2000""",
 }
