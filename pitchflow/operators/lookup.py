@@ -53,62 +53,111 @@ def latest_form(history: DataFrame, fixtures: DataFrame, *, recompute_difference
     return out
 
 
-def similar_names(names: DataFrame, known: DataFrame, *, warn_below: float = 0.6, keep: float = 0.6) -> DataFrame:
+def similar_names(names: DataFrame, known: DataFrame, *, warn_below: float = 0.6) -> DataFrame:
     """``name``, ``best``, ``ratio``, ``doubtful``: the known name most like each name (ties: the largest).
 
     Likeness is the Ratcliff-Obershelp ratio; choice is case-sensitive, and the reported ratio ignores
-    case. Names that share a character bigram with a known name are joined on the bigrams; each pair's
-    bound (twice the characters in common over both lengths) drops pairs that cannot reach ``keep``,
-    the others get their ratio. A name for which no pair reaches it is compared with all
-    known names, in blocks: they are a stated list. Null names give nulls, and so does an empty list.
+    case. Twice the characters in common, with their numbers, over both lengths bounds a ratio from above, so nothing is missed:
+    some known name sets a mark for each name, an index of the known names' characters finds all whose bound
+    may reach the mark, and these are rated from the highest bound down until the bound falls below the best ratio.
+    A name without a character in common with any known name gets the largest. Null names give nulls, and so does an empty list.
     """
-    name, other = names.columns[0], known.columns[0]
-    asked = names.select(F.col(name).alias("name"))
-    distinct, stated = asked.where("name is not null").distinct(), known.select(F.col(other).alias("known")).where("known is not null").distinct()
-
-    def grams(c: str) -> Column:
-        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))))
-
-    joined = distinct.select("name", grams("name").alias("g")).join(stated.select("known", grams("known").alias("g")), "g").select("name", "known").distinct()
-    near = _rated(joined.where(_bound("name", "known") >= keep)).where(F.col("ratio") >= keep)
-    best = near.groupBy("name").agg(F.max_by("known", F.struct("ratio", "known")).alias("best"))
-    rest = distinct.join(best.select("name"), "name", "left_anti")
-    far = _rated_in_blocks(rest, stated)
-    chosen = best.unionByName(far.select("name", "best"))
+    asked = names.select(F.col(names.columns[0]).alias("name"))
+    distinct = asked.where("name is not null").distinct()
+    stated = known.select(F.col(known.columns[0]).alias("known")).where("known is not null").distinct()
+    index = stated.select("known", F.explode(_characters("known")).alias("c"))
+    marked = distinct.join(_marks(distinct, stated, index), "name", "left").withColumn("mark", F.coalesce("mark", F.lit(0.0)))
+    rated = _best_first(_reaching(marked, index))
+    rest = stated.agg(F.max("known").alias("largest"), F.min("known").alias("smallest"))  # one row
+    # without characters only an empty name is alike
+    other = F.when(F.length("name") + F.length("smallest") == 0, F.col("smallest")).otherwise(F.col("largest"))
+    best = distinct.join(rated, "name", "left").join(F.broadcast(rest), F.lit(True)).select("name", F.coalesce("best", other).alias("best"))
     told = _ratio(F.lower("best"), F.lower("name"))
-    return asked.join(chosen, "name", "left").withColumn("ratio", told).withColumn("doubtful", F.col("ratio") < warn_below)
+    return asked.join(best, "name", "left").withColumn("ratio", told).withColumn("doubtful", F.col("ratio") < warn_below)
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def _letters(c: str) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), i, F.lit(1)))
+
 
+def _characters(c: str) -> Column:
+    """The characters of a name, each with its number among its equals: names share as many of these as they have characters in common."""
+    numbered = F.transform(F.array_distinct(_letters(c)), lambda x: F.transform(F.sequence(F.lit(1), _count(c, x)), lambda i: F.concat(x, i.cast("string"))))
+    return F.when(F.length(c) > 0, F.flatten(numbered)).otherwise(F.array().cast("array<string>"))
 
-def _rated(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("ratio", _ratio(F.col("name"), F.col("known")))
+
+def _count(c: str, x: Column) -> Column:
+    return F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
 
 
 def _bound(a: str, b: str) -> Column:
     """At least the ratio: twice the characters in common, with their numbers, over both lengths."""
-    letters = F.array_distinct(F.split(F.col(a), ""))
-    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
-    common = F.aggregate(letters, F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    return F.lit(2.0) * common / (F.length(a) + F.length(b))
+    common = F.aggregate(F.array_distinct(_letters(a)), F.lit(0), lambda s, x: s + F.least(_count(a, x), _count(b, x)))
+    return F.lit(2.0) * F.when((F.length(a) > 0) & (F.length(b) > 0), common).otherwise(0) / F.greatest(F.length(a) + F.length(b), F.lit(1))
+
+
+def _marks(names: DataFrame, stated: DataFrame, index: DataFrame, per_character: int = 8) -> DataFrame:
+    """``name``, ``mark``: a ratio that some known name reaches. Any would do, a high one spares work.
+
+    Looked at are names equal but for case, and, of a few names kept for each character, the one with the highest bound.
+    """
+    cased = stated.groupBy(F.lower("known").alias("low")).agg(F.max("known").alias("known"))
+    equal = names.join(cased, F.lower("name") == F.col("low")).select("name", "known")
+    some = index.groupBy("c", F.pmod(F.xxhash64("known"), F.lit(per_character)).alias("slot")).agg(F.max("known").alias("known"))
+    met = names.select("name", F.explode(_characters("name")).alias("c")).join(some.select("c", "known"), "c").select("name", "known").distinct()
+    likely = met.groupBy("name").agg(F.max_by("known", F.struct(_bound("name", "known"), F.col("known"))).alias("known"))
+    return equal.unionByName(likely).withColumn("ratio", _ratio(F.col("name"), F.col("known"))).groupBy("name").agg(F.max("ratio").alias("mark"))
+
 
+def _reaching(marked: DataFrame, index: DataFrame) -> DataFrame:
+    """``name``, ``known``, ``bound``: all pairs whose bound is not below the name's mark.
 
-def _rated_in_blocks(names: DataFrame, stated: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``name``, ``best``: names unlike all others against a stated list of at most ``limit`` (more is an error)."""
-    got = sorted(r[0] for r in stated.limit(limit + 1).collect())
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} known names")
-    given = names.sparkSession.sparkContext.broadcast(got)
+    A pair that reaches mark m has at least m n / (2 - m) characters in common, n being the name's length. So it has one among the name's
+    rarest characters, once so many less one are left out; only these look into the index, within the lengths that can do.
+    """
+    how_many = index.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    held = marked.select("name", "mark", F.explode(_characters("name")).alias("c")).join(how_many, "c").groupBy("name", "mark").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("cs"))
+    size = F.length("name")
+    needed = F.greatest(F.ceil(F.col("mark") * size / (2 - F.col("mark")) - 1e-9), F.lit(1)).cast("int")
+    looked = held.withColumn("cs", F.slice("cs", F.lit(1), F.greatest(F.size("cs") - needed + 1, F.lit(0)))).select("name", "mark", F.explode("cs.c").alias("c"))
+    long_enough = F.length("known") >= F.col("mark") * size / (2 - F.col("mark")) - 1e-9
+    short_enough = F.length("known") * F.col("mark") <= size * (2 - F.col("mark")) + 1e-9
+    pairs = looked.join(index, "c").where(long_enough & short_enough).select("name", "mark", "known").distinct()
+    return pairs.withColumn("bound", _bound("name", "known")).where(F.col("bound") >= F.col("mark")).select("name", "known", "bound")
+
+
+def _best_first(pairs: DataFrame) -> DataFrame:
+    """``name``, ``best``: each name's pairs stream by falling bound, and are rated only while the bound is not below the best ratio."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, best, out = None, (-1.0, ""), []
         for frame in frames:
-            best = [max(((difflib.SequenceMatcher(None, k, name).ratio(), k) for k in given.value), default=(0.0, None))[1] for name in frame["name"]]
-            yield pd.DataFrame({"name": frame["name"], "best": pd.Series(best, dtype=object)})
+            for name, known, bound in frame.itertuples(index=False):
+                if name != now:
+                    if now is not None:
+                        out.append((now, best[1]))
+                    now, best = name, (-1.0, "")
+                if bound >= best[0]:
+                    best = max(best, (_rate(known, name), known))
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["name", "best"])
+                out = []
+        if now is not None:
+            out.append((now, best[1]))
+        if out:
+            yield pd.DataFrame(out, columns=["name", "best"])
+
+    ordered = pairs.repartition("name").sortWithinPartitions("name", F.desc("bound")).select("name", "known", "bound")
+    return ordered.mapInPandas(run, "name string, best string")
+
 
-    return names.mapInPandas(run, "name string, best string")
+def _rate(known: str, name: str) -> float:
+    return difflib.SequenceMatcher(None, known, name).ratio()
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _rate(y, x) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def country(rows: DataFrame, name: str, column: str = "name") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import random
 
 import numpy as np
 import pytest
@@ -96,6 +97,21 @@ def test_similar_names_equal_brute_force(spark):
     assert got[None] == (None, None)
 
 
+def test_short_names_with_separators_equal_brute_force(spark):
+    """No bigram in common is no reason to miss a name; the largest of equals is told."""
+    rnd = random.Random(8)
+    made = lambda: "".join(rnd.choice("abcA-. é") for _ in range(rnd.randint(0, 7)))
+    names, known = sorted({made() for _ in range(2_300)})[:2_000], sorted({made() for _ in range(60)} | {"a-b-c", "abq", "c" * 230})
+    names += ["abc", "a" * 260, "zzz", "𝒳y"]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "n string").repartition(3)
+    got = {r["name"]: r["best"] for r in lookup.similar_names(frame(names), frame(known)).collect()}
+    rate = lambda k, n: difflib.SequenceMatcher(None, k, n).ratio()
+    assert got == {n: max(known, key=lambda k: (rate(k, n), k)) for n in names}
+    assert got["zzz"] == max(known) and lookup.similar_names(frame(["abc"]), frame(["a-b-c", "abq"])).first()["best"] == "a-b-c"
+    none = lookup.similar_names(frame(["a"]), frame(["a"]).limit(0)).first()
+    assert (none["best"], none["ratio"]) == (None, None)
+
+
 def test_row_keys_tell_nulls_apart(spark):
     rows = [("01/02/2020", 2020, "A", "B", 1, 0, "H", 1.0, 2.0, 3.0, hst, ast, 1, 1) for hst, ast in ((None, 3), (3, None))]
     df = spark.createDataFrame(rows, "match_date string, season int, home string, away string, hg int, ag int, result string, odd_1 double, odd_x double, odd_2 double, hst int, ast int, hc int, ac int")
