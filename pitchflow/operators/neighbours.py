@@ -1,4 +1,4 @@
-"""Exact nearest-neighbour votes of a stated query set against all rows, in blocks."""
+"""Exact nearest neighbours of any number of queries, by pivots and the triangle inequality, and their votes."""
 
 from __future__ import annotations
 
@@ -10,70 +10,183 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-#: Queries, rows and numbers compared at once; so many doubles at most.
-QUERIES, ROWS, NUMBERS = 256, 1_024, 1 << 22
+#: Queries, rows and numbers of a vector that are compared at once; they bound memory.
+QUERIES, ROWS, NUMBERS = 256, 256, 64
+#: Pivots of the vectors of one length, a stated sample; rows of a cell and queries of a cell that meet in one group.
+PIVOTS, CELL_ROWS, CELL_QUERIES = 64, 4_096, 32_768
+#: Bounds are widened by this share, far beyond what rounding can do.
+SLACK = 1e-9
 
 
 def _usable(vector: str) -> Column:
-    return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """Minkowski distances of all rows of ``a`` to all of ``b``, a block of the numbers at a time."""
+    """Minkowski distances of all rows of ``a`` to all of ``b``; the same for a pair whatever else is compared with it."""
     out = np.zeros((len(a), len(b)))
-    step = max(1, NUMBERS // (len(a) * len(b)))
-    for at in range(0, a.shape[1], step):
-        gap = np.abs(a[:, None, at : at + step] - b[None, :, at : at + step])
-        out += (gap**p).sum(axis=2)
-    return out ** (1 / p)
+    for i in range(0, len(a), QUERIES):
+        for j in range(0, len(b), ROWS):
+            for at in range(0, a.shape[1], NUMBERS):
+                gap = np.abs(a[i : i + QUERIES, None, at : at + NUMBERS] - b[None, j : j + ROWS, at : at + NUMBERS])
+                out[i : i + QUERIES, j : j + ROWS] += gap.sum(axis=2) if p == 1 else (gap**p).sum(axis=2)
+    return out if p == 1 else out ** (1 / p)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str, vector: str, label: str, p: int = 2, max_queries: int = 200_000) -> DataFrame:
-    """``query``, ``rank``, ``neighbour``, ``label``, ``distance``: the k nearest rows of each query but itself.
+def _matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batch by length of its vectors, each part with them as a matrix."""
+    lists = batch.column(column)
+    lengths = np.diff(lists.offsets.to_numpy())
+    for n in np.unique(lengths).tolist():
+        some = batch.take(pa.array(np.flatnonzero(lengths == n)))
+        yield some, some.column(column).flatten().to_numpy().reshape(-1, n)
 
-    Queries are a stated set of at most ``max_queries`` (more is an error) that every task gets.
-    Each task keeps its own k best per query, and only those are shuffled. Ties go to the smaller key.
-    Only vectors of one length meet; rows and queries whose key, label or vector is null, or whose
-    vector is empty or holds nulls, have no neighbours.
-    """
-    known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull() & _usable(vector)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("long").alias("label"))
-    stated = queries.where(F.col(key).isNotNull() & _usable(vector)).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).limit(max_queries + 1).collect()
-    if len(stated) > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    schema = "query long, neighbour long, label long, distance double"
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for n in {len(v) for _, v in stated}:
-        some = [(q, v) for q, v in stated if len(v) == n]
-        by_length[n] = np.asarray([q for q, _ in some]), np.asarray([v for _, v in some], np.float64)
-    given = rows.sparkSession.sparkContext.broadcast(by_length)
-
-    def best(keys: np.ndarray, labels: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, points = given.value[x.shape[1]]
-        for at in range(0, len(ids), QUERIES):
-            q = ids[at : at + QUERIES]
-            d = np.concatenate([_distances(points[at : at + QUERIES], x[r : r + ROWS], p) for r in range(0, len(x), ROWS)], axis=1)
-            d[q[:, None] == keys[None, :]] = np.inf
-            # all that may be among the k best, ties included, are put in order
-            limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
-            row, column = np.nonzero((d <= limit) & np.isfinite(d))
-            order = np.lexsort((keys[column], d[row, column], row))
-            row, column = row[order], column[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, column = row[place < k], column[place < k]
-            yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(keys[column]), pa.array(labels[column]), pa.array(d[row, column])], names=["query", "neighbour", "label", "distance"])
+
+class Cells:
+    """What is known of the cells: by length of the vectors the pivots, how far each cell reaches, its rows, and its rows' smallest distances to the pivot."""
+
+    def __init__(self, pivots: dict[int, np.ndarray]):
+        self.pivots = pivots
+        self.reach = {n: np.full(len(v), -1.0) for n, v in pivots.items()}
+        self.rows = {n: np.zeros(len(v), np.int64) for n, v in pivots.items()}
+        self.near: dict[int, list[list[float]]] = {n: [[] for _ in v] for n, v in pivots.items()}
+
+    def limits(self, d: np.ndarray, n: int, k: int) -> np.ndarray:
+        """No k-th neighbour is farther: by the triangle inequality each cell's rows nearest to its pivot are not. One more counts, as a query may be a row."""
+        cell = np.array([c for c, near in enumerate(self.near[n]) for _ in near], np.int64)
+        near = np.array([x for found in self.near[n] for x in found])
+        if len(near) <= k:
+            return np.full(len(d), np.inf)
+        return np.partition(d[:, cell] + near, k, axis=1)[:, k] * (1 + SLACK) + SLACK
+
+    def reached(self, d: np.ndarray, n: int, limit: np.ndarray) -> np.ndarray:
+        """Which cells may hold a row within the limit: those whose rows' ring comes near enough, and whose side of the bisector does."""
+        limit = limit[:, None] * (1 + SLACK) + SLACK
+        return (self.rows[n] > 0) & (d - self.reach[n] <= limit) & ((d - d.min(axis=1, keepdims=True)) / 2 <= limit)
+
+
+def _dealt(known: DataFrame, cells: Cells, p: int) -> DataFrame:
+    """``known`` with its cell: the nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, x in _matrices(batch, "vector"):
+                d = _distances(x, cells.pivots[x.shape[1]], p)
+                best = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(best.astype(np.int32)), pa.array(d[np.arange(len(x)), best])], names=[*batch.schema.names, "length", "cell", "away"])
+
+    return known.mapInArrow(run, "key long, vector array<double>, label long, length int, cell int, away double")
+
+
+def _cells(known: DataFrame, k: int, p: int) -> tuple[Cells, DataFrame]:
+    """The cells of the rows and the rows in them. To the driver come ``PIVOTS`` vectors for each length, and k + 1 distances for each pivot."""
+    first = F.row_number().over(Window.partitionBy("length").orderBy(F.xxhash64("key"), "key"))
+    chosen = known.withColumn("length", F.size("vector")).withColumn("place", first).where(F.col("place") <= PIVOTS).select("length", "vector").collect()
+    pivots: dict[int, list[list[float]]] = {}
+    for r in chosen:
+        if r["vector"] not in pivots.setdefault(r["length"], []):
+            pivots[r["length"]].append(r["vector"])
+    cells = Cells({n: np.array(v) for n, v in pivots.items()})
+    dealt = _dealt(known, cells, p)
+    near = F.row_number().over(Window.partitionBy("length", "cell").orderBy("away"))
+    nearest = dealt.select("length", "cell", "away").withColumn("place", near).where(F.col("place") <= k + 1).groupBy("length", "cell").agg(F.array_agg("away").alias("near"))
+    for r in dealt.groupBy("length", "cell").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("n")).join(nearest, ["length", "cell"]).collect():
+        cells.reach[r["length"]][r["cell"]], cells.rows[r["length"]][r["cell"]] = r["reach"], r["n"]
+        cells.near[r["length"]][r["cell"]] = r["near"]
+    return cells, dealt
+
+
+def _sent(queries: DataFrame, cells: Cells, k: int, p: int) -> DataFrame:
+    """``query``, ``vector``, ``length``, ``cell`` of every cell that may hold one of the query's k nearest rows. Queries whose key several rows have look everywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, x in _matrices(batch, "vector"):
+                n = x.shape[1]
+                if n not in cells.pivots:
+                    continue
+                d = _distances(x, cells.pivots[n], p)
+                limit = np.where(some.column("repeated").to_numpy(zero_copy_only=False), np.inf, cells.limits(d, n, k))
+                row, cell = np.nonzero(cells.reached(d, n, limit))
+                for at in range(0, len(row), 10_000):
+                    r, c = row[at : at + 10_000], cell[at : at + 10_000]
+                    picked = some.take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([picked.column("query"), picked.column("vector"), pa.array(np.full(len(r), n, np.int32)), pa.array(c.astype(np.int32))], names=["query", "vector", "length", "cell"])
+
+    return queries.select("query", "vector", "repeated").mapInArrow(run, "query long, vector array<double>, length int, cell int")
+
+
+def _met(both: DataFrame, k: int, p: int) -> DataFrame:
+    """The k best of each query in each group; a group's rows come before its queries, which stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, labels, rows = None, [], [], []
+        matrix = None
         for batch in batches:
-            lists = batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy())
-            for n in np.unique(lengths).tolist():
-                if n in given.value:
-                    some = batch.take(pa.array(np.flatnonzero(lengths == n)))
-                    yield from best(some.column(0).to_numpy(), some.column(2).to_numpy(), some.column(1).flatten().to_numpy().reshape(-1, n))
-
-    found = known.mapInArrow(run, schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour")))
+            groups = np.stack([batch.column(c).to_numpy() for c in ("length", "cell", "row_part", "query_part", "is_query")], axis=1)
+            edges = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]).any(axis=1)]))
+            for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(groups)]):
+                group, is_query = tuple(groups[low, :4].tolist()), groups[low, 4]
+                if group != now:
+                    now, keys, labels, rows, matrix = group, [], [], [], None
+                some = batch.slice(low, high - low)
+                x = some.column("vector").flatten().to_numpy().reshape(high - low, -1)
+                if not is_query:
+                    keys.append(some.column("key").to_numpy())
+                    labels.append(some.column("label").to_numpy(zero_copy_only=False).astype(np.int64))
+                    rows.append(x)
+                    continue
+                if not rows:
+                    continue
+                if matrix is None:
+                    matrix, k_all, l_all = np.concatenate(rows), np.concatenate(keys), np.concatenate(labels)
+                for at in range(0, len(x), QUERIES):
+                    yield from _best(some.column("key").to_numpy()[at : at + QUERIES], x[at : at + QUERIES], k_all, l_all, matrix, k, p)
+
+    ordered = both.repartition("length", "cell", "row_part", "query_part").sortWithinPartitions("length", "cell", "row_part", "query_part", "is_query")
+    return ordered.mapInArrow(run, "query long, neighbour long, label long, distance double")
+
+
+def _best(q: np.ndarray, points: np.ndarray, keys: np.ndarray, labels: np.ndarray, x: np.ndarray, k: int, p: int) -> Iterator[pa.RecordBatch]:
+    d = _distances(points, x, p)
+    d[q[:, None] == keys[None, :]] = np.inf
+    # all that may be among the k best, ties included, are put in order
+    last = min(k, d.shape[1]) - 1
+    row, column = np.nonzero((d <= np.partition(d, last, axis=1)[:, last : last + 1]) & np.isfinite(d))
+    order = np.lexsort((keys[column], d[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = row[place < k], column[place < k]
+    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(keys[column]), pa.array(labels[column]), pa.array(d[row, column])], names=["query", "neighbour", "label", "distance"])
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str, vector: str, label: str, p: int = 2) -> DataFrame:
+    """``query``, ``rank``, ``neighbour``, ``label``, ``distance``: the k nearest rows of each query but itself, exactly.
+
+    Rows are dealt to the nearest of some pivots. How far the cells reach, and the smallest distances to their pivots, bound how far a
+    query's k-th neighbour can be, so most cells need not be looked at (for any Minkowski distance). Query and row
+    meet in groups of bounded size: rows of a large cell, and the queries of a popular one, are dealt to several groups; each
+    sends a query's k best, which are merged. Ties go to the smaller key. Only vectors of one length meet; rows and queries whose
+    key, label or vector is null, or whose vector is empty or holds nulls or what is not finite, have no neighbours. Rows with the query's
+    key count as the query itself.
+    """
+    known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull() & _usable(vector)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("long").alias("label"))
+    stated = queries.where(F.col(key).isNotNull() & _usable(vector)).select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vector"))
+    cells, dealt = _cells(known, k, p)
+    repeated = known.groupBy("key").count().where("count > 1").select(F.col("key").alias("query"), F.lit(True).alias("repeated"))
+    sent = _sent(stated.join(repeated, "query", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))), cells, k, p)
+    sizes = {(n, c): (int(r), 1) for n, counts in cells.rows.items() for c, r in enumerate(counts.tolist())}
+    for r in sent.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each pivot
+        sizes[r["length"], r["cell"]] = sizes[r["length"], r["cell"]][0], r["n"]
+    parts = [(n, c, -(-max(r, 1) // CELL_ROWS), -(-q // CELL_QUERIES)) for (n, c), (r, q) in sizes.items()]
+    table = F.broadcast(rows.sparkSession.createDataFrame(parts, "length int, cell int, row_parts int, query_parts int"))  # one row for each pivot
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = dealt.join(table, ["length", "cell"]).withColumn("row_part", F.pmod(F.xxhash64("key", "away"), F.col("row_parts")).cast("int")).withColumn("query_part", every("query_parts"))
+    theirs = sent.join(table, ["length", "cell"]).withColumn("query_part", part("query", "query_parts")).withColumn("row_part", every("row_parts"))
+    columns = ["length", "cell", "row_part", "query_part", "is_query", "key", "label", "vector"]
+    both = mine.withColumn("is_query", F.lit(0)).select(columns).unionByName(theirs.withColumns({"is_query": F.lit(1), "label": F.lit(None).cast("long")}).withColumnRenamed("query", "key").select(columns))
+    ranked = _met(both, k, p).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour")))
     return ranked.where(F.col("rank") <= k).select("query", "rank", "neighbour", "label", "distance")
 
 
