@@ -23,6 +23,8 @@ from pitchflow.llm.tables import Scratch
 
 #: Positions of a block, and of a shard (so that a block's number has 16 bits).
 BITS, POSITIONS = 16, 1 << 20
+#: Shards are numbered in steps, so that a shard's number and a word's place in it make a number of their own.
+POSITIONS_AT_MOST = 1 << 20
 #: Words of the longest phrase.
 LONGEST = 5
 #: Shards' worth of words that a task holds, however many languages they are of.
@@ -68,8 +70,8 @@ def _masks(positions: np.ndarray, n_blocks: int) -> np.ndarray:
 def bitmaps(ids: np.ndarray, starts: np.ndarray, context: int) -> dict[str, Any]:
     """Bitmaps of the words (0, 1, ...) at the shard's positions. The first ``context`` positions belong to the shard before.
 
-    ``counts``: own positions of each word. ``word``, ``block``, ``bits``: the blocks that are not empty, word by word. ``starts``: bits of
-    the positions at which pieces begin; ``own``: bits of own positions.
+    ``counts``: own positions of each word. ``blocks``: how many blocks of each word are not empty; ``block``, ``bits``: these, word by
+    word. ``starts``: bits of the positions at which pieces begin; ``own``: bits of own positions.
     """
     n_blocks = -(-max(len(ids), 1) // BITS)
     order = np.argsort(ids, kind="stable")
@@ -78,7 +80,7 @@ def bitmaps(ids: np.ndarray, starts: np.ndarray, context: int) -> dict[str, Any]
     at = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])])) if len(ids) else np.empty(0, np.int64)
     return {
         "counts": np.bincount(ids[context:], minlength=int(ids.max(initial=-1)) + 1).astype(np.int64),
-        "word": word[at].astype(np.int32), "block": block[at].astype(np.uint16), "bits": np.bitwise_or.reduceat(bits, at) if len(at) else bits,
+        "blocks": np.bincount(word[at], minlength=int(ids.max(initial=-1)) + 1).astype(np.int32), "block": block[at].astype(np.uint16), "bits": np.bitwise_or.reduceat(bits, at) if len(at) else bits,
         "starts": _masks(np.flatnonzero(starts), n_blocks), "own": _masks(np.arange(context, len(ids)), n_blocks),
     }
 
@@ -152,7 +154,7 @@ class Miner:
 # ---------------------------------------------------------------- shards
 
 
-_SHARD = "shard long, lang string, words array<string>, counts array<long>, word binary, block binary, bits binary, starts binary, own binary"
+_SHARD = "shard long, lang string, words array<string>, counts array<long>, blocks binary, block binary, bits binary, starts binary, own binary"
 
 
 class _Open:
@@ -170,7 +172,7 @@ class _Open:
         there = np.bincount(said, minlength=len(self.words) - 2) > 0
         maps = bitmaps((np.cumsum(there) - 1)[said], starts, self.context)
         words = [w.decode("utf-8", "replace") for w, yes in zip(list(self.words)[2:], there.tolist(), strict=True) if yes]
-        binary = [pa.array([maps[x].tobytes()], pa.binary()) for x in ("word", "block", "bits", "starts", "own")]
+        binary = [pa.array([maps[x].tobytes()], pa.binary()) for x in ("blocks", "block", "bits", "starts", "own")]
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([maps["counts"].tolist()], pa.list_(pa.int64())), *binary], names=[x.split()[0] for x in _SHARD.split(", ")])
 
 
@@ -183,7 +185,7 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(lang), F.lit(UNKNOWN)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = TaskContext.get().partitionId() << 32, {}
+        shard, held = TaskContext.get().partitionId() << 40, {}
         for batch in batches:
             for said, name in zip(batch.column(0), batch.column(1), strict=True):
                 name = name.as_py()
@@ -196,7 +198,7 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     if len(ids) < room:
                         break
                     yield now.made(shard, name)
-                    shard += 1
+                    shard += POSITIONS_AT_MOST
                     tail, rest = ids[max(0, room - LONGEST + 1) : room], ids[room:]
                     breaks = np.flatnonzero(tail == 1)
                     tail = tail[breaks[-1] + 1 :] if len(breaks) else tail
@@ -213,11 +215,11 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 if sum(x.held for x in held.values()) > OPEN * POSITIONS:
                     fullest = max(held, key=lambda x: held[x].held)
                     yield held.pop(fullest).made(shard, fullest)
-                    shard += 1
+                    shard += POSITIONS_AT_MOST
         for name, now in held.items():
             if now.held:
                 yield now.made(shard, name)
-                shard += 1
+                shard += POSITIONS_AT_MOST
 
     return rows.mapInArrow(run, _SHARD)
 
@@ -230,13 +232,13 @@ def _numbers(column: pa.Array, i: int) -> list[np.ndarray]:
 
 def _miner(columns: dict[str, pa.Array], i: int) -> tuple[Miner, np.ndarray]:
     """The miner of a shard over its frequent words, and their numbers in the language."""
-    word, block, bits, starts, own = (np.frombuffer(columns[x][i].as_buffer(), t) for x, t in (("word", np.int32), ("block", np.uint16), ("bits", np.uint16), ("starts", np.uint16), ("own", np.uint16)))
+    blocks, block, bits, starts, own = (np.frombuffer(columns[x][i].as_buffer(), t) for x, t in (("blocks", np.int32), ("block", np.uint16), ("bits", np.uint16), ("starts", np.uint16), ("own", np.uint16)))
     local, numbers = _numbers(columns["known"], i)
     order = np.argsort(local)
     numbers = numbers[order]
-    place = np.full(int(word.max(initial=-1)) + 1, -1, np.int64)
+    place = np.full(len(blocks), -1, np.int64)
     place[local[order]] = np.arange(len(numbers))
-    word = place[word]
+    word = np.repeat(place, blocks)
     keep, key = word >= 0, None
     if "pairs" in columns:
         order = np.argsort(numbers)
@@ -248,7 +250,7 @@ def _miner(columns: dict[str, pa.Array], i: int) -> tuple[Miner, np.ndarray]:
 def _counted(rows: DataFrame, longest: int) -> DataFrame:
     """``shard``, ``w1`` .. ``w5`` (null beyond the phrase), ``n``: counts of the phrases of 2 to ``longest`` words of each shard."""
     names = ["shard", *[f"w{i + 1}" for i in range(LONGEST)], "n"]
-    wanted = ["shard", "word", "block", "bits", "starts", "own", "known", *[x for x in ("pairs",) if x in rows.columns]]
+    wanted = ["shard", "blocks", "block", "bits", "starts", "own", "known", *[x for x in ("pairs",) if x in rows.columns]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,23 +271,30 @@ def _counted(rows: DataFrame, longest: int) -> DataFrame:
 
 
 def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words (``id``, ``lang``, ``word``, ``f``) and phrases (``ids``, ``f``) with at least ``least`` occurrences, and ``lang``, ``n``: all occurrences of words."""
+    """Words (``id``, ``lang``, ``word``, ``f``) and phrases (``ids``, ``f``) with at least ``least`` occurrences, and ``lang``, ``n``: all occurrences of words.
+
+    What shards have of a word, or a pair, meets once: a window adds it up and leaves it by shard, so that each
+    shard gets its own frequent words and pairs, no more than it has positions.
+    """
     table = scratch.write(shards(docs, text, lang), "shards")
-    local = table.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("lang", "shard", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     sizes = scratch.write(table.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
-    words = scratch.write(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "words")
-    # each shard gets its own frequent words, no more than it has positions
-    known = local.select("lang", "word", "shard", "place").join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    bound = scratch.write(table.drop("words", "counts", "lang").join(known, "shard"), "bound")
+    local = table.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("lang", "shard", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    same = Window.partitionBy("lang", "word")
+    summed = local.withColumns({"f": F.sum("n").over(same), "id": F.min(F.col("shard") + F.col("place")).over(same)}).where(F.col("f") >= least)
+    known = scratch.write(summed.select("lang", "shard", "place", "id", "f", F.when(F.col("id") == F.col("shard") + F.col("place"), F.col("word")).alias("word")), "known")
+    words = known.where("word is not null").select("id", "lang", "word", "f")
+    lists = known.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+    bound = scratch.write(table.drop("words", "counts", "lang").join(lists, "shard"), "bound")
     scratch.drop("shards")
-    in_shards = scratch.write(_counted(bound, 2).select("shard", "w1", "w2", "n"), "pairs")
-    pairs = scratch.write(in_shards.groupBy("w1", "w2").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent-pairs")
-    own = in_shards.join(pairs.select("w1", "w2"), ["w1", "w2"]).groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("pairs"))
+    both = Window.partitionBy("w1", "w2")
+    frequent = _counted(bound, 2).select("shard", "w1", "w2", "n").withColumns({"f": F.sum("n").over(both), "first": F.min("shard").over(both)}).where(F.col("f") >= least)
+    pairs = scratch.write(frequent.select("shard", "w1", "w2", F.when(F.col("first") == F.col("shard"), F.col("f")).alias("f")), "pairs")
+    own = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("pairs"))
     ids = [f"w{i + 1}" for i in range(LONGEST)]
     longer = _counted(bound.join(own, "shard"), LONGEST).where("w3 is not null").groupBy(*ids).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    both = pairs.select(F.array("w1", "w2").alias("ids"), "f").unionByName(longer.select(F.array_compact(F.array(*ids)).alias("ids"), "f"))
-    phrases = scratch.write(both, "phrases")
-    scratch.drop("pairs", "frequent-pairs", "bound")
+    told = pairs.where("f is not null").select(F.array("w1", "w2").alias("ids"), "f").unionByName(longer.select(F.array_compact(F.array(*ids)).alias("ids"), "f"))
+    phrases = scratch.write(told, "phrases")
+    scratch.drop("pairs", "bound")
     return words, phrases, sizes
 
 

@@ -76,7 +76,7 @@ def test_popcounts_of_bitmaps(monkeypatch):
                     want[tuple(ids[i : i + k].tolist())] += 1
         for at_once in (1 << 17, 40, 1):
             monkeypatch.setattr(P, "AT_ONCE", at_once)
-            miner = P.Miner(maps["word"], maps["block"], maps["bits"], maps["starts"], maps["own"])
+            miner = P.Miner(np.repeat(np.arange(5), maps["blocks"]), maps["block"], maps["bits"], maps["starts"], maps["own"])
             got = Counter()
             for found, counts in miner.mine(np.arange(5)[:, None], *miner.singles, 5):
                 for p, n in zip(found.tolist(), counts.tolist()):
