@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchflow.functions.columns import result_code
-from pitchflow.operators import neighbours
+from pitchflow.operators import boosting, neighbours
+from pitchflow.operators.boosting import Boosted
 from pitchflow.operators.discriminant import Discriminant
 from pitchflow.operators.metrics import classification_metrics
 from pitchflow.operators.splits import stratified_folds
@@ -98,11 +99,6 @@ def random_forest(n_estimators: int = 100, criterion: str = "gini", min_samples_
     return C.RandomForestClassifier(numTrees=n_estimators, featureSubsetStrategy=max_features or "all", seed=seed, **_tree(criterion, min_samples_leaf, min_samples_split, max_depth, class_weight))
 
 
-def boosting(n_estimators: int = 100, max_depth: int = 6, learning_rate: float = 0.3, min_child_weight: int = 1, seed: int = 0) -> Estimator:
-    """MLlib's boosting has two classes and no leaf penalties, so it is one against the rest."""
-    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, minInstancesPerNode=min_child_weight, seed=seed))
-
-
 def logistic(penalty: str | None = None, n_rows: int = 1, strengths: Sequence[float] = PENALTY_STRENGTHS, folds: int = 5, seed: int = 0) -> Estimator:
     """Without a penalty one fit; else the strength with the best accuracy over folds. The penalty is 1 / (strength * rows)."""
     if penalty not in (None, "l1", "l2"):
@@ -125,7 +121,7 @@ def support_vectors(c: float = 1.0, n_rows: int = 1, class_weight: bool = True)
 ALGORITHMS: dict[str, Callable[..., Estimator] | None] = {
     "decisiontree": decision_tree,
     "discriminant": None,  # closed form
-    "extremeboosting": boosting,
+    "extremeboosting": None,  # grown level by level
     "knn": None,  # keeps its rows
     "logistic": logistic,
     "naivebayes": naive_bayes,
@@ -191,6 +187,7 @@ class Member:
     pipeline: PipelineModel | None = None
     discriminant: Discriminant | None = None
     rows: DataFrame | None = None
+    boosted: Boosted | None = None
     kernel: Kernel | None = None
     settings: dict[str, Any] = field(default_factory=dict)
     calibrators: list[IsotonicRegressionModel] = field(default_factory=list)
@@ -199,6 +196,8 @@ class Member:
         """``df`` with an array of scores; of models without probabilities, the margins through the logistic curve."""
         if self.discriminant is not None:
             return df.withColumn(name, self.discriminant.probabilities())
+        if self.boosted is not None:
+            return df.withColumn(name, self.boosted.probabilities())
         if self.rows is not None:
             return self._votes(df, n_classes, name)
         extra = [c for c in ("features", "rawPrediction", "probability", "prediction") if c not in df.columns]
@@ -266,6 +265,8 @@ class Classifier:
 
     def feature_importances(self) -> dict[str, float]:
         """Of tree models; of calibrated ones those of the first fold."""
+        if self.members[0].boosted is not None:
+            return dict(zip(self.features, self.members[0].boosted.importances(), strict=True))
         last = self._last()
         found = [m.featureImportances for m in last.models] if isinstance(last, C.OneVsRestModel) else [last.featureImportances]
         return {f: float(np.mean([v[i] for v in found])) for i, f in enumerate(self.features)}
@@ -292,7 +293,7 @@ class Classifier:
                 one.write().overwrite().save(f"{path}/calibrator-{i}-{c}")
             if m.rows is not None:
                 m.rows.write.mode("overwrite").parquet(f"{path}/rows-{i}")
-            told.append({"discriminant": m.discriminant and asdict(m.discriminant), "kernel": m.kernel and asdict(m.kernel), "settings": m.settings, "n_calibrators": len(m.calibrators), "rows": m.rows is not None, "pipeline": m.pipeline is not None})
+            told.append({"discriminant": m.discriminant and asdict(m.discriminant), "boosted": m.boosted and asdict(m.boosted), "kernel": m.kernel and asdict(m.kernel), "settings": m.settings, "n_calibrators": len(m.calibrators), "rows": m.rows is not None, "pipeline": m.pipeline is not None})
         meta = {"config": self.config, "features": self.features, "n_classes": self.n_classes, "members": told}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -308,6 +309,7 @@ class Classifier:
                     PipelineModel.load(f"{path}/member-{i}") if m["pipeline"] else None,
                     Discriminant(**m["discriminant"]) if m["discriminant"] else None,
                     spark.read.parquet(f"{path}/rows-{i}") if m["rows"] else None,
+                    Boosted(**m["boosted"]) if m.get("boosted") else None,
                     Kernel(**m["kernel"]) if m["kernel"] else None,
                     m["settings"],
                     [IsotonicRegressionModel.load(f"{path}/calibrator-{i}-{c}") for c in range(m["n_calibrators"])],
@@ -325,8 +327,19 @@ def save_model(model: Classifier | None, path: str) -> None:
 # ---------------------------------------------------------------- fitting
 
 
-def _member(df: DataFrame, features: Sequence[str], algorithm: str, settings: dict[str, Any], n_rows: int) -> Member:
+def written(df: DataFrame) -> DataFrame:
+    """``df``, kept in the shared folder if there is one, else in memory and on disk."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+        return df.checkpoint()
+    return df.persist()
+
+
+def _member(df: DataFrame, features: Sequence[str], algorithm: str, settings: dict[str, Any], n_rows: int, n_classes: int) -> Member:
     chosen = dict(settings)
+    if algorithm == "extremeboosting":
+        chosen.pop("seed", None)  # nothing is drawn
+        return Member(algorithm, list(features), boosted=boosting.fit(df, features, n_classes, written, penalty=chosen.pop("lambda", 1.0), **chosen))
     if algorithm == "discriminant":
         return Member(algorithm, list(features), discriminant=Discriminant.fit(df, features, quadratic=chosen.get("decision_boundary", "linear") == "quadratic", oas=chosen.get("oas", False)))
     if algorithm == "knn":
@@ -360,10 +373,10 @@ def fit(df: DataFrame, features: Sequence[str], algorithm: str, *, key: str = "m
         raise ValueError("no rows to fit")
     n_classes, config = max(int(top) + 1, 2), {"algorithm": algorithm, "calibrate": calibrate, **settings}
     if not calibrate or algorithm == "discriminant":
-        return Classifier(config, list(features), n_classes, [_member(rows, features, algorithm, settings, n_rows)])
+        return Classifier(config, list(features), n_classes, [_member(rows, features, algorithm, settings, n_rows, n_classes)])
     dealt, members = stratified_folds(rows, "label", "row_key", folds), []
     for fold in range(folds):
-        member = _member(dealt.where(F.col("fold") != fold), features, algorithm, settings, n_rows)
+        member = _member(dealt.where(F.col("fold") != fold), features, algorithm, settings, n_rows, n_classes)
         held = member.scores(dealt.where(F.col("fold") == fold), n_classes, "_scores").select("label", "_scores")
         for c in range(n_classes):
             curve = IsotonicRegression(featuresCol="_score", labelCol="_is")
