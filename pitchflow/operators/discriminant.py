@@ -83,11 +83,11 @@ class Discriminant:
             out = out + t
         return out
 
-    def probabilities(self) -> Column:
-        """Class probabilities, in order of the classes, as an array."""
-        scores = [self.score(c) for c in range(len(self.classes))]
-        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        return F.array(*[F.exp(s - best) for s in scores])
+    def probabilities(self, n_classes: int) -> Column:
+        """Shares of the classes 0, 1, ... as an array, not yet summing to one; 0 for a class that no row had."""
+        scores = {int(v): self.score(c) for c, v in enumerate(self.classes)}
+        best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+        return F.array(*[F.exp(scores[c] - best) if c in scores else F.lit(0.0) for c in range(n_classes)])
 
 
 def _shrunk(covariance: np.ndarray, n: int) -> np.ndarray:

@@ -195,7 +195,7 @@ class Member:
     def scores(self, df: DataFrame, n_classes: int, name: str) -> DataFrame:
         """``df`` with an array of scores; of models without probabilities, the margins through the logistic curve."""
         if self.discriminant is not None:
-            return df.withColumn(name, self.discriminant.probabilities())
+            return df.withColumn(name, self.discriminant.probabilities(n_classes))
         if self.boosted is not None:
             return df.withColumn(name, self.boosted.probabilities())
         if self.rows is not None:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pitchflow.operators import cleaning, form, models, scaling
 from pitchflow.operators.training import Trained
@@ -48,7 +51,12 @@ class League:
 
 
 class _Folder:
-    """File operations on any file system that Spark reads."""
+    """File operations on any file system that Spark reads.
+
+    What is stored is versioned: a new version is written beside the old one and takes effect when a small file that
+    names it is renamed into place, in one step. Whoever reads sees the version before or the one after. Of two
+    versions of one number the rename of the second fails. What a crash leaves behind no reader sees; the next commit clears it.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,23 +73,59 @@ class _Folder:
         system, place = self._at(path)
         system.delete(place, True)
 
+    def _names(self, path: str) -> list[str]:
+        system, place = self._at(path)
+        return [x.getPath().getName() for x in system.listStatus(place)] if system.exists(place) else []
+
+    def versions(self, path: str) -> list[int]:
+        """Numbers of the committed versions, in order."""
+        return sorted(int(x[1:]) for x in self._names(path) if x[0] == "v" and x[1:].isdigit())
+
     def read_json(self, path: str) -> dict[str, Any]:
-        return json.loads(self.spark.read.text(f"{self.root}/{path}").first()[0]) if self.exists(path) else {}
+        """The newest version's value; nothing if there is none."""
+        found = self.versions(path)
+        return json.loads(self._text(f"{path}/v{found[-1]}")) if found else {}
 
-    def write_json(self, path: str, value: dict[str, Any]) -> None:
-        """One small row: an index or a configuration."""
-        self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{path}")
+    def _text(self, path: str) -> str:
+        system, place = self._at(path)
+        stream = system.open(place)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_json(self, path: str, value: dict[str, Any], keep: int = 2) -> int:
+        """Commits a small value as the next version, then clears all but the newest ``keep``; its number."""
+        number = (self.versions(path) or [0])[-1] + 1
+        draft = f"{path}/draft-{uuid.uuid4().hex}"
+        system, place = self._at(draft)
+        stream = system.create(place, True)
+        try:
+            stream.write(bytearray(json.dumps(value).encode()))
+        finally:
+            stream.close()
+        target = self._at(f"{path}/v{number}")[1]
+        if system.exists(target) or not system.rename(place, target):
+            system.delete(place, False)
+            raise RuntimeError(f"version {number} of {path} was committed by another writer")
+        for old in self.versions(path)[:-keep]:
+            self.delete(f"{path}/v{old}")
+        return number
 
 
 class LeagueStore(_Folder):
-    """Tables of leagues below ``root``/<league id>, and an index of what each league is."""
+    """Tables of leagues below ``root``/<league id>, and an index of what each league is.
+
+    A league's manifest names for each season the folder that holds it. Saving writes new folders and then commits a manifest:
+    replaced seasons go with it, and a save that breaks off changes nothing.
+    """
 
     INDEX = "leagues-index"
 
     def __init__(self, spark: SparkSession, root: str):
         super().__init__(spark, root)
         found = self.read_json(self.INDEX)
-        self.index: dict[str, League] = {k: League.from_row(v) for k, v in found.items() if self.exists(f"{k}/table")}
+        self.index: dict[str, League] = {k: League.from_row(v) for k, v in found.items() if self.versions(f"{k}/manifest")}
         if len(self.index) < len(found):
             self._save_index()
 
@@ -94,19 +138,39 @@ class LeagueStore(_Folder):
     def has(self, league_id: str) -> bool:
         return league_id in self.index
 
-    def save(self, df: DataFrame, league: League) -> None:
-        """Overwrites the seasons in ``df``, then enters the league in the index."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(f"{self.root}/{league.league_id}/table")
-        self.index[league.league_id] = league
+    def save(self, df: DataFrame, league: League, *, keep_older: bool = False) -> None:
+        """Replaces the league's table, or with ``keep_older`` only the seasons in ``df``, then enters the league in the index."""
+        at, batch = league.league_id, f"table/{uuid.uuid4().hex}"
+        df.write.partitionBy("season").parquet(f"{self.root}/{at}/{batch}")
+        made = {x.removeprefix("season="): f"{batch}/{x}" for x in self._names(f"{at}/{batch}") if x.startswith("season=")}
+        old = self.read_json(f"{at}/manifest").get("seasons", {}) if keep_older else {}
+        self.write_json(f"{at}/manifest", {"seasons": old | made, "schema": df.schema.json()})
+        self._clear(at)
+        self.index[at] = league
         self._save_index()
 
+    def _clear(self, league_id: str) -> None:
+        """Deletes batches that no kept manifest names: readers of the version before still find theirs."""
+        kept = {folder.split("/")[1] for v in self.versions(f"{league_id}/manifest") for folder in json.loads(self._text(f"{league_id}/manifest/v{v}"))["seasons"].values()}
+        for name in self._names(f"{league_id}/table"):
+            if name not in kept:
+                super().delete(f"{league_id}/table/{name}")
+
     def load(self, league_id: str) -> DataFrame | None:
         """The league's table; if it is gone its entry goes too, and None comes back."""
-        if not self.exists(f"{league_id}/table"):
+        manifest = self.read_json(f"{league_id}/manifest")
+        if not manifest:
             if self.index.pop(league_id, None):
                 self._save_index()
             return None
-        return self.spark.read.parquet(f"{self.root}/{league_id}/table")
+        schema = StructType.fromJson(json.loads(manifest["schema"]))
+        if not manifest["seasons"]:
+            return self.spark.createDataFrame([], schema)
+        by_batch: dict[str, list[str]] = {}
+        for folder in manifest["seasons"].values():
+            by_batch.setdefault(folder.rpartition("/")[0], []).append(f"{self.root}/{league_id}/{folder}")
+        tables = [self.spark.read.schema(schema).option("basePath", f"{self.root}/{league_id}/{batch}").parquet(*folders) for batch, folders in by_batch.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
     def delete(self, league_id: str) -> None:  # type: ignore[override]
         """Table, models below it, and the entry."""
@@ -131,7 +195,7 @@ class LeagueStore(_Folder):
         newest = history.agg(F.max("season")).first()[0]
         raw = fetch(league, newest)
         if raw is not None:
-            self.save(build(raw, league, newest), league)
+            self.save(build(raw, league, newest), league, keep_older=True)
         return self.load(league_id)
 
 
