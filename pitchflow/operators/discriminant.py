@@ -9,12 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def moments(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """Per class: count, means, and population covariance of each pair of features, in one aggregate."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"mean_{i}") for i, f in enumerate(features)], *[F.covar_pop(features[i], features[j]).alias(f"cov_{i}_{j}") for i, j in pairs])
-
+from pitchflow.operators.moments import Moments, class_moments
 
 def oas_shrinkage(covariance: np.ndarray, n: int) -> np.ndarray:
     """The covariance shrunk towards a multiple of the identity by the oracle approximating rule."""
@@ -39,26 +34,23 @@ class Discriminant:
     @staticmethod
     def fit(df: DataFrame, features: Sequence[str], *, label: str = "label", quadratic: bool = False, oas: bool = False) -> Discriminant:
         """Reads one row per class back, whatever the number of rows. Rows with null features or label are left out."""
-        rows = sorted(moments(df.na.drop("any", subset=[*features, label]), features, label).collect(), key=lambda r: r[label])
+        rows = class_moments(df.na.drop("any", subset=[*features, label]), features, label).collect()
         if not rows:
             raise ValueError("no rows to fit")
-        d, total = len(features), sum(r["n"] for r in rows)
-        means = np.array([[r[f"mean_{i}"] for i in range(d)] for r in rows])
-        covariances = np.zeros((len(rows), d, d))
-        for c, r in enumerate(rows):
-            for i in range(d):
-                for j in range(i, d):
-                    covariances[c, i, j] = covariances[c, j, i] = r[f"cov_{i}_{j}"]
-        n = np.array([r["n"] for r in rows], float)
+        return Discriminant.of(Moments.of(rows, len(features), label), features, quadratic=quadratic, oas=oas)
+
+    @staticmethod
+    def of(m: Moments, features: Sequence[str], *, quadratic: bool = False, oas: bool = False) -> Discriminant:
+        n, means, covariances, total = m.n, m.mean, m.cov, m.n.sum()
         square: list[list[list[float]] | None] = []
         linear, constant = [], []
         if not quadratic:
             if oas:
-                shared = sum(n[c] / total * _shrunk(covariances[c], int(n[c])) for c in range(len(rows)))
+                shared = sum(n[c] / total * _shrunk(covariances[c], int(n[c])) for c in range(len(n)))
             else:
-                shared = (n[:, None, None] * covariances).sum(axis=0) / max(total - len(rows), 1)
+                shared = (n[:, None, None] * covariances).sum(axis=0) / max(total - len(n), 1)
             inverse = np.linalg.pinv(shared)
-        for c in range(len(rows)):
+        for c in range(len(n)):
             spread = 0.0
             if quadratic:
                 own = covariances[c] * n[c] / max(n[c] - 1, 1)
@@ -70,10 +62,11 @@ class Discriminant:
                 square.append(None)
             linear.append((inverse @ means[c]).tolist())
             constant.append(float(-means[c] @ inverse @ means[c] / 2 + np.log(n[c] / total) - spread / 2))
-        return Discriminant(list(features), [float(r[label]) for r in rows], square, linear, constant)
+        return Discriminant(list(features), m.classes, square, linear, constant)
 
-    def score(self, c: int) -> Column:
-        x = [F.col(f) for f in self.features]
+    def score(self, c: int, values: Sequence[Column] | None = None) -> Column:
+        """Of the row's features, or of ``values`` in their stead."""
+        x = list(values or [F.col(f) for f in self.features])
         terms = [F.lit(self.constant[c]), *(F.lit(w) * v for w, v in zip(self.linear[c], x, strict=True))]
         if self.square[c] is not None:
             a = self.square[c]
@@ -83,9 +76,9 @@ class Discriminant:
             out = out + t
         return out
 
-    def probabilities(self, n_classes: int) -> Column:
+    def probabilities(self, n_classes: int, values: Sequence[Column] | None = None) -> Column:
         """Shares of the classes 0, 1, ... as an array, not yet summing to one; 0 for a class that no row had."""
-        scores = {int(v): self.score(c) for c, v in enumerate(self.classes)}
+        scores = {int(v): self.score(c, values) for c, v in enumerate(self.classes)}
         best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
         return F.array(*[F.exp(scores[c] - best) if c in scores else F.lit(0.0) for c in range(n_classes)])
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pitchflow.functions.columns import result_code
 from pitchflow.operators import boosting, neighbours
+from pitchflow.operators.bayes import Bayes
 from pitchflow.operators.boosting import Boosted
 from pitchflow.operators.discriminant import Discriminant
 from pitchflow.operators.metrics import classification_metrics
@@ -110,10 +111,6 @@ def logistic(penalty: str | None = None, n_rows: int = 1, strengths: Sequence[fl
     return CrossValidator(estimator=one, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed)
 
 
-def naive_bayes(algorithm: str = "gaussian") -> Estimator:
-    return C.NaiveBayes(modelType=algorithm)
-
-
 def support_vectors(c: float = 1.0, n_rows: int = 1, class_weight: bool = True) -> Estimator:
     return C.OneVsRest(classifier=C.LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=50), **({"weightCol": "weight"} if class_weight else {}))
 
@@ -124,7 +121,7 @@ ALGORITHMS: dict[str, Callable[..., Estimator] | None] = {
     "extremeboosting": None,  # grown level by level
     "knn": None,  # keeps its rows
     "logistic": logistic,
-    "naivebayes": naive_bayes,
+    "naivebayes": None,  # closed form
     "randomforest": random_forest,
     "svm": support_vectors,
 }
@@ -186,6 +183,7 @@ class Member:
     features: list[str]
     pipeline: PipelineModel | None = None
     discriminant: Discriminant | None = None
+    bayes: Bayes | None = None
     rows: DataFrame | None = None
     boosted: Boosted | None = None
     kernel: Kernel | None = None
@@ -194,8 +192,9 @@ class Member:
 
     def scores(self, df: DataFrame, n_classes: int, name: str) -> DataFrame:
         """``df`` with an array of scores; of models without probabilities, the margins through the logistic curve."""
-        if self.discriminant is not None:
-            return df.withColumn(name, self.discriminant.probabilities(n_classes))
+        closed = self.discriminant or self.bayes
+        if closed is not None:
+            return df.withColumn(name, closed.probabilities(n_classes))
         if self.boosted is not None:
             return df.withColumn(name, self.boosted.probabilities())
         if self.rows is not None:
@@ -293,7 +292,7 @@ class Classifier:
                 one.write().overwrite().save(f"{path}/calibrator-{i}-{c}")
             if m.rows is not None:
                 m.rows.write.mode("overwrite").parquet(f"{path}/rows-{i}")
-            told.append({"discriminant": m.discriminant and asdict(m.discriminant), "boosted": m.boosted and asdict(m.boosted), "kernel": m.kernel and asdict(m.kernel), "settings": m.settings, "n_calibrators": len(m.calibrators), "rows": m.rows is not None, "pipeline": m.pipeline is not None})
+            told.append({"discriminant": m.discriminant and asdict(m.discriminant), "bayes": m.bayes and asdict(m.bayes), "boosted": m.boosted and asdict(m.boosted), "kernel": m.kernel and asdict(m.kernel), "settings": m.settings, "n_calibrators": len(m.calibrators), "rows": m.rows is not None, "pipeline": m.pipeline is not None})
         meta = {"config": self.config, "features": self.features, "n_classes": self.n_classes, "members": told}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -308,6 +307,7 @@ class Classifier:
                     meta["features"],
                     PipelineModel.load(f"{path}/member-{i}") if m["pipeline"] else None,
                     Discriminant(**m["discriminant"]) if m["discriminant"] else None,
+                    Bayes(**m["bayes"]) if m.get("bayes") else None,
                     spark.read.parquet(f"{path}/rows-{i}") if m["rows"] else None,
                     Boosted(**m["boosted"]) if m.get("boosted") else None,
                     Kernel(**m["kernel"]) if m["kernel"] else None,
@@ -342,6 +342,8 @@ def _member(df: DataFrame, features: Sequence[str], algorithm: str, settings: di
         return Member(algorithm, list(features), boosted=boosting.fit(df, features, n_classes, written, penalty=chosen.pop("lambda", 1.0), **chosen))
     if algorithm == "discriminant":
         return Member(algorithm, list(features), discriminant=Discriminant.fit(df, features, quadratic=chosen.get("decision_boundary", "linear") == "quadratic", oas=chosen.get("oas", False)))
+    if algorithm == "naivebayes":
+        return Member(algorithm, list(features), bayes=Bayes.fit(df, features, kind=chosen.get("kind", "gaussian")))
     if algorithm == "knn":
         return Member(algorithm, list(features), rows=df.select("row_key", F.array(*[F.col(f).cast("double") for f in features]).alias("_vector"), F.col("label").cast("long").alias("label")), settings=chosen)
     kernel, inputs = None, list(features)

@@ -21,6 +21,11 @@ def _numbered(df: DataFrame, order: Sequence[str], descending: bool, name: str)
     return placed.withColumn(name, F.col("_before") + F.col("_in_day")).drop("_in_day", "_day", "_before")
 
 
+def placed(df: DataFrame, order: Sequence[str] = ("match_date", "home", "match_id")) -> DataFrame:
+    """``df`` with ``place``: its row's place in time, from 1."""
+    return _numbered(df, order, False, "place")
+
+
 def holdout(df: DataFrame, size: int | float, order: Sequence[str] = ("match_date", "home", "match_id")) -> DataFrame:
     """``df`` with ``part``: 'test' for the newest rows, else 'train'. A float is a percentage, an int a count."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))  # one row

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchflow.operators import models, scaling, splits
+from pitchflow.operators import folds, models, scaling, splits
 from pitchflow.operators.cleaning import complete_rows, features_of
 from pitchflow.operators.sampling import resample
 
@@ -74,11 +75,35 @@ def train(train_df: DataFrame, eval_df: DataFrame | None = None, *, algorithm: s
     return trained, metrics if eval_df is None else metrics.unionByName(trained.evaluate(eval_df, "Evaluation"))
 
 
+@dataclass
+class _Closed:
+    features: list[str]
+    columns: list[Column]
+    settings: dict[str, Any]
+
+
+def _closed(df: DataFrame, target: str, settings: dict[str, Any]) -> _Closed | None:
+    """What a cross-validation in one pass needs, if moments determine the classifier and rows are neither resampled nor calibrated."""
+    chosen = {"algorithm": "randomforest", "normalizer": "standard", "sampler": None, "calibrate": True} | settings
+    if chosen["algorithm"] not in folds.CLOSED or chosen["sampler"] or chosen["calibrate"] and chosen["algorithm"] != "discriminant":
+        return None
+    features = list(chosen.get("features") or features_of(df))
+    rest = {x: v for x, v in chosen.items() if x not in ("sampler", "calibrate", "features", "target", "key", "check_nan")}
+    return _Closed(features, [F.col(f).cast("float").cast("double").alias(f) for f in features], rest)
+
+
 def cross_validate(df: DataFrame, *, k: int = 5, key: str = "match_id", target: str = "result", check_nan: bool = False, seed: int = 0, **settings: Any) -> DataFrame:
     """Metrics of both parts of k stratified folds, with ``fold`` from 0."""
     if check_nan:
         check_complete(df)
-    dealt = splits.stratified_folds(models.targets(complete_rows(df), target), "label", key, k, seed).drop("label")
+    dealt = splits.stratified_folds(models.targets(complete_rows(df), target), "label", key, k, seed)
+    closed = _closed(df, target, settings)
+    if closed is not None:
+        rows = models.written(dealt.select("match_date", "label", "fold", *closed.columns))
+        every = F.array(*[F.lit(i) for i in range(k)])
+        told = folds.one_pass(rows.withColumnRenamed("fold", "own"), closed.features, F.col("own"), [lambda p, i=i: p != i for i in range(k)], every, lambda fold: F.col("own") == fold, **closed.settings)
+        return told.drop("start_date", "end_date", "samples")
+    dealt = dealt.drop("label")
     out = []
     for fold in range(k):
         _, metrics = train(dealt.where(F.col("fold") != fold).drop("fold"), dealt.where(F.col("fold") == fold).drop("fold"), target=target, key=key, **settings)
@@ -90,6 +115,23 @@ def cross_validate_sliding(df: DataFrame, *, k: int = 5, test_pct: float = 20.0,
     """Metrics of both parts of k growing folds, with ``fold``, first and last date and number of rows."""
     if check_nan:
         check_complete(df)
+    closed = _closed(df, settings.get("target", "result"), settings)
+    if closed is not None:
+        placed = splits.placed(models.targets(complete_rows(df), settings.get("target", "result")))
+        rows = models.written(placed.select("match_date", "label", "place", *closed.columns))
+        m = rows.count() // k
+        train_ends = [(i + 1) * m - math.floor((i + 1) * m * test_pct / 100) for i in range(k)]
+        # between two edges rows are alike: they train the same folds
+        edges = sorted({*train_ends, *((i + 1) * m for i in range(k))})
+        part, first, train_end = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+        for edge in reversed(edges):
+            part = F.when(F.col("place") <= edge, edge).otherwise(part)
+        for i in reversed(range(k)):
+            first = F.when(F.col("place") <= (i + 1) * m, i).otherwise(first)
+        for i, end in enumerate(train_ends):
+            train_end = F.when(F.col("fold") == i, end).otherwise(train_end)
+        used = rows.where(F.col("place") <= k * m)
+        return folds.one_pass(used, closed.features, part, [lambda p, end=end: p <= end for end in train_ends], F.sequence(first, F.lit(k - 1)), lambda fold: F.col("place") > train_end, **closed.settings)
     dealt = splits.sliding_folds(complete_rows(df), k, test_pct)
     ranges = splits.fold_ranges(dealt).withColumn("data", F.when(F.col("part") == "train", "Train").otherwise("Evaluation")).drop("part")
     out = []

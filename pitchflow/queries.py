@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchflow import cli
 from pitchflow.functions import columns as X
-from pitchflow.operators import cleaning, discriminant, documents, form, lookup, metrics, models, neighbours, sampling, scaling, splits, training
+from pitchflow.operators import bayes, cleaning, discriminant, documents, form, lookup, metrics, models, neighbours, sampling, scaling, splits, training
 from pitchflow.plans.matches import MATCHES_SQL
 from pitchflow.plans.matches import matches as match_table
 from pitchflow.sources import pages, seasons, stores
@@ -251,6 +251,29 @@ def discriminant_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(out, "start_date", "end_date")
 
 
+def stratified_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-fold cross-validation of a standardised discriminant."""
+    return training.cross_validate(match_table(spark, sf_dir), k=5, algorithm="discriminant", features=("odd_x", "odd_2"))
+
+
+def _bayes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    df = models.targets(match_table(spark, sf_dir)).withColumns({c: F.col(c).cast("double") for c in ("hc", "ac")})
+    found = bayes.Bayes.fit(df, ("odd_x", "odd_2", "hc", "ac"), kind=kind)
+    return df.select("match_id", *[F.round(found.score(c), 6).alias(f"score_{c}") for c in range(3)])
+
+
+def bayes_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bayes(spark, sf_dir, "gaussian")
+
+
+def bayes_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bayes(spark, sf_dir, "multinomial")
+
+
+def bayes_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bayes(spark, sf_dir, "complement")
+
+
 def quadratic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = models.targets(match_table(spark, sf_dir), "over-under")
     found = discriminant.Discriminant.fit(df, ("odd_x", "odd_2"), quadratic=True)
@@ -268,7 +291,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         matches, team_form, match_week, odds_range, odds_fallback, season_summary, teams, clean_matches, feature_rows, latest_form, holdout, sliding_folds,
         stratified_folds, confusion_metrics, scaler_statistics, min_max_scaled, targets, season_update, date_texts, knn_vote, page_links, page_headings,
         page_slugs, last_turns, turn_pivot, event_json, stream_upsert, stream_windows, similar_suppliers, as_of_form, season_files, stored_league,
-        match_documents, flat_documents, discriminant_validation, quadratic_scores, near_miss,
+        match_documents, flat_documents, discriminant_validation, quadratic_scores, near_miss, stratified_validation,
+        bayes_gaussian, bayes_multinomial, bayes_complement,
     )
 }
 
@@ -296,6 +320,11 @@ _NEWEST = "(match_date, home, match_id)"
 _UO = "CASE WHEN hg + ag >= 2.5 THEN 'O' ELSE 'U' END"
 _KEY = "CAST('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in (*cleaning.BASE, *cleaning.EXTENDED)) + ")), 1, 15) AS BIGINT)"
 
+_BAYES = """d AS (SELECT match_id, odd_x, odd_2, hc, ac, CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS y FROM m),
+r AS (SELECT y AS c, ln(count(*) / (SELECT count(*) FROM d)) AS p FROM d GROUP BY y),
+l AS (SELECT match_id, y, 1 AS f, odd_x AS v FROM d UNION ALL SELECT match_id, y, 2, odd_2 FROM d UNION ALL SELECT match_id, y, 3, hc FROM d UNION ALL SELECT match_id, y, 4, ac FROM d)"""
+_SCORES = "SELECT match_id, " + ", ".join(f"round(max(score) FILTER (WHERE c = {c}), 6) AS score_{c}" for c in range(3)) + " FROM s GROUP BY match_id"
+
 ORACLE_SQL: dict[str, str] = {
     "matches": f"WITH {_M} SELECT * REPLACE (CAST(match_date AS VARCHAR) AS match_date) FROM m",
     "team_form": f"WITH {_FORM} SELECT match_id, {', '.join(FORM)} FROM form",
@@ -333,6 +362,28 @@ q AS (SELECT d.fold, data, match_date, y, arg_max(g.c, (a * mx + b * mz) * x + (
 k AS (SELECT fold, data, c, CAST(count(*) FILTER (WHERE y = c) AS DOUBLE) AS t, CAST(count(*) FILTER (WHERE said = c) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE y = c AND said = c) AS DOUBLE) AS h FROM q, (SELECT unnest([0, 1, 2]) AS c) GROUP BY ALL HAVING count(*) FILTER (WHERE y = c OR said = c) > 0),
 r AS (SELECT fold, data, CAST(min(match_date) AS VARCHAR) AS start_date, CAST(max(match_date) AS VARCHAR) AS end_date, count(*) AS samples FROM q GROUP BY ALL)
 SELECT fold, data, round_even(sum(h) / sum(t), 3) AS accuracy, round_even(avg(2 * h / (s + t)), 3) AS f1, round_even(avg(coalesce(h / nullif(s, 0), 0)), 3) AS precision, round_even(avg(coalesce(h / nullif(t, 0), 0)), 3) AS recall, start_date, end_date, samples FROM k JOIN r USING (fold, data) GROUP BY ALL""",
+    "stratified_validation": f"""WITH {_M}, c AS (SELECT match_id, CAST(CAST(odd_x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(odd_2 AS FLOAT) AS DOUBLE) AS z, CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS y FROM m WHERE odd_1 IS NOT NULL AND hst IS NOT NULL AND ast IS NOT NULL),
+p AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('0:' || match_id)) - 1) % 5 AS own FROM c),
+d AS (SELECT *, CASE WHEN own = fold THEN 'Evaluation' ELSE 'Train' END AS data FROM p, (SELECT CAST(unnest(range(5)) AS INT) AS fold)),
+g AS (SELECT fold, y AS c, count(*) AS n, avg(x) AS mx, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz FROM d WHERE data = 'Train' GROUP BY ALL),
+t AS (SELECT fold, sum(n) AS total, sum(n * xx) / (sum(n) - count(*)) AS xx, sum(n * xz) / (sum(n) - count(*)) AS xz, sum(n * zz) / (sum(n) - count(*)) AS zz FROM g GROUP BY fold),
+i AS (SELECT fold, total, zz / (xx * zz - xz * xz) AS a, -xz / (xx * zz - xz * xz) AS b, xx / (xx * zz - xz * xz) AS e FROM t),
+q AS (SELECT d.fold, data, y, arg_max(g.c, (a * mx + b * mz) * x + (b * mx + e * mz) * z - (a * mx * mx + 2 * b * mx * mz + e * mz * mz) / 2 + ln(n / total)) AS said FROM d JOIN g USING (fold) JOIN i USING (fold) GROUP BY d.fold, data, match_id, y),
+k AS (SELECT fold, data, c, CAST(count(*) FILTER (WHERE y = c) AS DOUBLE) AS t, CAST(count(*) FILTER (WHERE said = c) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE y = c AND said = c) AS DOUBLE) AS h FROM q, (SELECT unnest([0, 1, 2]) AS c) GROUP BY ALL HAVING count(*) FILTER (WHERE y = c OR said = c) > 0)
+SELECT fold, data, round_even(sum(h) / sum(t), 3) AS accuracy, round_even(avg(2 * h / (s + t)), 3) AS f1, round_even(avg(coalesce(h / nullif(s, 0), 0)), 3) AS precision, round_even(avg(coalesce(h / nullif(t, 0), 0)), 3) AS recall FROM k GROUP BY ALL""",
+    "bayes_gaussian": f"""WITH {_M}, {_BAYES},
+e AS (SELECT max(v) * 1e-9 AS e FROM (SELECT var_pop(v) AS v FROM l GROUP BY f)),
+g AS (SELECT f, y, avg(v) AS mean, var_pop(v) + (SELECT e FROM e) AS var FROM l GROUP BY f, y),
+s AS (SELECT match_id, c, max(p) + sum(-ln(2 * pi() * var) / 2 - (v - mean) * (v - mean) / (2 * var)) AS score FROM (SELECT match_id, f, v FROM l) JOIN g USING (f) JOIN r ON r.c = g.y GROUP BY match_id, c)
+{_SCORES}""",
+    "bayes_multinomial": f"""WITH {_M}, {_BAYES},
+g AS (SELECT f, y, sum(v) + 1 AS n FROM l GROUP BY f, y), t AS (SELECT y, sum(n) AS total FROM g GROUP BY y),
+s AS (SELECT match_id, c, max(p) + sum(v * ln(n / total)) AS score FROM (SELECT match_id, f, v FROM l) JOIN g USING (f) JOIN t USING (y) JOIN r ON r.c = y GROUP BY match_id, c)
+{_SCORES}""",
+    "bayes_complement": f"""WITH {_M}, {_BAYES},
+o AS (SELECT f, y, sum(v) AS n FROM l GROUP BY f, y), g AS (SELECT f, y, sum(n) OVER (PARTITION BY f) - n + 1 AS n FROM o), t AS (SELECT y, sum(n) AS total FROM g GROUP BY y),
+s AS (SELECT match_id, y AS c, sum(-v * ln(n / total)) AS score FROM (SELECT match_id, f, v FROM l) JOIN g USING (f) JOIN t USING (y) GROUP BY match_id, y)
+{_SCORES}""",
     "quadratic_scores": f"""WITH {_M}, d AS (SELECT match_id, odd_x AS x, odd_2 AS z, CASE WHEN hg + ag >= 2.5 THEN 1 ELSE 0 END AS y FROM m),
 g AS (SELECT y AS c, count(*) AS n, avg(x) AS mx, avg(z) AS mz, covar_samp(x, x) AS xx, covar_samp(x, z) AS xz, covar_samp(z, z) AS zz FROM d GROUP BY y),
 s AS (SELECT match_id, c, -(zz * (x - mx) * (x - mx) - 2 * xz * (x - mx) * (z - mz) + xx * (z - mz) * (z - mz)) / (xx * zz - xz * xz) / 2 + ln(n / (SELECT count(*) FROM d)) - ln(xx * zz - xz * xz) / 2 AS score FROM d, g)
