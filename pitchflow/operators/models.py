@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
@@ -14,17 +13,18 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchflow.functions.columns import result_code
-from pitchflow.operators import boosting, neighbours
+from pitchflow.operators import boosting, kernels, neighbours
 from pitchflow.operators.bayes import Bayes
 from pitchflow.operators.boosting import Boosted
 from pitchflow.operators.discriminant import Discriminant
+from pitchflow.operators.kernels import Kernel, Machines
 from pitchflow.operators.metrics import classification_metrics
 from pitchflow.operators.splits import stratified_folds
 
@@ -111,10 +111,6 @@ def logistic(penalty: str | None = None, n_rows: int = 1, strengths: Sequence[fl
     return CrossValidator(estimator=one, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed)
 
 
-def support_vectors(c: float = 1.0, n_rows: int = 1, class_weight: bool = True) -> Estimator:
-    return C.OneVsRest(classifier=C.LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=50), **({"weightCol": "weight"} if class_weight else {}))
-
-
 ALGORITHMS: dict[str, Callable[..., Estimator] | None] = {
     "decisiontree": decision_tree,
     "discriminant": None,  # closed form
@@ -123,7 +119,7 @@ ALGORITHMS: dict[str, Callable[..., Estimator] | None] = {
     "logistic": logistic,
     "naivebayes": None,  # closed form
     "randomforest": random_forest,
-    "svm": support_vectors,
+    "svm": None,  # machines of all classes together
 }
 
 
@@ -134,44 +130,6 @@ def default_config(algorithm: str, **changes: Any) -> dict[str, Any]:
     return {"algorithm": algorithm, **DEFAULTS, **changes}
 
 
-# ---------------------------------------------------------------- kernels
-
-
-@dataclass
-class Kernel:
-    """Explicit features whose products come near a kernel: random cosines (rbf), products of random signs (poly), random tanh (sigmoid)."""
-
-    kind: str
-    n_features: int
-    degree: int = 3
-    gamma: float | None = None
-    size: int = 200
-    seed: int = 0
-
-    def expressions(self, features: Sequence[str]) -> list[Column]:
-        rng = np.random.default_rng(self.seed)
-        d, gamma = len(features), self.gamma or 1.0 / len(features)
-
-        def dot(w: np.ndarray) -> Column:
-            out = F.lit(0.0)
-            for f, x in zip(features, w.tolist(), strict=True):
-                out = out + F.col(f) * F.lit(x)
-            return out
-
-        made = []
-        for _ in range(self.size):
-            if self.kind == "rbf":
-                made.append(F.cos(dot(rng.standard_normal(d) * math.sqrt(2 * gamma)) + F.lit(rng.uniform(0, 2 * math.pi))) * math.sqrt(2 / self.size))
-            elif self.kind == "poly":
-                product = F.lit(math.sqrt(gamma**self.degree / self.size))
-                for _ in range(self.degree):
-                    product = product * dot(rng.choice((-1.0, 1.0), d))
-                made.append(product)
-            else:
-                made.append(F.tanh(dot(rng.standard_normal(d) * gamma)) / math.sqrt(self.size))
-        return made
-
-
 # ---------------------------------------------------------------- fitted models
 
 
@@ -187,11 +145,12 @@ class Member:
     rows: DataFrame | None = None
     boosted: Boosted | None = None
     kernel: Kernel | None = None
+    machines: Machines | None = None
     settings: dict[str, Any] = field(default_factory=dict)
     calibrators: list[IsotonicRegressionModel] = field(default_factory=list)
 
     def scores(self, df: DataFrame, n_classes: int, name: str) -> DataFrame:
-        """``df`` with an array of scores; of models without probabilities, the margins through the logistic curve."""
+        """``df`` with an array of scores."""
         closed = self.discriminant or self.bayes
         if closed is not None:
             return df.withColumn(name, closed.probabilities(n_classes))
@@ -199,14 +158,11 @@ class Member:
             return df.withColumn(name, self.boosted.probabilities())
         if self.rows is not None:
             return self._votes(df, n_classes, name)
+        if self.machines is not None:
+            vector = F.array(*[F.col(f).cast("double") for f in self.features]) if self.kernel is None else self.kernel.vector(self.features)
+            return df.withColumn("_kernel", vector).withColumn(name, self.machines.chances(F.col("_kernel"))).drop("_kernel")
         extra = [c for c in ("features", "rawPrediction", "probability", "prediction") if c not in df.columns]
-        if self.kernel is not None:
-            df = df.withColumn("kernel_features", array_to_vector(F.array(*self.kernel.expressions(self.features))))
-            extra.append("kernel_features")
-        out = self.pipeline.transform(df)
-        if "probability" in out.columns:
-            return out.withColumn(name, vector_to_array("probability")).drop(*extra)
-        return out.withColumn(name, F.transform(vector_to_array("rawPrediction"), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))).drop(*extra)
+        return self.pipeline.transform(df).withColumn(name, vector_to_array("probability")).drop(*extra)
 
     def _votes(self, df: DataFrame, n_classes: int, name: str) -> DataFrame:
         """Shares of the votes of the nearest training rows; ``df`` is a stated set of queries with the key ``row_key``."""
@@ -266,16 +222,15 @@ class Classifier:
         """Of tree models; of calibrated ones those of the first fold."""
         if self.members[0].boosted is not None:
             return dict(zip(self.features, self.members[0].boosted.importances(), strict=True))
-        last = self._last()
-        found = [m.featureImportances for m in last.models] if isinstance(last, C.OneVsRestModel) else [last.featureImportances]
-        return {f: float(np.mean([v[i] for v in found])) for i, f in enumerate(self.features)}
+        found = self._last().featureImportances
+        return {f: float(found[i]) for i, f in enumerate(self.features)}
 
     def coefficients(self) -> dict[str, float]:
         """Absolute coefficients of a logistic or linear SVM model, averaged over classes; of calibrated ones those of the first fold."""
-        last = self._last()
         if self.members[0].kernel is not None:
             raise ValueError("a kernel has no coefficients of features")
-        matrix = np.array([m.coefficients.toArray() for m in last.models]) if isinstance(last, C.OneVsRestModel) else last.coefficientMatrix.toArray()
+        machines = self.members[0].machines
+        matrix = self._last().coefficientMatrix.toArray() if machines is None else np.array(machines.weights)[:, :-1]
         return dict(zip(self.features, np.abs(matrix).mean(axis=0).tolist(), strict=True))
 
     def forest_member(self, i: int) -> Any:
@@ -292,7 +247,7 @@ class Classifier:
                 one.write().overwrite().save(f"{path}/calibrator-{i}-{c}")
             if m.rows is not None:
                 m.rows.write.mode("overwrite").parquet(f"{path}/rows-{i}")
-            told.append({"discriminant": m.discriminant and asdict(m.discriminant), "bayes": m.bayes and asdict(m.bayes), "boosted": m.boosted and asdict(m.boosted), "kernel": m.kernel and asdict(m.kernel), "settings": m.settings, "n_calibrators": len(m.calibrators), "rows": m.rows is not None, "pipeline": m.pipeline is not None})
+            told.append({"discriminant": m.discriminant and asdict(m.discriminant), "bayes": m.bayes and asdict(m.bayes), "boosted": m.boosted and asdict(m.boosted), "kernel": m.kernel and asdict(m.kernel), "machines": m.machines and asdict(m.machines), "settings": m.settings, "n_calibrators": len(m.calibrators), "rows": m.rows is not None, "pipeline": m.pipeline is not None})
         meta = {"config": self.config, "features": self.features, "n_classes": self.n_classes, "members": told}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -311,6 +266,7 @@ class Classifier:
                     spark.read.parquet(f"{path}/rows-{i}") if m["rows"] else None,
                     Boosted(**m["boosted"]) if m.get("boosted") else None,
                     Kernel(**m["kernel"]) if m["kernel"] else None,
+                    Machines(**m["machines"]) if m["machines"] else None,
                     m["settings"],
                     [IsotonicRegressionModel.load(f"{path}/calibrator-{i}-{c}") for c in range(m["n_calibrators"])],
                 )
@@ -346,18 +302,32 @@ def _member(df: DataFrame, features: Sequence[str], algorithm: str, settings: di
         return Member(algorithm, list(features), bayes=Bayes.fit(df, features, kind=chosen.get("kind", "gaussian")))
     if algorithm == "knn":
         return Member(algorithm, list(features), rows=df.select("row_key", F.array(*[F.col(f).cast("double") for f in features]).alias("_vector"), F.col("label").cast("long").alias("label")), settings=chosen)
-    kernel, inputs = None, list(features)
     if algorithm == "svm":
-        kind, degree, gamma = chosen.pop("kernel", "linear"), chosen.pop("degree", 3), chosen.pop("gamma", None)
-        if kind != "linear":
-            kernel, inputs = Kernel(kind, len(features), degree, gamma), ["kernel_features"]
-            df = df.withColumn("kernel_features", array_to_vector(F.array(*kernel.expressions(features))))
-    if algorithm in ("svm", "logistic"):
+        return _machine(df, features, chosen, n_classes)
+    if algorithm == "logistic":
         chosen["n_rows"] = n_rows
     made = ALGORITHMS[algorithm](**chosen)
     if made.hasParam("weightCol") and made.isDefined("weightCol") and made.getOrDefault("weightCol") == "weight" and "weight" not in df.columns:
         df = class_weights(df)
-    return Member(algorithm, list(features), pipeline=Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), made]).fit(df), kernel=kernel)
+    return Member(algorithm, list(features), pipeline=_pipeline(features, made).fit(df))
+
+
+def _pipeline(inputs: Sequence[str], made: Estimator) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip"), made])
+
+
+def _machine(df: DataFrame, features: Sequence[str], settings: dict[str, Any], n_classes: int, folds: int = 3) -> Member:
+    """A support-vector machine for each class against the rest, on the features or on kernel features.
+
+    As in the search space, ``gamma`` is the cost of an error; the kernel's own scale follows the data.
+    """
+    kind, degree, cost = settings.get("kernel", "linear"), settings.get("degree", 3), settings.get("gamma", 1.0)
+    kernel = None if kind == "linear" else Kernel.fit(df, features, kind, degree=degree)
+    vector = F.array(*[F.col(f).cast("double") for f in features]) if kernel is None else kernel.vector(features)
+    weighted = class_weights(df) if settings.get("class_weight", True) else df.withColumn("weight", F.lit(1.0))
+    rows = written(stratified_folds(weighted, "label", "row_key", folds).select(vector.alias("x"), F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"), "fold"))
+    n_inputs = len(features) if kernel is None else len(kernel.weights[0])
+    return Member("svm", list(features), kernel=kernel, machines=kernels.fit_machines(rows, n_inputs, n_classes, folds, cost, written))
 
 
 def fit(df: DataFrame, features: Sequence[str], algorithm: str, *, key: str = "match_id", calibrate: bool = False, folds: int = 5, **settings: Any) -> Classifier:

@@ -28,7 +28,7 @@ def points(spark):
 
 @pytest.mark.parametrize(
     "algorithm, settings",
-    [("decisiontree", {"max_features": "sqrt", "max_depth": 5}), ("discriminant", {"oas": True}), ("discriminant", {"decision_boundary": "quadratic"}), ("knn", {"weights": "distance", "p": 1}), ("naivebayes", {}), ("svm", {}), ("svm", {"kernel": "rbf", "gamma": 0.5}), ("logistic", {})],
+    [("decisiontree", {"max_features": "sqrt", "max_depth": 5}), ("discriminant", {"oas": True}), ("discriminant", {"decision_boundary": "quadratic"}), ("knn", {"weights": "distance", "p": 1}), ("naivebayes", {}), ("svm", {}), ("svm", {"kernel": "rbf", "gamma": 0.5}), ("svm", {"kernel": "poly", "degree": 3}), ("svm", {"kernel": "sigmoid", "class_weight": False}), ("logistic", {})],
 )
 def test_classifiers_tell_classes_apart_and_survive_saving(spark, points, tmp_path, algorithm, settings):
     model = models.fit(points, X, algorithm, **settings)
