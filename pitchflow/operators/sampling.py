@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import classification as C
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchflow.operators import models, neighbours
-from pitchflow.operators.splits import stratified_folds
+from pitchflow.operators import kernels, models, neighbours
+from pitchflow.operators.ranks import quantiles, top_rows
+from pitchflow.operators.splits import shuffled_places, stratified_folds
 
 
 def class_counts(df: DataFrame, label: str = "label") -> dict[float, int]:
@@ -27,7 +25,6 @@ def near_miss(df: DataFrame, features: Sequence[str], *, key: str = "match_id",
     """Version 3: of each larger class the nearest ``candidates`` rows of every smallest-class row are candidates;
     those farthest, on average, from their k nearest smallest-class rows stay, as many as the smallest class has.
 
-    The rows of the smallest class and the candidates are stated query sets of ``neighbours.nearest``.
     Ties go to the smaller key.
     """
     n = class_counts(df, label)
@@ -42,7 +39,8 @@ def near_miss(df: DataFrame, features: Sequence[str], *, key: str = "match_id",
             mine = packed.where(F.col(label) == c)
             met = neighbours.nearest(mine, minority, candidates, key=key, vector="_vector", label=label).select(F.col("neighbour").alias(key)).distinct()
             far = neighbours.nearest(minority, mine.join(met, key, "left_semi"), k, key=key, vector="_vector", label=label)
-            kept = far.groupBy(F.col("query").alias(key)).agg(F.avg("distance").alias("far")).orderBy(F.desc("far"), key).limit(n[small]).select(key)
+            kept = far.groupBy(F.col("query").alias(key)).agg(F.avg("distance").alias("far"))
+            kept = top_rows(models.written(kept), "far", key, n[small]).select(key)
             out = out.unionByName(df.where(F.col(label) == c).join(kept, key, "left_semi"))
     return out
 
@@ -67,9 +65,9 @@ def instance_hardness(df: DataFrame, features: Sequence[str], *, key: str = "mat
         told = told.unionByName(more)
     limits = {c: 1.0 - n[small] / n[c] for c in n if c != small}
     least = F.lit(None).cast("double")
-    levels = told.groupBy(label).agg(*[F.percentile("_p", share).alias(f"q{i}") for i, share in enumerate(limits.values())]).collect()
-    for i, c in enumerate(limits):
-        least = F.when(F.col(label) == c, F.lit(next(r[f"q{i}"] for r in levels if r[label] == c))).otherwise(least)
+    told = models.written(told)
+    for c, level in quantiles(told, label, "_p", limits).items():
+        least = F.when(F.col(label) == c, F.lit(level)).otherwise(least)
     stay = told.where(least.isNull() | (F.col("_p") >= least)).select(key)
     return df.join(stay, key, "left_semi")
 
@@ -77,37 +75,35 @@ def instance_hardness(df: DataFrame, features: Sequence[str], *, key: str = "mat
 def svm_smote(df: DataFrame, features: Sequence[str], *, key: str = "match_id", k: int = 5, label: str = "label", seed: int = 0) -> DataFrame:
     """Adds made rows to the smaller classes until all are as large as the largest.
 
-    Seeds are a class's rows within the margin of a linear SVM of it against the rest (all rows
-    if there are none). A made row lies between a seed and one of its k nearest rows of the class; which, and
+    Seeds are a class's rows within the margin of a linear support-vector machine of it against the rest (all rows
+    if there are none). Each seed makes equally many rows, and those first in an order that only key and ``seed`` decide one more; their places
+    are counted by slices of the order. A made row lies between a seed and one of its k nearest rows of the class; which, and
     where, is decided by a hash of the seed's key, its turn and ``seed``, so reruns agree. Made rows
-    have negative keys; columns that are neither features, key nor label are null.
+    have negative keys; columns that are neither features, key nor label are null. A class of one row makes none, as it has no neighbour.
     """
     n = class_counts(df, label)
-    most, out = max(n.values()), df
-    taken = 0
-    for c in n:
-        wanted = most - n[c]
-        if not wanted:
-            continue
-        packed = _vectors(df.withColumn("_is", (F.col(label) == c).cast("double")), features)
+    most, out = max(n.values(), default=0), df
+    smaller = [c for c in n if n[c] < most]
+    if not smaller:
+        return df
+    packed = models.written(_vectors(df, features))
+    rows = packed.select(F.col("_vector").alias("x"), F.col(label).cast("int").alias("label"), F.lit(1.0).alias("weight"), F.lit(0).alias("fold"))
+    machines = kernels.fit_machines(rows, len(features), int(max(n)) + 1, 0, 1.0, models.written)
+    for taken, c in enumerate(smaller, 1):
         own = packed.where(F.col(label) == c)
-        assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(packed)
-        machine = C.LinearSVC(featuresCol="_features", labelCol="_is", maxIter=50, regParam=0.01).fit(assembled)
-        scored = machine.transform(assembled.where(F.col(label) == c))
-        seeds = scored.where(F.get(vector_to_array("rawPrediction"), F.lit(1)) < 1.0).select(key, "_vector", label)
-        if seeds.isEmpty():
-            seeds = own.select(key, "_vector", label)
+        seeds = own.where(kernels.margin(F.col("_vector"), machines.weights[int(c)]) < 1.0).select(key, "_vector", label)
         n_seeds = seeds.count()
+        if not n_seeds:
+            seeds, n_seeds = own.select(key, "_vector", label), n[c]
         pairs = neighbours.nearest(own, seeds, k, key=key, vector="_vector", label=label)
         near = pairs.join(own.select(F.col(key).alias("neighbour"), F.col("_vector").alias("_other")), "neighbour").groupBy(F.col("query").alias(key)).agg(F.sort_array(F.collect_list(F.struct("rank", "_other"))).alias("_near"))
-        turns = -(-wanted // n_seeds)
-        dealt = seeds.join(near, key).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        each, more = divmod(most - n[c], n_seeds)
+        turns = F.lit(each) + (F.col("_at") < more).cast("int")
+        dealt = shuffled_places(seeds, label, key, "_at", seed).where(turns > 0).withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).join(near, key)
         mixed = F.xxhash64(F.lit(seed), F.col(key), F.col("_turn"))
-        chosen = dealt.orderBy("_turn", F.xxhash64(F.lit(seed), key), key).limit(wanted)
         at = (F.pmod(F.shiftright(mixed, 20), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("u")
-        made = chosen.select(label, "_vector", F.get("_near", F.pmod(mixed, F.size("_near")).cast("int"))["_other"].alias("_other"), at, F.monotonically_increasing_id().alias("_i"))
+        made = dealt.select(label, "_vector", F.get("_near", F.pmod(mixed, F.size("_near")).cast("int"))["_other"].alias("_other"), at, (F.col("_at") + F.col("_turn") * n_seeds).alias("_i"))
         value = lambda i: F.get("_vector", F.lit(i)) + F.col("u") * (F.get("_other", F.lit(i)) - F.get("_vector", F.lit(i)))
-        taken += 1
         columns = {f: value(i).cast(df.schema[f].dataType) for i, f in enumerate(features)} | {key: (-(F.col("_i") * len(n) + taken)).cast(df.schema[key].dataType), label: F.col(label)}
         out = out.unionByName(made.select(*[v.alias(f) for f, v in columns.items()]), allowMissingColumns=True)
     return out

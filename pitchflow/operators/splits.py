@@ -54,8 +54,8 @@ def fold_ranges(folds: DataFrame) -> DataFrame:
     return folds.groupBy("fold", "part").agg(F.min("match_date").alias("start_date"), F.max("match_date").alias("end_date"), F.count(F.lit(1)).alias("samples"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: rows of each label dealt in turn in an order that only key and seed decide.
+def shuffled_places(df: DataFrame, label: str, key: str, name: str, seed: int = 0) -> DataFrame:
+    """``df`` with ``name``: each row's place among those of its label, from 0, in an order that only key and seed decide.
 
     The order is cut into 1,024 slices per label, which are counted first, so no task sorts a label's rows.
     """
@@ -66,4 +66,9 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0)
     offsets = counts.select("_label", "_s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy(label, "_slice").orderBy("_order", key)) - 1
     out = dealt.withColumn("_place", place).join(offsets, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_slice") == F.col("_s")))
-    return out.withColumn("fold", F.pmod(F.col("_before") + F.col("_place"), F.lit(k)).cast("int")).drop("_order", "_slice", "_place", "_label", "_s", "_before")
+    return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_order", "_slice", "_place", "_label", "_s", "_before")
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFrame:
+    """``df`` with ``fold``: rows of each label dealt in turn in an order that only key and seed decide."""
+    return shuffled_places(df, label, key, "fold", seed).withColumn("fold", F.pmod("fold", F.lit(k)).cast("int"))
