@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchflow.functions.columns import category_key
+from pitchflow.operators.tables import written
 
 # The nested document.
 SCHEMA = (
@@ -49,32 +50,30 @@ def pair_siblings(flat: Column) -> Column:
 
 
 def flat_rows(df: DataFrame) -> DataFrame:
-    """match_id, field, value: one row for each leaf of a document, with dotted field names."""
+    """match_id, field, value: one row for each leaf that a document may have, null if it has not, with dotted field names."""
     leaf = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
     plain = [leaf(c, F.col(c)) for c in ("stage", "status", "date", "home.name", "home.image", "away.name", "away.image", "result.home", "result.away", "result.regulationTime", "result.penalties")]
     info = F.transform(F.map_entries(information_map(F.col("information"))), lambda e: F.struct(F.concat(F.lit("information."), e["key"]).alias("field"), e["value"].alias("value")))
     stats = F.flatten(F.transform(F.map_entries(statistics_map(F.col("statistics"))), lambda e: F.array(*[F.struct(F.concat(F.lit("statistics."), e["key"], F.lit(f".{side}")).alias("field"), e["value"][side].alias("value")) for side in ("home", "away")])))
     nothing = F.array().cast("array<struct<field:string,value:string>>")
     leaves = F.concat(F.array(*plain), F.coalesce(info, nothing), F.coalesce(stats, nothing))
-    return df.select("match_id", F.explode(leaves).alias("leaf")).select("match_id", "leaf.field", "leaf.value").where("value is not null")
+    return df.select("match_id", F.explode(leaves).alias("leaf")).select("match_id", "leaf.field", "leaf.value")
 
 
 #: The order of a flat table's columns; information and statistics follow by name.
 FLAT_ORDER = ("stage", "status", "date", "home.name", "home.image", "away.name", "away.image", "result.home", "result.away", "result.regulationTime", "result.penalties")
 
 
-def flat_table(df: DataFrame, max_fields: int = 10_000) -> DataFrame:
-    """One row per document, a column for each field that any document has. Field names are read first.
+def flat_table(df: DataFrame) -> DataFrame:
+    """One row per document, a column for each field that any document has. Documents are worked out once; field names are read first.
 
     Columns come as documents nest them. If a document comes several times its largest values count.
     """
-    rows = flat_rows(df)
-    found = {r["field"] for r in rows.select("field").distinct().limit(max_fields + 1).collect()}
-    if len(found) > max_fields:
-        raise ValueError(f"more than {max_fields} fields")
+    rows = written(flat_rows(df))
+    found = {r["field"] for r in rows.where("value is not null").select("field").distinct().collect()}  # the names of the result's columns
     fields = [f for f in FLAT_ORDER if f in found] + sorted(found.difference(FLAT_ORDER))
-    ids = df.select("match_id").distinct()
-    return ids.join(rows.groupBy("match_id").pivot("field", fields).agg(F.max("value")), "match_id", "left") if fields else ids
+    # a document without any value still has the rows of the fields that all may have
+    return rows.groupBy("match_id").pivot("field", fields).agg(F.max("value")) if fields else rows.select("match_id").distinct()
 
 
 def json_text(df: DataFrame) -> DataFrame:

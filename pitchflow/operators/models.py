@@ -27,6 +27,7 @@ from pitchflow.operators.discriminant import Discriminant
 from pitchflow.operators.kernels import Kernel, Machines
 from pitchflow.operators.metrics import classification_metrics
 from pitchflow.operators.splits import stratified_folds
+from pitchflow.operators.tables import written
 
 # Search spaces and defaults.
 _CRITERIA, _SUBSETS = ("gini", "entropy", "log_loss"), (None, "sqrt", "log2")
@@ -283,14 +284,6 @@ def save_model(model: Classifier | None, path: str) -> None:
 # ---------------------------------------------------------------- fitting
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, kept in the shared folder if there is one, else in memory and on disk."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.persist()
-
-
 def _member(df: DataFrame, features: Sequence[str], algorithm: str, settings: dict[str, Any], n_rows: int, n_classes: int) -> Member:
     chosen = dict(settings)
     if algorithm == "extremeboosting":

@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
+#: Attributes by which the elements of a page are found without a walk, as by their classes.
+_MARKS = ("id", "data-testid")
 
 
 class Element:
@@ -15,6 +17,7 @@ class Element:
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None = None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.content: list[Element | str] = []
+        self.marked: dict[tuple[str, str], list[Element]] | None = None
 
     @property
     def children(self) -> list[Element]:
@@ -47,11 +50,18 @@ class Element:
         own = self.attributes.get("class", "").split()
         return (not tag or self.tag == tag) and all(c in own for c in classes) and all(self.attributes.get(k.replace("_", "-")) == v for k, v in attributes.items())
 
+    def _likely(self, classes: tuple[str, ...], attributes: dict[str, str]) -> Iterator[Element] | list[Element]:
+        """The elements below that can be meant: of a whole page only those that carry the class, id or test id asked for."""
+        if self.marked is None:
+            return self.walk()
+        keys = [("class", c) for c in classes] + [(k, v) for k, v in ((k.replace("_", "-"), v) for k, v in attributes.items()) if k in _MARKS]
+        return min((self.marked.get(k, []) for k in keys), key=len) if keys else self.walk()
+
     def all(self, tag: str = "", *classes: str, **attributes: str) -> list[Element]:
-        return [e for e in self.walk() if e.is_a(tag, classes, **attributes)]
+        return [e for e in self._likely(classes, attributes) if e.is_a(tag, classes, **attributes)]
 
     def first(self, tag: str = "", *classes: str, **attributes: str) -> Element | None:
-        return next((e for e in self.walk() if e.is_a(tag, classes, **attributes)), None)
+        return next((e for e in self._likely(classes, attributes) if e.is_a(tag, classes, **attributes)), None)
 
     def following(self) -> list[Element]:
         """The elements after this one in its parent."""
@@ -63,15 +73,25 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {})
+        self.root.marked = {}
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _made(self, tag: str, attrs: list[tuple[str, str | None]]) -> Element:
         made = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.content.append(made)
+        for k in _MARKS:
+            if k in made.attributes:
+                self.root.marked.setdefault((k, made.attributes[k]), []).append(made)
+        for c in dict.fromkeys(made.attributes.get("class", "").split()):
+            self.root.marked.setdefault(("class", c), []).append(made)
+        return made
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        made = self._made(tag, attrs)
         if tag not in _VOID:
             self.at = made
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.content.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._made(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         up: Element | None = self.at

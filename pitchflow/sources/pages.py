@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pitchflow.functions import columns as X
 from pitchflow.operators.documents import pair_siblings
 from pitchflow.sources.html import Element, parse
 
+#: Rows whose pages' trees are held at once.
+PAGES = 500
 #: An anchor: its attributes and its body.
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 HREF = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*')"""
@@ -35,21 +39,27 @@ def headings(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- readers of a page's tree
 
 
-def _read(pages: DataFrame, key: str, html: Column, schema: str, read: Callable[[Element], dict[str, Any]]) -> DataFrame:
-    """``key`` and the fields that ``read`` finds in each page. Pages stay in their partitions."""
-    names = [f.name for f in pages.sparkSession.createDataFrame([], schema).schema]
+def _read(pages: DataFrame, key: str, schema: str, *readers: tuple[str, Callable[[Element], dict[str, Any]]]) -> DataFrame:
+    """``key`` and the fields that the readers find, each in its column's page: each page is parsed once, in one pass over the rows, and they stay in their partitions."""
+    kind = pages.schema[key].dataType.simpleString()
+    made = to_arrow_schema(StructType.fromDDL(f"`{key}` {kind}, {schema}"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [read(parse(text)) for text in frame["html"]]
-            yield pd.DataFrame({key: frame[key], **{n: pd.Series([r.get(n) for r in rows], dtype=object, index=frame.index) for n in names}})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                some = batch.slice(at, PAGES)
+                rows = [{} for _ in range(some.num_rows)]
+                for i, (_, read) in enumerate(readers, 1):
+                    for row, text in zip(rows, some.column(i).to_pylist(), strict=True):
+                        row |= read(parse(text))
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(made)[1:]]], names=made.names)
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html.alias("html")).mapInPandas(run, f"`{key}` {kind}, {schema}")
+    columns = [F.col(column).alias(f"html_{i}") for i, (column, _) in enumerate(readers)]
+    return pages.select(key, *columns).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
 def _items(pages: DataFrame, key: str, fields: str, read: Callable[[Element], list[dict[str, Any]]]) -> DataFrame:
-    found = _read(pages, key, F.col("html"), f"items array<struct<{fields}>>", lambda page: {"items": read(page)})
+    found = _read(pages, key, f"items array<struct<{fields}>>", ("html", lambda page: {"items": read(page)}))
     return found.select(key, F.posexplode("items").alias("position", "item")).select(key, "position", "item.*")
 
 
@@ -149,7 +159,7 @@ def match_documents(pages: DataFrame, key: str = "match_id", summary: str = "sum
 
     A page without a state is of a match that has not started.
     """
-    found = _read(pages, key, F.col(summary), _SUMMARY, _summary).join(_read(pages, key, F.col(statistics), _STATISTICS, _statistics), key)
+    found = _read(pages, key, f"{_SUMMARY}, {_STATISTICS}", (summary, _summary), (statistics, _statistics))
     clean = lambda e, f: X.clean_information(e[f])
     return found.select(
         F.col(key).cast("string").alias("match_id"),
