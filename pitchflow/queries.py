@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchflow import cli
 from pitchflow.functions import columns as X
-from pitchflow.operators import bayes, cleaning, discriminant, documents, form, lookup, metrics, models, neighbours, sampling, scaling, splits, training
+from pitchflow.operators import bayes, cleaning, discriminant, documents, form, lookup, metrics, models, neighbours, ranks, sampling, scaling, splits, training
 from pitchflow.plans.matches import MATCHES_SQL
 from pitchflow.plans.matches import matches as match_table
 from pitchflow.sources import pages, seasons, stores
@@ -235,14 +235,19 @@ def _page(df: DataFrame) -> DataFrame:
     return df.select("match_id", summary.alias("summary"), F.concat(block("Corner Kicks", "hc", "ac"), block("Goals", "hg", "ag")).alias("statistics"))
 
 
+def _saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are far larger than the rows they come from, so these are dealt to all cores first."""
+    return _page(match_table(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "match_id"))
+
+
 def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages.match_documents(_page(match_table(spark, sf_dir)))
+    found = pages.match_documents(_saved_pages(spark, sf_dir))
     join = lambda c, *fields: F.array_join(F.transform(c, lambda e: F.concat_ws("=", *[e[f] for f in fields])), ";")
     return found.select("match_id", "stage", "date", "status", F.col("home.name").alias("home"), F.col("away.image").alias("away_image"), F.col("result.home").alias("hg"), F.col("result.away").alias("ag"), "result.penalties", join("information", "category", "value").alias("information"), join("statistics", "category", "homeValue", "awayValue").alias("statistics"))
 
 
 def flat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = documents.flat_table(pages.match_documents(_page(match_table(spark, sf_dir))))
+    flat = documents.flat_table(pages.match_documents(_saved_pages(spark, sf_dir)))
     return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
 
 
@@ -280,6 +285,27 @@ def quadratic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("match_id", *[F.round(found.score(c), 6).alias(f"score_{c}") for c in range(2)])
 
 
+def extra_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extra layout: seasons as text of one or two years, closing odds, no shots or corners."""
+    df = match_table(spark, sf_dir)
+    raw = df.select(*[F.col(new).alias(old) for old, new in cleaning.EXTRA_COLUMNS.items()]).withColumn("Date", F.date_format("Date", "dd/MM/yyyy"))
+    raw = raw.withColumn("Season", F.when(F.col("Season") % 2 == 0, F.col("Season").cast("string")).otherwise(F.concat_ws("/", "Season", F.col("Season") + 1)))
+    found = cleaning.clean(cleaning.from_extra(raw, 1994).select(*cleaning.BASE), 1994)
+    return _days(found, "match_date").select(*cleaning.BASE, "result_uo")
+
+
+def price_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of each return flag's prices."""
+    levels = ranks.quantiles(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"A": 0.9, "N": 0.5, "R": 0.013})
+    return spark.createDataFrame([(g, float(v)) for g, v in sorted(levels.items())], "l_returnflag string, level double").withColumn("level", F.round("level", 6))
+
+
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest tenth of the orders."""
+    orders = _table(spark, sf_dir, "orders")
+    return ranks.top_rows(orders, "o_totalprice", "o_orderkey", orders.count() // 10).select("o_orderkey", "o_totalprice")
+
+
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("label"))
     return sampling.near_miss(df, ("c_acctbal", "c_nationkey"), key="c_custkey").select("c_custkey", F.col("label").cast("int").alias("label"))
@@ -292,6 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stratified_folds, confusion_metrics, scaler_statistics, min_max_scaled, targets, season_update, date_texts, knn_vote, page_links, page_headings,
         page_slugs, last_turns, turn_pivot, event_json, stream_upsert, stream_windows, similar_suppliers, as_of_form, season_files, stored_league,
         match_documents, flat_documents, discriminant_validation, quadratic_scores, near_miss, stratified_validation,
+        extra_matches, price_levels, top_orders,
         bayes_gaussian, bayes_multinomial, bayes_complement,
     )
 }
@@ -384,6 +411,10 @@ s AS (SELECT match_id, c, max(p) + sum(v * ln(n / total)) AS score FROM (SELECT
 o AS (SELECT f, y, sum(v) AS n FROM l GROUP BY f, y), g AS (SELECT f, y, sum(n) OVER (PARTITION BY f) - n + 1 AS n FROM o), t AS (SELECT y, sum(n) AS total FROM g GROUP BY y),
 s AS (SELECT match_id, y AS c, sum(-v * ln(n / total)) AS score FROM (SELECT match_id, f, v FROM l) JOIN g USING (f) JOIN t USING (y) GROUP BY match_id, y)
 {_SCORES}""",
+    "extra_matches": f"""WITH {_M}, d AS (SELECT DISTINCT {', '.join(cleaning.BASE)} FROM m)
+SELECT CAST(match_date AS VARCHAR) AS match_date, season, home, away, hg, ag, result, odd_1, odd_x, odd_2, {_UO} AS result_uo FROM d""",
+    "price_levels": "SELECT l_returnflag, round(CASE l_returnflag WHEN 'A' THEN quantile_cont(l_extendedprice, 0.9) WHEN 'N' THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.013) END, 6) AS level FROM lineitem GROUP BY l_returnflag",
+    "top_orders": "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= (SELECT count(*) // 10 FROM orders)",
     "quadratic_scores": f"""WITH {_M}, d AS (SELECT match_id, odd_x AS x, odd_2 AS z, CASE WHEN hg + ag >= 2.5 THEN 1 ELSE 0 END AS y FROM m),
 g AS (SELECT y AS c, count(*) AS n, avg(x) AS mx, avg(z) AS mz, covar_samp(x, x) AS xx, covar_samp(x, z) AS xz, covar_samp(z, z) AS zz FROM d GROUP BY y),
 s AS (SELECT match_id, c, -(zz * (x - mx) * (x - mx) - 2 * xz * (x - mx) * (z - mz) + xx * (z - mz) * (z - mz)) / (xx * zz - xz * xz) / 2 + ln(n / (SELECT count(*) FROM d)) - ln(xx * zz - xz * xz) / 2 AS score FROM d, g)
