@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchflow.llm.components import components
-from pitchflow.llm.tables import materialize
+from pitchflow.llm.tables import key_name, materialize
 
 MIN_COSINE = 0.98
 N_CODES = 2
@@ -194,11 +194,11 @@ def near_vectors(df: DataFrame, key: str, vector: str, label: str, *, min_cosine
     Vectors link when their labels are equal and not null, their lengths are equal and their
     cosine is at least ``min_cosine``. Equal vectors are merged first and count as linked; of the
     others no pair below the cosine is linked, and a pair is found if it shares a filter, which
-    the margin makes all but sure (tests find all of 2,000 pairs at the limit). ``n_links`` counts the other rows linked directly.
+    the margin makes all but sure (tests ask for 1,990 of 2,000 pairs at the limit). ``n_links`` counts the other rows linked directly.
 
     Vectors that are null, empty, zero or hold nulls or numbers that are not finite link with
     nothing, nor do rows with a null key. Repeated rows count as vectors of their own. An empty
-    table gives no rows. ``key`` and ``label`` must be whole numbers.
+    table gives no rows. ``key`` and ``label`` must be whole numbers. A key named like a new column gets an underscore in front.
     """
     kind = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
     rows = df.select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"), F.col(vector).cast(f"array<{kind}>").alias("vector"))
@@ -227,4 +227,4 @@ def near_vectors(df: DataFrame, key: str, vector: str, label: str, *, min_cosine
     settled = materialize(settled.select("h1", "h2", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "settled")
     known = ids.where("usable").join(settled, ["h1", "h2"]).select("key", "n_links", "component_id")
     alone = ids.where("not usable").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
-    return known.unionByName(alone).select(F.col("key").alias(key), "n_links", F.col("component_id").cast("long").alias("component_id"), F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    return known.unionByName(alone).select(F.col("key").alias(key_name(key, "n_links", "component_id", "kept")), "n_links", F.col("component_id").cast("long").alias("component_id"), F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

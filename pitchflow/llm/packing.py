@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitchflow.llm.pieces import PATTERN
-from pitchflow.llm.tables import materialize
+from pitchflow.llm.tables import key_name, materialize
 from pitchflow.llm.token_counts import byte_letters
 
 CAP = 2_048
@@ -294,8 +294,10 @@ def pack_documents(df: DataFrame, key: str, text: str, tokenizer: str, *, cap: i
 
     Every token of every text is in exactly one place; sequences hold at most ``cap`` tokens. Null
     texts count as empty. Rows with equal keys, also repeated rows, are packed as documents of
-    their own. An empty table gives no rows; only ``key`` and ``text`` of ``df`` are read.
+    their own. An empty table gives no rows; only ``key`` and ``text`` of ``df`` are read. A key named like a new column gets an
+    underscore in front.
     """
-    pieces = materialize(token_pieces(df, key, text, tokenizer, cap=cap, end_id=end_id, with_ids=with_ids), "pieces")
-    names = [key, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    return pack_pieces(pieces, [key, "piece", "ids_crc32"], cap).select(*names, "sequence_id", "offset")
+    docs = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    pieces = materialize(token_pieces(docs, "doc", "text", tokenizer, cap=cap, end_id=end_id, with_ids=with_ids), "pieces")
+    names = ["piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset"]
+    return pack_pieces(pieces, ["doc", "piece", "ids_crc32"], cap).select(F.col("doc").alias(key_name(key, *names)), *names)

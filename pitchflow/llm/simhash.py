@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchflow.llm.components import components
-from pitchflow.llm.tables import free_name, materialize, order_of, row_id
+from pitchflow.llm.tables import free_name, key_name, materialize, order_of, row_id
 
 SEED = 42
 N_WINDOW = 3
@@ -225,14 +225,14 @@ def simhash_components(df: DataFrame, key: str, text: str, *, n: int = N_WINDOW,
     Texts of under ``n`` words hash as a whole; null and empty texts have fingerprint zero and are
     linked like others. Equal fingerprints are merged before anything is compared. Null keys are
     never the smallest unless the whole component has none; repeated rows give repeated rows; an
-    empty table gives none; other columns of ``df`` are not read. ``key`` must be a whole number.
+    empty table gives none; other columns of ``df`` are not read. ``key`` must be a whole number; named like a new column it gets an underscore in front.
     """
     fps, named = _grouped(df, key, text, n, max_bits)
     # components of fingerprints are named by a fingerprint; name them by their smallest key instead
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest-keys")
     ids = materialize(named.join(smallest, "component").select("fp", "component_id"), "fp-ids")
     out = fps.join(ids, "fp")
-    return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("key").alias(key_name(key, "fingerprint", "component_id")), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(df: DataFrame, key: str, text: str, *, n: int = N_WINDOW, max_bits: int = MAX_BITS) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchflow.llm.tables import LAST, materialize, order_of, row_id
+from pitchflow.llm.tables import LAST, key_name, materialize, order_of, row_id
 
 WINDOW = 20
 GRAM = 8
@@ -444,7 +444,8 @@ def substring_dedup(df: DataFrame, key: str, text: str, *, with_text: bool = Fal
     A null text has no words. A null key counts as larger than all others. Rows with one key, or
     none, and different texts are documents of their own, in an order that their texts decide. Rows
     that repeat key and text do not count as each other's earlier copy.
-    An empty table gives no rows. ``key`` must be a whole number; other columns are not read.
+    An empty table gives no rows. ``key`` must be a whole number; other columns are not read. A key named like a new column gets an
+    underscore in front.
     """
     base = df.select(row_id(key, text).alias("uid"), order_of(key).alias("doc"), F.col(text).cast("binary").alias("text"))
     anchors = base.select("uid", "text").mapInArrow(_scout, "spread long, value long, uid long, at long, n long")
@@ -469,4 +470,4 @@ def substring_dedup(df: DataFrame, key: str, text: str, *, with_text: bool = Fal
     fields = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     out = base.join(removed, "uid", "left").select(F.when(F.col("uid") < 0, F.col("doc")).alias("doc"), "text", "windows").mapInArrow(lambda it: _remove(it, with_text), fields)
     kind = df.schema[key].dataType.simpleString()
-    return out.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", key)
+    return out.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", key_name(key, "n_words", "n_removed", "kept_sha256", "kept_text"))

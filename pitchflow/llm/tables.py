@@ -89,6 +89,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def key_name(key: str, *new: str) -> str:
+    """The key's name in a result, with underscores in front until it is none of the new columns' (case does not count)."""
+    while key.lower() in {n.lower() for n in new}:
+        key = f"_{key}"
+    return key
+
+
 def fresh(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` without columns that an operator is about to add."""
     wanted = {c.lower() for c in columns}
