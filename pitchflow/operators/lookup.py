@@ -23,7 +23,7 @@ def latest_form(history: DataFrame, fixtures: DataFrame, *, recompute_difference
     Statistics named h... come from the home team's row and a... from the away team's. ``season``
     and ``week`` follow the newest row of all. ``fixtures``: fixture_id, match_date, home, away and
     odds. A team without a row gives nulls. With ``as_of`` only rows before the fixture's date
-    count, found by one window over history and fixtures of a team. Otherwise the latest rows are one
+    count, found in the fixture's year, or else carried over from the years before, so a team's history is never in one task. Otherwise the latest rows are one
     per team, found by an aggregate that combines before it shuffles.
     """
     done = history.na.drop("any")
@@ -33,12 +33,7 @@ def latest_form(history: DataFrame, fixtures: DataFrame, *, recompute_difference
         columns = copied[role]
         newest = F.max_by(F.struct(*columns), F.struct(*_NEWEST)).alias("row")
         if as_of:
-            # each team's history and fixtures in one line by date; fixtures take the last row before theirs
-            row = F.struct(*[F.col(c) for c in columns])
-            past = done.select(F.col(role).alias("team"), F.col("match_date").alias("day"), F.lit(1).alias("turn"), "home", F.col("match_id").alias("tie"), row.alias("row"), F.lit(None).cast(fixtures.schema["fixture_id"].dataType).alias("fixture_id"))
-            asked = fixtures.select(F.col(role).alias("team"), F.col("match_date").alias("day"), F.lit(0).alias("turn"), "home", F.lit(None).cast(history.schema["match_id"].dataType).alias("tie"), F.lit(None).cast(past.schema["row"].dataType).alias("row"), "fixture_id")
-            line = Window.partitionBy("team").orderBy("day", "turn", "home", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            rows = past.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(line)).where("fixture_id is not null").select("fixture_id", "row")
+            rows = _before(done, fixtures, role, columns)
             out = out.join(rows, "fixture_id", "left").select(*out.columns, *[F.col(f"row.{c}").alias(c) for c in columns])
         else:
             rows = done.groupBy(F.col(role).alias("team")).agg(newest)
@@ -53,6 +48,21 @@ def latest_form(history: DataFrame, fixtures: DataFrame, *, recompute_difference
     return out
 
 
+def _before(history: DataFrame, fixtures: DataFrame, role: str, columns: list[str]) -> DataFrame:
+    """``fixture_id``, ``row``: the team's last row before the day of each fixture, by day, home team and key."""
+    row = F.struct(*[F.col(c) for c in columns])
+    past = history.select(F.col(role).alias("team"), F.year("match_date").alias("year"), F.col("match_date").alias("day"), F.lit(1).alias("turn"), "home", F.col("match_id").alias("tie"), row.alias("row"), F.lit(None).cast(fixtures.schema["fixture_id"].dataType).alias("fixture_id"))
+    asked = fixtures.select(F.col(role).alias("team"), F.year("match_date").alias("year"), F.col("match_date").alias("day"), F.lit(0).alias("turn"), "home", F.lit(None).cast(history.schema["match_id"].dataType).alias("tie"), F.lit(None).cast(past.schema["row"].dataType).alias("row"), "fixture_id")
+    # within a year: fixtures take the last row before theirs in one line of the team's rows and fixtures
+    line = Window.partitionBy("team", "year").orderBy("day", "turn", "home", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = past.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(line)).where("fixture_id is not null").select("team", "year", "fixture_id", "row")
+    # and of the years before, one row for each year of a team
+    ends = past.groupBy("team", "year").agg(F.max_by("row", F.struct("day", "home", "tie")).alias("end")).unionByName(asked.select("team", "year").distinct().withColumn("end", F.lit(None).cast(past.schema["row"].dataType)))
+    years = ends.groupBy("team", "year").agg(F.first("end", ignorenulls=True).alias("end"))
+    carried = years.withColumn("carried", F.last("end", ignorenulls=True).over(Window.partitionBy("team").orderBy("year").rowsBetween(Window.unboundedPreceding, -1))).select("team", "year", "carried")
+    return near.join(carried, ["team", "year"], "left").select("fixture_id", F.coalesce("row", "carried").alias("row"))
+
+
 def similar_names(names: DataFrame, known: DataFrame, *, warn_below: float = 0.6) -> DataFrame:
     """``name``, ``best``, ``ratio``, ``doubtful``: the known name most like each name (ties: the largest).
 

@@ -208,7 +208,8 @@ def season_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _scratch(spark, "seasons")
     raw = _raw_main(match_table(spark, sf_dir))
     raw.withColumn("year", F.col("Season")).drop("Season").write.option("header", True).partitionBy("year").csv(place)
-    read = seasons.read_seasons(spark, {y: f"{place}/year={y}" for y in range(1990, 2003)}, cli.MAIN_RAW)
+    years = [r[0] for r in raw.select("Season").distinct().collect()]  # one file for each
+    read = seasons.read_seasons(spark, {y: f"{place}/year={y}" for y in sorted(years)}, cli.MAIN_RAW)
     return _days(cleaning.clean(cleaning.from_main(read), 1990, extended=True).drop("week"), "match_date")
 
 
@@ -452,7 +453,7 @@ v AS (SELECT query, label, count(*) AS votes FROM b GROUP BY query, label)
 SELECT query, CAST(label AS INT) AS prediction, CAST(votes AS INT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) AS k FROM v) WHERE k = 1""",
     "page_links": f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '{pages.ANCHOR}', 1) AS a, regexp_extract_all(html, '{pages.ANCHOR}', 2) AS b FROM pages),
 u AS (SELECT page_id, i, regexp_extract(a[i], '{pages.HREF.replace("'", "''")}', 1) AS u, trim(regexp_replace(b[i], '<[^>]*>', '', 'g')) AS name FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM a))
-SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS position, u[2:-2] AS url, name FROM u WHERE u <> ''""",
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS position, regexp_replace(u, '^["'']|["'']$', '', 'g') AS url, name FROM u WHERE u <> ''""",
     "page_headings": """SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, nullif(regexp_extract(html, '<html\\b[^>]*\\blang="([^"]*)"', 1), '') AS lang, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs FROM pages""",
     "page_slugs": """SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
   regexp_replace(trim(regexp_replace(replace(lower(url), '-', ' '), '[^a-z0-9\\s]', '', 'g')), '\\s+', '-', 'g') AS country,

@@ -19,7 +19,7 @@ from pitchflow.sources.html import Element, parse
 PAGES = 500
 #: An anchor: its attributes and its body.
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
-HREF = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*')"""
+HREF = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def links(pages: DataFrame) -> DataFrame:
     attributes, bodies = (F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
     both = F.transform(F.arrays_zip(attributes.alias("a"), bodies.alias("b")), lambda x: F.struct(F.regexp_extract(x["a"], HREF, 1).alias("u"), F.trim(F.regexp_replace(x["b"], "<[^>]*>", "")).alias("name")))
     found = pages.select("page_id", F.posexplode(F.filter(both, lambda x: x["u"] != "")).alias("position", "x"))
-    return found.select("page_id", "position", F.expr("substring(x.u, 2, length(x.u) - 2)").alias("url"), "x.name")
+    return found.select("page_id", "position", F.regexp_replace("x.u", "^[\"']|[\"']$", "").alias("url"), "x.name")
 
 
 def headings(pages: DataFrame) -> DataFrame:

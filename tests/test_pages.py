@@ -33,8 +33,8 @@ def test_lists(spark):
 
 
 def test_anchors_of_any_form(spark):
-    df = spark.createDataFrame([(1, "<A class=x HREF='/a'>one <b>two</b></A><a name='n'>no</a><a href=\"/b\">\n three</a>")], "page_id long, html string")
-    assert [tuple(r) for r in pages.links(df).orderBy("position").collect()] == [(1, 0, "/a", "one two"), (1, 1, "/b", "\n three")]
+    df = spark.createDataFrame([(1, "<A class=x HREF='/a'>one <b>two</b></A><a name='n'>no</a><a href=\"/b\">\n three</a><a href=/c/d id=x>four</a><a href=''>no address</a>")], "page_id long, html string")
+    assert [tuple(r) for r in pages.links(df).orderBy("position").collect()] == [(1, 0, "/a", "one two"), (1, 1, "/b", "\n three"), (1, 2, "/c/d", "four"), (1, 3, "", "no address")]
 
 
 def test_documents_of_bare_pages_and_files(spark, tmp_path):
