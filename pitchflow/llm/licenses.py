@@ -198,13 +198,13 @@ class Scanner:
         return max(1, -int(-(self.min_coverage * len(template) - 1e-9) // 1))
 
     def best(self, words: list[str], name: str) -> tuple[int, int, int] | None:
-        """Aligned words, first and last place in the text, of the best stretch (the first of equal ones)."""
+        """Aligned words, first and last place in the text, of the best stretch: that with most aligned words, less a quarter of the other words among them (the first of equals)."""
         template, counts = self.templates[name], self.counts[name]
         needed, n = self.needed(template), len(template)
         places = [i for i, w in enumerate(words) if w in counts]
         if len(places) < needed:
             return None
-        best = None
+        best, top = None, 0
         begin = 0
         while begin < len(places):
             at = places[begin] // n * n  # stretches without any word of the template are passed over
@@ -214,13 +214,26 @@ class Scanner:
             if sum(min(k, counts[w]) for w, k in here.items()) >= needed:
                 for a, b in [(at, end), *((i, i + n) for i in places[lo:hi] if words[i] == template[0])]:
                     got = align(words[a:b], template)
-                    if len(got) >= needed and got[-1][0] - got[0][0] < self.spread * n and (best is None or len(got) > best[0]):
-                        best = (len(got), a + got[0][0], a + got[-1][0])
+                    if len(got) < needed or got[-1][0] - got[0][0] >= self.spread * n:
+                        continue
+                    worth = 5 * len(got) - (got[-1][0] - got[0][0] + 1)
+                    if best is None or worth > top:
+                        best, top = (len(got), a + got[0][0], a + got[-1][0]), worth
             begin = bisect.bisect_left(places, at + n)
         return best
 
+    def every(self, words: list[str], name: str) -> list[tuple[int, int, int]]:
+        """The best stretch, then those of what lies before and after it, until none is left."""
+        found, waiting = [], [(0, len(words))]
+        while waiting:
+            a, b = waiting.pop()
+            if got := self.best(words[a:b], name):
+                found.append((got[0], a + got[1], a + got[2]))
+                waiting += [(a, a + got[1]), (a + got[2] + 1, b)]
+        return found
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int]]:
-        """name, template's words, aligned words, first and last word in the text, of the best template of each passage.
+        """name, template's words, aligned words, first and last word in the text, of the best template of each passage, in order of the text.
 
         Of templates whose passages overlap by half of the shorter one, that with most words aligned
         is told (of equal ones that with the higher coverage, then the first by name).
@@ -229,12 +242,12 @@ class Scanner:
         if not self.marker.search(low):
             return []
         words = _WORD.findall(low)
-        found = [(name, len(t), *got) for name, t in self.templates.items() if (got := self.best(words, name))]
+        found = [(name, len(t), *got) for name, t in self.templates.items() for got in self.every(words, name)]
         out: list[tuple[str, int, int, int, int]] = []
-        for hit in sorted(found, key=lambda x: (-x[2], x[1], x[0])):
+        for hit in sorted(found, key=lambda x: (-x[2], x[1], x[0], x[3])):
             if all(2 * (min(hit[4], o[4]) - max(hit[3], o[3]) + 1) < min(hit[4] - hit[3], o[4] - o[3]) + 1 for o in out):
                 out.append(hit)
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[3], x[0]))
 
 
 @lru_cache(maxsize=4)
@@ -243,12 +256,12 @@ def _scanner(templates: tuple[tuple[str, str], ...], min_coverage: float, spread
 
 
 def license_scan(df: DataFrame, key: str, text: str, templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, spread: int = SPREAD) -> DataFrame:
-    """``key``, ``license``, ``coverage``, ``matched``, ``first_word``, ``last_word``: a row for each template found in a text.
+    """``key``, ``license``, ``coverage``, ``matched``, ``first_word``, ``last_word``: a row for each place in a text where a template is found.
 
     A template is found where at least ``min_coverage`` of its words are aligned within a passage of
     at most ``spread`` times its length, of any text however long; of templates that overlap in a
     passage the best is told. Places count the words of the whole text from 0. A text without any gives one row with a null ``license`` and
-    coverage 0; so do null and empty texts. Equal coverage in several places gives the first.
+    coverage 0; so do null and empty texts. A template that comes several times gives a row for each time.
     Repeated rows give repeated rows; an empty table gives none; only ``key`` and ``text`` of
     ``df`` are read. Nothing is shuffled.
     """
