@@ -299,9 +299,17 @@ def _spans(batches: Iterator[pa.RecordBatch], hot: frozenset[int]) -> Iterator[p
 # ---------------------------------------------------------------- 3. confirm and locate
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _numbered(spans: list[bytes]) -> list[tuple[int, ...]]:
-    numbers: dict[bytes, int] = {}
-    return [tuple(numbers.setdefault(w, len(numbers)) for w in s.split(b" ")) for s in spans]
+    number = _Numbers().__getitem__
+    return [tuple(map(number, s.split(b" "))) for s in spans]
 
 
 def occurrences(texts: list[tuple[int, ...]], repeated: list[bool], limit: int = PASS_WINDOWS) -> Iterator[list[tuple[int, int, int]]]:
@@ -311,19 +319,24 @@ def occurrences(texts: list[tuple[int, ...]], repeated: list[bool], limit: int =
     """
     passes = max(1, -(-sum(len(t) - WINDOW + 1 for t in texts) // limit))
     for number in range(passes):
-        confirmed: dict[tuple[int, ...], bool] = {}
+        windows: dict[tuple[int, ...], int] = {}  # each with the place in the order of all at which it came first
+        recurring: set[int] = set()
+        seen = 0
         for words, again in zip(texts, repeated, strict=True):
             for i in range(len(words) - WINDOW + 1):
                 window = words[i : i + WINDOW]
                 if passes == 1 or hash(window) % passes == number:
-                    confirmed[window] = again or window in confirmed
+                    first = windows.setdefault(window, seen)
+                    if again or first != seen:
+                        recurring.add(first)
+                    seen += 1
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         passage = 0
-        for window, again in confirmed.items():
-            if again:
+        for window, first in windows.items():
+            if first in recurring:
                 automaton.add_word(window, passage)
                 passage += 1
-        del confirmed
+        del windows, recurring
         if passage:
             automaton.make_automaton()
             yield [(t, end + 1 - WINDOW, found) for t, words in enumerate(texts) for end, found in automaton.iter(words)]
