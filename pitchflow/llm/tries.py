@@ -275,6 +275,7 @@ def prefix_trie(convs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = placed.join(F.broadcast(_seams(placed)), "part")  # three numbers for each part
     ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "key").select("part", "before", "after", "key", "words", "n", "conv_id", "ends")
     nodes = scratch.write(ordered.mapInArrow(_nodes, NODE), "nodes")
+    scratch.drop("sequences")
     joined = scratch.write(_joined(nodes.where("share")), "joined")
     known = nodes.where("not share").drop("share", "words", "path")
     points = known.where("node is not null").select("node", "conv_id").unionByName(joined.select("node", "conv_id"))
