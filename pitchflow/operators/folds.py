@@ -57,4 +57,5 @@ def one_pass(rows: DataFrame, features: Sequence[str], part: Column, trains: Seq
     counts = scored.groupBy("fold", "data", "label", "prediction").agg(F.count(F.lit(1)).alias("n"), F.min("match_date").alias("first"), F.max("match_date").alias("last"))
     ranges = counts.groupBy("fold", "data").agg(F.collect_list(F.struct("label", "prediction", "n")).alias("cells"), F.min("first").alias("start_date"), F.max("last").alias("end_date"), F.sum("n").alias("samples"))
     told = metrics_of_counts(ranges.select("fold", "data", "start_date", "end_date", "samples", F.inline("cells")), "fold", "data", "start_date", "end_date", "samples")
-    return told.select("accuracy", "f1", "precision", "recall", "data", "fold", "start_date", "end_date", "samples")
+    out = told.select("accuracy", "f1", "precision", "recall", "data", "fold", "start_date", "end_date", "samples")
+    return out.coalesce(1).sortWithinPartitions("fold", F.desc("data"))  # two rows for each fold
