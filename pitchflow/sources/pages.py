@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from pitchflow.functions import columns as X
 from pitchflow.operators.documents import pair_siblings
-from pitchflow.sources.html import Element, parse
+from pitchflow.sources.html import Element, Reader
 
 #: Rows whose pages' trees are held at once.
 PAGES = 500
@@ -40,18 +40,19 @@ def headings(pages: DataFrame) -> DataFrame:
 
 
 def _read(pages: DataFrame, key: str, schema: str, *readers: tuple[str, Callable[[Element], dict[str, Any]]]) -> DataFrame:
-    """``key`` and the fields that the readers find, each in its column's page: each page is parsed once, in one pass over the rows, and they stay in their partitions."""
+    """``key`` and the fields that the readers find, each in its column's page: each page is read once, in one pass over the rows, and they stay in their partitions."""
     kind = pages.schema[key].dataType.simpleString()
     made = to_arrow_schema(StructType.fromDDL(f"`{key}` {kind}, {schema}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read_all = [Reader(find) for _, find in readers]
         for batch in batches:
             for at in range(0, batch.num_rows, PAGES):
                 some = batch.slice(at, PAGES)
                 rows = [{} for _ in range(some.num_rows)]
-                for i, (_, read) in enumerate(readers, 1):
+                for i, read in enumerate(read_all, 1):
                     for row, text in zip(rows, some.column(i).to_pylist(), strict=True):
-                        row |= read(parse(text))
+                        row |= read(text)
                 yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(made)[1:]]], names=made.names)
 
     columns = [F.col(column).alias(f"html_{i}") for i, (column, _) in enumerate(readers)]
@@ -64,7 +65,7 @@ def _items(pages: DataFrame, key: str, fields: str, read: Callable[[Element], li
 
 
 def _anchor(e: Element, *, with_id: bool = False) -> dict[str, Any]:
-    return {"name": e.text(), "url": e.attributes.get("href")} | ({"id": e.attributes.get("id")} if with_id else {})
+    return {"name": e, "url": (e, "href")} | ({"id": (e, "id")} if with_id else {})
 
 
 def countries(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -97,7 +98,7 @@ def match_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def read(page: Element) -> list[dict[str, Any]]:
         found = page.all("", "event__match", "event__match--static", "event__match--twoLine")
-        return [{"element": e.attributes.get("id"), "url": a.attributes.get("href") if (a := e.first("a", "eventRowLink")) else None} for e in found]
+        return [{"element": (e, "id"), "url": (a, "href") if (a := e.first("a", "eventRowLink")) else None} for e in found]
 
     return _items(pages, key, "element:string,url:string", read).select(key, "position", X.link_id(F.col("element")).alias("id"), "url")
 
@@ -115,42 +116,36 @@ def all_links(*lists: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- match documents
 
 _SIDE = "name:string,image:string"
-_SUMMARY = f"headers array<string>, start string, state string, home struct<{_SIDE}>, away struct<{_SIDE}>, scores array<string>, full_time string, shootout string, pairs array<string>"
+_SUMMARY = f"headers array<string>, start string, state string, home struct<{_SIDE}>, away struct<{_SIDE}>, scores array<string>, full_time string, labels array<struct<label:string,beside:string>>, pairs array<string>"
 _STATISTICS = "blocks array<struct<category:string,homeValue:string,awayValue:string>>"
 
 
-def _text(e: Element | None) -> str | None:
-    return e.text() if e else None
-
-
 def _summary(page: Element) -> dict[str, Any]:
     def side(name: str) -> dict[str, Any]:
         box = page.first("", f"duelParticipant__{name}") or Element("", {})
         image = box.first("", "participant__image")
-        return {"name": _text(box.first("", "participant__participantName", "participant__overflow")), "image": image.attributes.get("src") if image else None}
+        return {"name": box.first("", "participant__participantName", "participant__overflow"), "image": (image, "src") if image else None}
 
     score = page.first("", "detailScore__wrapper") or Element("", {})
-    label = next((e for e in page.all(data_testid="wcl-scores-overline-02") if e.text().lower() == "penalties"), None)
-    beside = label.following() if label else []
     table = page.first("div", data_testid="wcl-summaryMatchInformation")
     return {
-        "headers": [e.text() for e in page.all("span", data_testid="wcl-scores-overline-03")],
-        "start": _text(page.first("", "duelParticipant__startTime")),
-        "state": _text(page.first("", "fixedHeaderDuel__detailStatus")),
+        "headers": page.all("span", data_testid="wcl-scores-overline-03"),
+        "start": page.first("", "duelParticipant__startTime"),
+        "state": page.first("", "fixedHeaderDuel__detailStatus"),
         "home": side("home"),
         "away": side("away"),
-        "scores": [e.text() for e in score.all("span") if not e.is_a("", ("detailScore__divider",))],
-        "full_time": _text(page.first("", "detailScore__fullTime")),
-        "shootout": beside[0].text() if beside else None,
-        "pairs": [e.text() for e in (table.children if table else []) if e.tag == "div"],
+        "scores": [e for e in score.all("span") if not e.is_a("", ("detailScore__divider",))],
+        "full_time": page.first("", "detailScore__fullTime"),
+        "labels": [{"label": e, "beside": next(iter(e.following()), None)} for e in page.all(data_testid="wcl-scores-overline-02")],
+        "pairs": [e for e in (table.children if table else []) if e.tag == "div"],
     }
 
 
 def _statistics(page: Element) -> dict[str, Any]:
     blocks = []
     for block in page.all("div", data_testid="wcl-statistics"):
-        values = [s.text() for v in block.all("div", data_testid="wcl-statistics-value") for s in v.children if s.tag == "strong"]
-        blocks.append({"category": _text(block.first("div", data_testid="wcl-statistics-category")), "homeValue": values[0] if values else None, "awayValue": values[1] if len(values) > 1 else None})
+        values = [s for v in block.all("div", data_testid="wcl-statistics-value") for s in v.children if s.tag == "strong"]
+        blocks.append({"category": block.first("div", data_testid="wcl-statistics-category"), "homeValue": values[0] if values else None, "awayValue": values[1] if len(values) > 1 else None})
     return {"blocks": blocks}
 
 
@@ -160,6 +155,7 @@ def match_documents(pages: DataFrame, key: str = "match_id", summary: str = "sum
     A page without a state is of a match that has not started.
     """
     found = _read(pages, key, f"{_SUMMARY}, {_STATISTICS}", (summary, _summary), (statistics, _statistics))
+    shootout = F.get(F.filter("labels", lambda x: F.lower(x["label"]) == "penalties"), F.lit(0))["beside"]
     clean = lambda e, f: X.clean_information(e[f])
     return found.select(
         F.col(key).cast("string").alias("match_id"),
@@ -168,7 +164,7 @@ def match_documents(pages: DataFrame, key: str = "match_id", summary: str = "sum
         X.status_or_default(F.col("state")).alias("status"),
         "home",
         "away",
-        F.struct(F.get("scores", F.lit(0)).alias("home"), F.get("scores", F.lit(1)).alias("away"), X.regulation_time(F.col("full_time")).alias("regulationTime"), F.regexp_replace("shootout", r"\s+", "").alias("penalties")).alias("result"),
+        F.struct(F.get("scores", F.lit(0)).alias("home"), F.get("scores", F.lit(1)).alias("away"), X.regulation_time(F.col("full_time")).alias("regulationTime"), F.regexp_replace(shootout, r"\s+", "").alias("penalties")).alias("result"),
         F.transform(pair_siblings(F.col("pairs")), lambda e: F.struct(clean(e, "category").alias("category"), clean(e, "value").alias("value"))).alias("information"),
         F.col("blocks").alias("statistics"),
     )
