@@ -72,7 +72,7 @@ def stage_of(header: Column) -> Column:
 
 
 def category_key(category: Column) -> Column:
-    return F.regexp_replace(F.lower(category), " ", "_")
+    return F.translate(F.lower(category), " ", "_")
 
 
 def clean_information(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchflow.functions.columns import category_key
-from pitchflow.operators.tables import written
+from pitchflow.operators.tables import filed
 
 # The nested document.
 SCHEMA = (
@@ -27,20 +27,21 @@ def last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def last_wins(entries: Column, key: str) -> Column:
-    """Entries of an array of structs whose key does not come again later, in order."""
-    keys = F.transform(entries, lambda e: category_key(e[key]))
-    return F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), category_key(e[key])))
+    """``key`` and ``entry`` of the entries of an array of structs whose key does not come again later, in order. Each key is worked out once."""
+    keyed = F.transform(entries, lambda e: F.struct(category_key(e[key]).alias("key"), e.alias("entry")))
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.array_contains(F.slice(all_["key"], i + 2, F.size(all_)), e["key"]))
+    return F.get(F.transform(F.array(keyed), last), F.lit(0))
 
 
 def information_map(information: Column) -> Column:
     """category -> value; of equal categories the last counts."""
-    return F.map_from_entries(F.transform(last_wins(information, "category"), lambda e: F.struct(category_key(e["category"]), e["value"])))
+    return F.map_from_entries(F.transform(last_wins(information, "category"), lambda e: F.struct(e["key"], e["entry"]["value"])))
 
 
 def statistics_map(statistics: Column) -> Column:
     """category -> home and away value."""
     value = lambda e: F.struct(e["homeValue"].alias("home"), e["awayValue"].alias("away"))
-    return F.map_from_entries(F.transform(last_wins(statistics, "category"), lambda e: F.struct(category_key(e["category"]), value(e))))
+    return F.map_from_entries(F.transform(last_wins(statistics, "category"), lambda e: F.struct(e["key"], value(e["entry"]))))
 
 
 def pair_siblings(flat: Column) -> Column:
@@ -49,15 +50,19 @@ def pair_siblings(flat: Column) -> Column:
     return F.when(F.size(flat) > 0, pairs).otherwise(F.slice(pairs, 1, 0))
 
 
-def flat_rows(df: DataFrame) -> DataFrame:
-    """match_id, field, value: one row for each leaf that a document may have, null if it has not, with dotted field names."""
+def _leaves(df: DataFrame) -> DataFrame:
+    """match_id, leaves: field and value of each leaf that a document may have, fields once."""
     leaf = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
     plain = [leaf(c, F.col(c)) for c in ("stage", "status", "date", "home.name", "home.image", "away.name", "away.image", "result.home", "result.away", "result.regulationTime", "result.penalties")]
-    info = F.transform(F.map_entries(information_map(F.col("information"))), lambda e: F.struct(F.concat(F.lit("information."), e["key"]).alias("field"), e["value"].alias("value")))
-    stats = F.flatten(F.transform(F.map_entries(statistics_map(F.col("statistics"))), lambda e: F.array(*[F.struct(F.concat(F.lit("statistics."), e["key"], F.lit(f".{side}")).alias("field"), e["value"][side].alias("value")) for side in ("home", "away")])))
+    info = F.transform(last_wins(F.col("information"), "category"), lambda e: F.struct(F.concat(F.lit("information."), e["key"]).alias("field"), e["entry"]["value"].alias("value")))
+    stats = F.flatten(F.transform(last_wins(F.col("statistics"), "category"), lambda e: F.array(*[F.struct(F.concat(F.lit("statistics."), e["key"], F.lit(f".{side}")).alias("field"), e["entry"][f"{side}Value"].alias("value")) for side in ("home", "away")])))
     nothing = F.array().cast("array<struct<field:string,value:string>>")
-    leaves = F.concat(F.array(*plain), F.coalesce(info, nothing), F.coalesce(stats, nothing))
-    return df.select("match_id", F.explode(leaves).alias("leaf")).select("match_id", "leaf.field", "leaf.value")
+    return df.select("match_id", F.concat(F.array(*plain), F.coalesce(info, nothing), F.coalesce(stats, nothing)).alias("leaves"))
+
+
+def flat_rows(df: DataFrame) -> DataFrame:
+    """match_id, field, value: one row for each leaf that a document may have, null if it has not, with dotted field names."""
+    return _leaves(df).select("match_id", F.explode("leaves").alias("leaf")).select("match_id", "leaf.field", "leaf.value")
 
 
 #: The order of a flat table's columns; information and statistics follow by name.
@@ -69,11 +74,13 @@ def flat_table(df: DataFrame) -> DataFrame:
 
     Columns come as documents nest them. If a document comes several times its largest values count.
     """
-    rows = written(flat_rows(df))
-    found = {r["field"] for r in rows.where("value is not null").select("field").distinct().collect()}  # the names of the result's columns
+    rows = filed(_leaves(df), "leaves")
+    named = rows.select(F.explode("leaves").alias("leaf")).where("leaf.value is not null")
+    found = {r["field"] for r in named.select("leaf.field").distinct().collect()}  # the names of the result's columns
     fields = [f for f in FLAT_ORDER if f in found] + sorted(found.difference(FLAT_ORDER))
-    # a document without any value still has the rows of the fields that all may have
-    return rows.groupBy("match_id").pivot("field", fields).agg(F.max("value")) if fields else rows.select("match_id").distinct()
+    values = rows.select("match_id", F.map_from_entries("leaves").alias("values")).select("match_id", *[F.col("values")[f].alias(f) for f in fields])
+    # a row for each document, not for each leaf, is shuffled
+    return values.groupBy("match_id").agg(*[F.max(f"`{f}`").alias(f) for f in fields]) if fields else rows.select("match_id").distinct()
 
 
 def json_text(df: DataFrame) -> DataFrame:

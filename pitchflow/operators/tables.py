@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -11,3 +13,13 @@ def written(df: DataFrame) -> DataFrame:
         df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
         return df.checkpoint()
     return df.persist()
+
+
+def filed(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, but a Parquet table, which takes less room for wide rows of like values and gives single columns."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/pitchflow-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
