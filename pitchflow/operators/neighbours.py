@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pitchflow.operators.tables import written
+
 #: Queries, rows and numbers of a vector that are compared at once; they bound memory.
 QUERIES, ROWS, NUMBERS = 256, 256, 64
 #: Pivots of the vectors of one length, a stated sample; rows of a cell and queries of a cell that meet in one group.
 PIVOTS, CELL_ROWS, CELL_QUERIES = 64, 4_096, 32_768
+#: Of so many rows, times the numbers of their vectors, one is a pivot within its cell, so that inner cells do not grow with the table.
+INNER_ROWS = 512
 #: Bounds are widened by this share, far beyond what rounding can do.
 SLACK = 1e-9
 
@@ -43,13 +47,46 @@ def _matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBat
 
 
 class Cells:
-    """What is known of the cells: by length of the vectors the pivots, how far each cell reaches, its rows, and its rows' smallest distances to the pivot."""
+    """What is known of the cells: by length of the vectors the pivots, how far each cell reaches, its rows, and its rows' smallest distances to the pivot.
+
+    ``inner``: the cells that each cell is dealt to in its turn; ``first``: the number of the first of them.
+    """
 
     def __init__(self, pivots: dict[int, np.ndarray]):
         self.pivots = pivots
         self.reach = {n: np.full(len(v), -1.0) for n, v in pivots.items()}
         self.rows = {n: np.zeros(len(v), np.int64) for n, v in pivots.items()}
         self.near: dict[int, list[list[float]]] = {n: [[] for _ in v] for n, v in pivots.items()}
+        self.inner: dict[int, list[Cells]] = {}
+        self.first: dict[int, np.ndarray] = {}
+
+    def divide(self, pivots: dict[tuple[int, int], list[list[float]]]) -> None:
+        """Gives each cell its inner cells: one around its own pivot and those around more pivots."""
+        for n, own in self.pivots.items():
+            self.inner[n] = [Cells({n: np.array([v.tolist(), *pivots.get((n, c), [])])}) for c, v in enumerate(own)]
+            self.first[n] = np.cumsum([0, *[len(i.pivots[n]) for i in self.inner[n]]])
+
+    def place(self, n: int, leaf: int) -> tuple[int, "Cells", int]:
+        """The cell of an inner cell's number, its inner cells, and the place in them."""
+        cell = int(np.searchsorted(self.first[n], leaf, "right")) - 1
+        return cell, self.inner[n][cell], leaf - int(self.first[n][cell])
+
+    def meeting(self, x: np.ndarray, k: int, p: int, everywhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which queries meet which inner cells; those marked look at all."""
+        n = x.shape[1]
+        d = _distances(x, self.pivots[n], p)
+        home, limit = d.argmin(axis=1), self.limits(d, n, k)
+        for c in np.unique(home).tolist():
+            inner, some = self.inner[n][c], np.flatnonzero(home == c)
+            limit[some] = np.minimum(limit[some], inner.limits(_distances(x[some], inner.pivots[n], p), n, k))
+        limit[everywhere] = np.inf
+        reached, rows, leaves = self.reached(d, n, limit), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for c in np.flatnonzero(reached.any(axis=0)).tolist():
+            inner, some = self.inner[n][c], np.flatnonzero(reached[:, c])
+            row, leaf = np.nonzero(inner.reached(_distances(x[some], inner.pivots[n], p), n, limit[some]))
+            rows.append(some[row])
+            leaves.append(leaf + self.first[n][c])
+        return np.concatenate(rows), np.concatenate(leaves)
 
     def limits(self, d: np.ndarray, n: int, k: int) -> np.ndarray:
         """No k-th neighbour is farther: by the triangle inequality each cell's rows nearest to its pivot are not. One more counts, as a query may be a row."""
@@ -66,20 +103,26 @@ class Cells:
 
 
 def _dealt(known: DataFrame, cells: Cells, p: int) -> DataFrame:
-    """``known`` with its cell: the nearest pivot and the distance to it."""
+    """``known`` with its inner cell: that of the nearest pivot in the cell of the nearest pivot, and the distances to both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, x in _matrices(batch, "vector"):
-                d = _distances(x, cells.pivots[x.shape[1]], p)
+                n = x.shape[1]
+                d = _distances(x, cells.pivots[n], p)
                 best = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(best.astype(np.int32)), pa.array(d[np.arange(len(x)), best])], names=[*batch.schema.names, "length", "cell", "away"])
+                leaf, away = np.zeros(len(x), np.int64), np.zeros(len(x))
+                for c in np.unique(best).tolist():
+                    own = np.flatnonzero(best == c)
+                    within = _distances(x[own], cells.inner[n][c].pivots[n], p)
+                    leaf[own], away[own] = within.argmin(axis=1) + cells.first[n][c], within.min(axis=1)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(x), n, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(away), pa.array(best.astype(np.int32)), pa.array(d[np.arange(len(x)), best])], names=[*batch.schema.names, "length", "cell", "away", "outer", "outer_away"])
 
-    return known.mapInArrow(run, "key long, vector array<double>, label long, length int, cell int, away double")
+    return known.mapInArrow(run, "key long, vector array<double>, label long, length int, cell int, away double, outer int, outer_away double")
 
 
 def _cells(known: DataFrame, k: int, p: int) -> tuple[Cells, DataFrame]:
-    """The cells of the rows and the rows in them. To the driver come ``PIVOTS`` vectors for each length, and k + 1 distances for each pivot."""
+    """The cells of the rows and the rows in them. To the driver come ``PIVOTS`` vectors for each length and one of ``INNER_ROWS`` times the length, and k + 1 distances for each of these."""
     first = F.row_number().over(Window.partitionBy("length").orderBy(F.xxhash64("key"), "key"))
     chosen = known.withColumn("length", F.size("vector")).withColumn("place", first).where(F.col("place") <= PIVOTS).select("length", "vector").collect()
     pivots: dict[int, list[list[float]]] = {}
@@ -87,13 +130,25 @@ def _cells(known: DataFrame, k: int, p: int) -> tuple[Cells, DataFrame]:
         if r["vector"] not in pivots.setdefault(r["length"], []):
             pivots[r["length"]].append(r["vector"])
     cells = Cells({n: np.array(v) for n, v in pivots.items()})
-    dealt = _dealt(known, cells, p)
-    near = F.row_number().over(Window.partitionBy("length", "cell").orderBy("away"))
-    nearest = dealt.select("length", "cell", "away").withColumn("place", near).where(F.col("place") <= k + 1).groupBy("length", "cell").agg(F.array_agg("away").alias("near"))
-    for r in dealt.groupBy("length", "cell").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("n")).join(nearest, ["length", "cell"]).collect():
-        cells.reach[r["length"]][r["cell"]], cells.rows[r["length"]][r["cell"]] = r["reach"], r["n"]
-        cells.near[r["length"]][r["cell"]] = r["near"]
-    return cells, dealt
+    inner: dict[tuple[int, int], list[list[float]]] = {}
+    mixed = F.pmod(F.xxhash64(F.lit("inner"), "key", "vector"), F.size("vector") * INNER_ROWS)
+    for r in known.where(mixed == 0).select("vector").distinct().orderBy("vector").collect():
+        v = np.array([r["vector"]])
+        inner.setdefault((v.shape[1], int(_distances(v, cells.pivots[v.shape[1]], p).argmin())), []).append(r["vector"])
+    cells.divide(inner)
+    dealt = written(_dealt(known, cells, p))
+
+    def told(cell: str, away: str) -> DataFrame:
+        near = F.row_number().over(Window.partitionBy("length", cell).orderBy(away))
+        nearest = dealt.select("length", cell, away).withColumn("place", near).where(F.col("place") <= k + 1).groupBy("length", cell).agg(F.array_agg(away).alias("near"))
+        return dealt.groupBy("length", cell).agg(F.max(away).alias("reach"), F.count(F.lit(1)).alias("n")).join(nearest, ["length", cell])
+
+    for r in told("outer", "outer_away").collect():
+        cells.reach[r["length"]][r["outer"]], cells.rows[r["length"]][r["outer"]], cells.near[r["length"]][r["outer"]] = r["reach"], r["n"], r["near"]
+    for r in told("cell", "away").collect():
+        _, own, i = cells.place(r["length"], r["cell"])
+        own.reach[r["length"]][i], own.rows[r["length"]][i], own.near[r["length"]][i] = r["reach"], r["n"], r["near"]
+    return cells, dealt.drop("outer", "outer_away")
 
 
 def _sent(queries: DataFrame, cells: Cells, k: int, p: int) -> DataFrame:
@@ -105,9 +160,7 @@ def _sent(queries: DataFrame, cells: Cells, k: int, p: int) -> DataFrame:
                 n = x.shape[1]
                 if n not in cells.pivots:
                     continue
-                d = _distances(x, cells.pivots[n], p)
-                limit = np.where(some.column("repeated").to_numpy(zero_copy_only=False), np.inf, cells.limits(d, n, k))
-                row, cell = np.nonzero(cells.reached(d, n, limit))
+                row, cell = cells.meeting(x, k, p, some.column("repeated").to_numpy(zero_copy_only=False))
                 for at in range(0, len(row), 10_000):
                     r, c = row[at : at + 10_000], cell[at : at + 10_000]
                     picked = some.take(pa.array(r))
@@ -163,7 +216,7 @@ def _best(q: np.ndarray, points: np.ndarray, keys: np.ndarray, labels: np.ndarra
 def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str, vector: str, label: str, p: int = 2) -> DataFrame:
     """``query``, ``rank``, ``neighbour``, ``label``, ``distance``: the k nearest rows of each query but itself, exactly.
 
-    Rows are dealt to the nearest of some pivots. How far the cells reach, and the smallest distances to their pivots, bound how far a
+    Rows are dealt to the nearest of some pivots, and in its cell to the nearest of more. How far the cells reach, and the smallest distances to their pivots, bound how far a
     query's k-th neighbour can be, so most cells need not be looked at (for any Minkowski distance). Query and row
     meet in groups of bounded size: rows of a large cell, and the queries of a popular one, are dealt to several groups; each
     sends a query's k best, which are merged. Ties go to the smaller key. Only vectors of one length meet; rows and queries whose
@@ -174,8 +227,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str, vector: st
     stated = queries.where(F.col(key).isNotNull() & _usable(vector)).select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vector"))
     cells, dealt = _cells(known, k, p)
     repeated = known.groupBy("key").count().where("count > 1").select(F.col("key").alias("query"), F.lit(True).alias("repeated"))
-    sent = _sent(stated.join(repeated, "query", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))), cells, k, p)
-    sizes = {(n, c): (int(r), 1) for n, counts in cells.rows.items() for c, r in enumerate(counts.tolist())}
+    sent = written(_sent(stated.join(repeated, "query", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))), cells, k, p))
+    sizes = {(n, int(cells.first[n][c]) + i): (int(r), 1) for n, all_ in cells.inner.items() for c, own in enumerate(all_) for i, r in enumerate(own.rows[n].tolist())}
     for r in sent.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each pivot
         sizes[r["length"], r["cell"]] = sizes[r["length"], r["cell"]][0], r["n"]
     parts = [(n, c, -(-max(r, 1) // CELL_ROWS), -(-q // CELL_QUERIES)) for (n, c), (r, q) in sizes.items()]
