@@ -1,6 +1,7 @@
 """Pages of equal markup are read as if each were parsed, but are not parsed."""
 
 import random
+import time
 
 from pitchflow.sources import html, pages
 
@@ -10,6 +11,7 @@ PAGES = [
     "<div id='m'><a class='k' href='{}'>{}</a><img src=\"{}\" alt='x'>{}<style>p > a {}</style></div>",
     "<div id='m' title='{}'>{}<textarea>{}</textarea></div><a href={}>{}</a>{}",
     "<!-- {} --><div id='m'>{}<a href='x' title=\"a>b\">{}</a><script>{}</script>{}</div><script>{}",
+    "<p title='a>{}<div id='m'>{}</div><b c=\"{}><i id='m'>x</i>{}<br / id=m>",
     "<A ID='m' HREF='{}'>{}<a href='{}' src='{}'>{}</A>",
 ]
 
@@ -49,3 +51,11 @@ def test_penalties_stand_beside_the_first_label_that_says_so(spark):
     mark = "<i data-testid='wcl-scores-overline-02'>"
     df = spark.createDataFrame([(1, f"<p>{mark}AET</i><i>9</i></p><p>{mark} PENALTIES </i><i>4 - 3</i></p><p>{mark}Penalties</i><i>1</i></p>", None), (2, f"<p>{mark}AET</i><i>9</i></p>", None), (3, f"<p>{mark}Penalties</i></p>", None)], "match_id long, summary string, statistics string")
     assert [r["p"] for r in pages.match_documents(df).orderBy("match_id").selectExpr("result.penalties as p").collect()] == ["4-3", None, None]
+
+
+def test_long_scripts_are_read_in_one_pass():
+    read, began = html.Reader(_find), time.time()
+    for i in range(4):
+        page = f"<div id='m'>{i}</div><script>{'{"k": ' * 100_000}{i}</script><a href='/{i}'>x</a>"
+        assert read(page)["links"] == [f"/{i}"]
+    assert time.time() - began < 20 and len(read.shapes) == 1 and None not in read.shapes.values()
